@@ -7,69 +7,21 @@ rows equal in both are interchangeable.
 
 from __future__ import annotations
 
-import atexit
 import gc
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ``[\x20\x09-\x0D]``, the white space that the contracts name.
-ASCII_SPACE = b" \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tarmac.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tarmac-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("tarmac.shared.dir", found)
-    return found.rstrip("/")
-
-
-class Workspace:
-    """Working tables of one operator run, as Parquet under the shared folder.
-
-    Writing a table cuts lineage with replicated or durable storage, so a lost executor costs a
-    re-read and not a recomputation. Tables that only feed later ones are dropped with ``drop``.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def path(self, label: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{label}"
-
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tarmac_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            delete(self.spark, table._tarmac_path)
-
-    def close(self) -> None:
-        delete(self.spark, self.root)
+from ..plans.work import Workspace, delete, shared_dir
 
+__all__ = ["Bitmap", "ChunkTable", "Workspace", "delete", "shared_dir"]
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop, so that it works on any file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: ``[\x20\x09-\x0D]``, the white space that the contracts name.
+ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def text_of(column: str) -> Column:
@@ -110,6 +62,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     return [t for _, t in found], np.array([ids[i] for i, _ in found], dtype=np.float64)
 
 
+class Bitmap:
+    """Which 64-bit keys may be in a set: a Bloom filter of two probes whose size is bounded by ``most_bits``.
+
+    It goes to every task and saves shuffling rows that cannot match. A key of the set is never
+    missed; other keys pass with a chance that rises to 1 as the bound is outgrown, so results do not depend on it.
+    """
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, keys: DataFrame, most_bits: int = 1 << 24) -> Bitmap:
+        """From a column ``key`` of hashes."""
+        bits = min(most_bits, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+        probes = F.array(F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1)))
+        bit = F.expr("shiftleft(1L, cast(probe % 64 as int))")
+        found = keys.select(F.explode(probes).alias("probe")).groupBy(F.expr("probe div 64").alias("word")).agg(F.bit_or(bit).alias("set"))
+        words = np.zeros(bits // 64, dtype=np.int64)
+        rows = found.toPandas()  # at most most_bits / 64 rows
+        words[rows["word"].to_numpy(dtype=np.int64)] = rows["set"].to_numpy(dtype=np.int64)
+        return cls(bits, words.view(np.uint64))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.int64).view(np.uint64)
+        out = np.ones(len(keys), dtype=bool)
+        for shift in (0, 32):
+            probe = (keys >> np.uint64(shift)) & np.uint64(self.bits - 1)
+            out &= (self.words[probe >> np.uint64(6)] >> (probe & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
 class ChunkTable(dict):
     """Distinct chunk -> what was computed of it, for the chunks of one batch after another.
 

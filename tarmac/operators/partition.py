@@ -133,9 +133,6 @@ def minimize_borders(sg_edges: DataFrame, sg_dist: DataFrame, members: DataFrame
     true_borders = sg_vertices(sg_edges).where("is_border").select("sg_id", "vid", F.lit(True).alias("shared"))
     rows = members.join(true_borders, ["sg_id", "vid"], "left").select("sg_id", "vid", "is_border", F.coalesce("shared", F.lit(False)).alias("shared"))
 
-    def demote(key: tuple, rows: pd.DataFrame, dist: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        return rows
-
     grouped = sg_dist.groupBy("sg_id").agg(F.collect_list(F.struct("a", "b", "d")).alias("dist"))
     owned = sg_edges.groupBy("sg_id").agg(F.collect_list(F.struct("u", "v", "w")).alias("own"))
     packed = rows.groupBy("sg_id").agg(F.collect_list(F.struct("vid", "is_border", "shared")).alias("rows")).join(grouped, "sg_id").join(owned, "sg_id")

@@ -84,6 +84,11 @@ def _sg_edges(n: Network) -> DataFrame:
     return partition.own_edges(n.edges, n.parts(PART))
 
 
+def _skeleton(n: Network) -> Skeleton:
+    """The skeleton's tables are read several times by a query, so they are kept."""
+    return Skeleton(_sg_edges(n).persist()).persist()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["exact_range"](spark, sf_dir)
 
@@ -272,8 +277,8 @@ def subgraph_distances(n: Network) -> DataFrame:
 
 @query(_sql("SELECT *, coalesce(rb2 >= ib2, false) AS br_ok FROM bounds", *BOUNDS))
 def border_bounds(n: Network) -> DataFrame:
-    e = _sg_edges(n)
-    return partition.rb_ib(e, partition.all_pairs(e))
+    s = _skeleton(n)
+    return partition.rb_ib(s.sg_edges, s.sg_dist, s.members)
 
 
 @query(_sql("SELECT d.sg_id, d.b AS vid, min(d.d) AS md FROM sg_dist d JOIN brd x ON x.sg_id = d.sg_id AND x.border = d.a GROUP BY ALL", *SG_DIST))
@@ -307,7 +312,8 @@ def partition_histogram(n: Network) -> DataFrame:
     )
 )
 def partition_audit(n: Network) -> DataFrame:
-    return reports.partition_audit(n.edges, _sg_edges(n))
+    s = _skeleton(n)
+    return reports.partition_audit(n.edges, s.sg_edges, s.sg_dist)
 
 
 @query()
@@ -331,17 +337,17 @@ def merged_partition(n: Network) -> DataFrame:
 
 @query(_sql("SELECT sg_id, a, b, d FROM clique", *CLIQUE))
 def border_clique(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).clique()
+    return _skeleton(n).clique()
 
 
 @query(_sql("SELECT a, b, min(d) AS w FROM clique WHERE a < b GROUP BY a, b", *CLIQUE))
 def skeleton_graph(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).skeleton()
+    return _skeleton(n).skeleton()
 
 
 @query(_sql("SELECT x.sg_id AS sg_a, y.sg_id AS sg_b, count(*) AS shared FROM brd x JOIN brd y ON x.border = y.border AND x.sg_id < y.sg_id GROUP BY ALL", *SG_DIST))
 def subgraph_adjacency(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).sg_adjacency()
+    return _skeleton(n).sg_adjacency()
 
 
 @query(
@@ -352,17 +358,17 @@ def subgraph_adjacency(n: Network) -> DataFrame:
     )
 )
 def object_border_costs(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).border_costs(n.objects)
+    return _skeleton(n).border_costs(n.objects)
 
 
 @query(_sql(f"SELECT query_id, obj_id FROM found WHERE dist <= {RADIUS}", *FIELD, FOUND))
 def skeleton_range(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).range(n.queries(RADIUS), n.objects)
+    return _skeleton(n).range(n.queries(RADIUS), n.objects)
 
 
 @query(ORACLE_SQL["exact_knn"])
 def skeleton_knn(n: Network) -> DataFrame:
-    return Skeleton(_sg_edges(n)).knn(n.queries(k=K), n.objects, 400)
+    return _skeleton(n).knn(n.queries(k=K), n.objects, 400)
 
 
 @query(
@@ -375,7 +381,7 @@ def skeleton_knn(n: Network) -> DataFrame:
     )
 )
 def cover_rules(n: Network) -> DataFrame:
-    s = Skeleton(_sg_edges(n))
+    s = _skeleton(n)
     q = n.queries(RADIUS)
     return s.classify(q, s.border_distances(q))
 
@@ -415,12 +421,12 @@ def border_topology(n: Network) -> DataFrame:
 
 @query(_sql("SELECT sg_id, a AS border, min(d) AS nearest FROM clique GROUP BY ALL", *CLIQUE))
 def nearest_other_border(n: Network) -> DataFrame:
-    return reports.nearest_other_border(Skeleton(_sg_edges(n)))
+    return reports.nearest_other_border(_skeleton(n))
 
 
 @query()
 def border_slack(n: Network) -> DataFrame:
-    return reports.border_slack(Skeleton(_sg_edges(n)))
+    return reports.border_slack(_skeleton(n))
 
 
 REACHED = f"reached AS (SELECT f.query_id, f.vid AS border, f.dist AS d FROM field f WHERE f.dist <= {RADIUS} AND f.vid IN (SELECT border FROM brd))"
@@ -434,24 +440,24 @@ REACHED = f"reached AS (SELECT f.query_id, f.vid AS border, f.dist AS d FROM fie
     )
 )
 def border_exposure(n: Network) -> DataFrame:
-    s = Skeleton(_sg_edges(n))
+    s = _skeleton(n)
     return reports.exposure(s.border_distances(n.queries(RADIUS)), s.border_sg)
 
 
 @query(_sql("SELECT sg_id, count(*) AS events, round(count(*) / (SELECT count(*) FROM reached r JOIN brd USING (border)), 6) AS share FROM reached JOIN brd USING (border) GROUP BY sg_id", *SG_DIST, *FIELD, REACHED))
 def skeleton_hotspots(n: Network) -> DataFrame:
-    s = Skeleton(_sg_edges(n))
+    s = _skeleton(n)
     return reports.hotspots(s.border_distances(n.queries(RADIUS)), s.border_sg)
 
 
 @query()
 def query_sweep(n: Network) -> DataFrame:
-    return reports.sweep(Skeleton(_sg_edges(n)), n.queries(RADIUS), n.objects, [200, 400, RADIUS])
+    return reports.sweep(_skeleton(n), n.queries(RADIUS), n.objects, [200, 400, RADIUS])
 
 
 @query(_sql("SELECT structure, n, n * width AS bytes FROM (SELECT 'edges' AS structure, count(*) AS n, 24 AS width FROM v_edges UNION ALL SELECT 'objects', count(*), 40 FROM v_objects UNION ALL SELECT 'skeleton', count(*), 24 FROM (SELECT DISTINCT a, b FROM clique WHERE a < b))", *CLIQUE))
 def memory_report(n: Network) -> DataFrame:
-    return reports.memory_report({"edges": (n.edges, 24), "objects": (n.objects, 40), "skeleton": (Skeleton(_sg_edges(n)).skeleton(), 24)})
+    return reports.memory_report({"edges": (n.edges, 24), "objects": (n.objects, 40), "skeleton": (_skeleton(n).skeleton(), 24)})
 
 
 # --- updates ------------------------------------------------------------------------------------

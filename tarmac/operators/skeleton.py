@@ -27,8 +27,10 @@ class Skeleton:
         self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id")
 
     def persist(self) -> Skeleton:
+        """Keep the tables that every operation reads."""
         self.sg_dist = self.sg_dist.persist()
         self.members = self.members.persist()
+        self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id").persist()
         return self
 
     def save(self, path: str) -> None:

@@ -6,7 +6,10 @@ wide over ``part``; ``events`` are position updates. ``ctes`` gives the definiti
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WIDTH = 40
 
@@ -43,26 +46,32 @@ class Network:
     def sql(self, query: str) -> DataFrame:
         return self.spark.sql(f"WITH {self._with} {query}")
 
-    @property
+    # Queries read these many times; kept, they also keep plans small.
+
+    @cached_property
     def edges(self) -> DataFrame:
-        return self.sql("SELECT u, v, w FROM v_edges")
+        return self.sql("SELECT u, v, w FROM v_edges").persist()
 
-    @property
+    @cached_property
     def positions(self) -> DataFrame:
-        return self.sql("SELECT * FROM v_positions")
+        return self.sql("SELECT * FROM v_positions").persist()
 
-    @property
+    @cached_property
     def objects(self) -> DataFrame:
-        return self.sql("SELECT * FROM v_objects")
+        return self.sql("SELECT * FROM v_objects").persist()
 
     def queries(self, radius: int | None = None, k: int | None = None) -> DataFrame:
         more = (f", CAST({radius} AS BIGINT) AS radius" if radius is not None else "") + (f", {k} AS k" if k is not None else "")
         return self.sql(f"SELECT *{more} FROM v_queries")
 
+    @property
+    def _vertices(self) -> DataFrame:
+        return self.edges.select(F.explode(F.array("u", "v")).alias("vid")).distinct()
+
     @property
     def coords(self) -> DataFrame:
         """Vertices on a unit grid, in the row-major order of their numbers."""
-        return self.sql(f"SELECT vid, CAST((vid - 1) % {WIDTH} AS DOUBLE) AS x, CAST(floor((vid - 1) / {WIDTH}) AS DOUBLE) AS y FROM (SELECT u AS vid FROM v_edges UNION SELECT v FROM v_edges) t")
+        return self._vertices.select("vid", ((F.col("vid") - 1) % WIDTH).cast("double").alias("x"), F.expr(f"cast((vid - 1) div {WIDTH} as double)").alias("y"))
 
     def parts(self, size: int = 10) -> DataFrame:
-        return self.sql(f"SELECT vid, CAST(floor((vid - 1) / {size}) AS BIGINT) AS part FROM (SELECT u AS vid FROM v_edges UNION SELECT v FROM v_edges) t")
+        return self._vertices.select("vid", F.expr(f"cast((vid - 1) div {size} as bigint)").alias("part"))

@@ -8,6 +8,7 @@ the columns of ``documents``; the last returns one row per packed piece.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarmac.llm import exact_dedup, minhash, packing, quality, queries, suffix_dedup
 from tarmac.llm.common import Workspace
@@ -30,7 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat; ``n_chars`` follows the text."""
-    return suffix_dedup.RepeatedPassages(docs).keep()
+    shorter = suffix_dedup.RepeatedPassages(docs).keep()
+    length = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return shorter.withColumn("n_chars", length)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

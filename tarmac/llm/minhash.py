@@ -1,20 +1,22 @@
 """Near-duplicate groups by an inverted join on signature coordinates.
 
 Documents with the same set of word shingles are one class from the start. Each class has a MinHash signature of
-``K`` coordinates, and each coordinate with its value is a token. A pair of classes with similarity
-of 0.75 agrees on 24 of 32 coordinates on average, and on fewer than ``MATCH`` = 12 once in about
-10^5 pairs, so pairs that agree on at least ``MATCH`` are candidates:
+``K`` = 64 coordinates, and each coordinate with its value is a token. A pair of classes with similarity
+of 0.75 agrees on 48 coordinates on average, and on fewer than ``MATCH`` = 34 once in about 20,000 pairs
+(less similar still, or linked by way of others, far more rarely missed), so pairs that agree on ``MATCH`` are candidates:
 
 * Prefix: with tokens in order of how many classes have them, two classes that share ``MATCH`` tokens
   share one of the ``PREFIX = K - MATCH + 1`` rarest of either. Only those are posted; tokens of
   passages that many documents share are at the end of the order and are not posted.
-* Skip: the long lists behind the prefix are never merged; a pair's full signatures are compared instead.
+* Skip: the long lists behind the prefix are never merged; a pair's full signatures are compared instead,
+  inside the join on posting lists and at the pair's first common token only, so each candidate comes out once.
 * Pairs above the match threshold are confirmed on full shingle sets, exactly.
 
-No group is expanded into all its pairs at first. In a star round each posting list tests its members
-against one hub, and what is linked becomes one component; members of one component need no test.
-After two rounds (first and last member as hub) all pairs of still different components within a list
-are tested, so nothing that shares a prefix token is left out. Components, links and signatures stay in tables.
+No group is expanded into all its pairs at first. The first step tests the members of a posting list against its
+most central class (the original of a group of edited copies has the most widely shared tokens), and what is linked
+becomes one component. The second tests each class with its likeliest partner of another component. Only what
+is still apart after that is compared in full, so nothing that shares a prefix token is left out.
+Components, links and signatures stay in tables. Classes are named by 64 bits of a cryptographic hash of their set.
 
 Defined results: null text is empty; texts without words have an empty set and are linked with nothing;
 texts of fewer than five words have one shingle; rows with equal sets, repeated rows included, are one component;
@@ -37,9 +39,11 @@ from .common import ASCII_SPACE, Bitmap, Workspace, text_of
 from .rolling import Base, Rolling, mix
 
 WORDS = 5
-K = 32
-MATCH = 12
+K = 64
+MATCH = 34
 PREFIX = K - MATCH + 1
+#: Agreement of likely pairs, which are tested before the rest.
+LIKELY = 44
 BLOCK = 1 << 20
 
 _random = np.random.default_rng(20240229)
@@ -123,8 +127,8 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(low ^ _MARKS).view(np.int64)
 
 
-def class_of(found: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+def class_of(found: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,9 +144,9 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 classes.append(class_of(found))
                 tokens.append(signature(found) if len(found) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": batch["at"], "n_shingles": sizes, "cid": classes, "tokens": tokens})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": batch["at"], "n_shingles": sizes, "cid": pd.array(classes, dtype="Int64"), "tokens": tokens})
 
-    return rows.mapInPandas(run, "doc_id long, at long, n_shingles long, cid binary, tokens array<long>")
+    return rows.mapInPandas(run, "doc_id long, at long, n_shingles long, cid long, tokens array<long>")
 
 
 def _full_sets(rows: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -150,9 +154,9 @@ def _full_sets(rows: DataFrame, wanted: Bitmap) -> DataFrame:
         for batch in batches:
             batch = batch[wanted.has(batch["at"].to_numpy())]
             sets = list(shingle_sets(batch["text"]))
-            yield pd.DataFrame({"cid": [class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"cid": pd.array([class_of(s) for s in sets], dtype="Int64"), "shingles": [s.tobytes() for s in sets]})
 
-    return rows.mapInPandas(run, "cid binary, shingles binary").where("cid is not null")
+    return rows.mapInPandas(run, "cid long, shingles binary").where("cid is not null")
 
 
 @F.pandas_udf(BooleanType())
@@ -174,56 +178,64 @@ class NearDuplicates:
         self.classes = self.space.table(classes, "classes")
 
     def postings(self) -> DataFrame:
-        """(token, cid) of each class's prefix, where another class has the token too."""
+        """(cid, posted, central): each class's prefix, where others have its tokens too, and how widely its tokens are shared."""
         tokens = self.classes.select("cid", F.explode("tokens").alias("token"))
         spread = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        shared = tokens.join(spread, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        shared = tokens.join(spread, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"), F.sum("df").alias("central"))
         room = F.lit(PREFIX - K) + F.size("shared")
-        prefix = shared.where(room > 0).select("cid", F.explode(F.slice("shared", F.lit(1), room)).alias("s")).select("s.token", "cid")
-        return self.space.table(prefix, "postings")
-
-    def matches(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the number of coordinates on which they agree, at least ``MATCH``."""
-        tokens = self.signatures
-        both = pairs.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-        return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("agree")).where(F.col("agree") >= MATCH)
+        posted = F.slice("shared", F.lit(1), room)["token"]
+        return self.space.table(shared.where(room > 0).select("cid", posted.alias("posted"), "central"), "postings")
 
     def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
         """Which of the pairs are linked, by their full sets."""
         own = self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         hub = self.sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-        checked = pairs.join(own, "a").join(hub, "b").select("a", "b", _similar("sa", "sb").alias("linked"))
+        checked = pairs.select("a", "b").join(own, "a").join(hub, "b").select("a", "b", _similar("sa", "sb").alias("linked"))
         return self.space.table(checked, label)
 
     def solve(self) -> DataFrame:
         """(cid, comp): the component of each class that another class might be linked with."""
-        postings = self.postings()
-        member = self.space.table(postings.select("cid").distinct(), "members")
-        labels = member.select("cid", F.col("cid").alias("comp"))
-        self.signatures = self.space.table(self.classes.join(member, "cid", "left_semi").select("cid", "at", "tokens"), "signatures")
-        wanted = Bitmap.of(self.signatures.select(F.col("at").alias("key")))
+        members = self.postings().join(self.classes.select("cid", "at", "tokens"), "cid")
+        members = self.space.table(members, "members")
+        wanted = Bitmap.of(members.select(F.col("at").alias("key")))
         found = _full_sets(self.source, wanted).groupBy("cid").agg(F.first("shingles").alias("shingles"))
-        self.sets = self.space.table(found.join(member, "cid", "left_semi"), "sets")
-        tested = None
-        for step in ("first", "last", "all"):
-            lists = postings.join(labels, "cid")
-            if step == "all":
-                a, b = lists.alias("x"), lists.alias("y")
-                pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-            else:
-                one = F.struct("cid", "comp")
-                hubs = lists.groupBy("token").agg((F.min if step == "first" else F.max)(one).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-                pairs = lists.join(hubs.select("token", "hub"), "token").where(F.col("comp") != F.col("hub.comp"))
-                pairs = pairs.groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.count("*").alias("collisions")).select("a", "b")
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-            pairs = self.matches(pairs)
-            if step == "first":  # the likeliest hub of each class; the others are left to later steps
-                pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-            checked = self.confirm(pairs, step)
-            labels = self.space.table(merge(self.space, labels, checked.where("linked").select("a", "b")), "labels")
-            tested = checked if tested is None else tested.union(checked)
-        return labels
+        self.sets = self.space.table(found.join(members.select("cid"), "cid", "left_semi"), "sets")
+        labels = members.select("cid", F.col("cid").alias("comp"))
+
+        # Each class with the most central one of its lists, of several the one it agrees with most.
+        lists = members.select(F.explode("posted").alias("token"), "cid", "central")
+        hubs = lists.groupBy("token").agg(F.max(F.struct("central", "cid")).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
+        pairs = lists.join(hubs.select("token", F.col("hub.cid").alias("b")), "token").where("cid != b").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("collisions"))
+        pairs = pairs.join(members.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(members.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
+        pairs = pairs.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("agree")).where(F.col("agree") >= MATCH)
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
+        tested = self.confirm(pairs, "central")
+        labels = self.space.table(merge(self.space, labels, tested.where("linked")), "labels")
+
+        # Likely pairs of what is still apart, best partners of either side first.
+        pairs = self.space.table(self.apart(members, labels, LIKELY), "likely")
+        best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", "p.b").union(pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("p")).select("p.a", "b")).distinct()
+        checked = self.confirm(best, "best")
+        labels = self.space.table(merge(self.space, labels, checked.where("linked")), "labels")
+        tested = tested.union(checked)
+
+        # All candidates between components that are left.
+        pairs = self.apart(members, labels, MATCH).select("a", "b")
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        checked = self.confirm(pairs, "all")
+        return self.space.table(merge(self.space, labels, checked.where("linked")), "labels")
+
+    def apart(self, members: DataFrame, labels: DataFrame, agree: int) -> DataFrame:
+        """(a, b, agree): pairs of different components that agree on so many coordinates, each once."""
+        lists = members.select("cid", F.explode("posted").alias("token")).join(labels, "cid")
+        mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
+        rows = lists.join(mixed, "token", "left_semi").join(members.select("cid", "posted", "tokens"), "cid")
+        rows = self.space.table(rows, "mixed")
+        x, y = rows.alias("x"), rows.alias("y")
+        first = F.array_min(F.array_intersect("x.posted", "y.posted")) == F.col("x.token")
+        same = F.size(F.array_intersect("x.tokens", "y.tokens"))
+        joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & first & (same >= agree))
+        return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), same.alias("agree"))
 
     def result(self) -> DataFrame:
         labels = self.solve()

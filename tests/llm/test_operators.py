@@ -143,10 +143,10 @@ def test_long_texts_have_the_same_shingles_in_blocks():
 def test_components_of_a_chain(spark):
     from tarmac.plans.work import Workspace
 
-    ids = [bytes([k]) for k in range(20)]
-    labels = spark.createDataFrame([(i, i) for i in ids], "cid binary, comp binary")
-    links = spark.createDataFrame([(ids[k + 1], ids[k]) for k in range(15)], "a binary, b binary")
-    got = {bytes(r.cid): bytes(r.comp) for r in minhash.merge(Workspace(spark, "t"), labels, links).collect()}
+    ids = list(range(20))
+    labels = spark.createDataFrame([(i, i) for i in ids], "cid long, comp long")
+    links = spark.createDataFrame([(ids[k + 1], ids[k]) for k in range(15)], "a long, b long")
+    got = {r.cid: r.comp for r in minhash.merge(Workspace(spark, "t"), labels, links).collect()}
     assert got == {i: ids[0] if k <= 15 else i for k, i in enumerate(ids)}
 
 

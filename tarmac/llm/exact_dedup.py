@@ -28,6 +28,8 @@ from .common import Workspace, digest, text_of
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 DISK_BACKED = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Without files that are allocated ahead: megabytes for each state partition, however small.
+SETTINGS = {STORE: DISK_BACKED, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 KEY = ["text_sha256"]
 
 
@@ -66,13 +68,15 @@ class Deduplicator:
         def emit(batch: DataFrame, number: int) -> None:
             batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.state}/{number}")
 
-        before = self.spark.conf.get(STORE, None)
-        self.spark.conf.set(STORE, DISK_BACKED)
+        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            self.spark.conf.unset(STORE) if before is None else self.spark.conf.set(STORE, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def groups(self) -> DataFrame:
         """The state after the last batch: text_sha256, group_size, keep_id, locator."""

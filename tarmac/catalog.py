@@ -277,8 +277,8 @@ def subgraph_distances(n: Network) -> DataFrame:
 
 @query(_sql("SELECT *, coalesce(rb2 >= ib2, false) AS br_ok FROM bounds", *BOUNDS))
 def border_bounds(n: Network) -> DataFrame:
-    s = _skeleton(n)
-    return partition.rb_ib(s.sg_edges, s.sg_dist, s.members)
+    e = _sg_edges(n)
+    return partition.rb_ib(e, partition.all_pairs(e))
 
 
 @query(_sql("SELECT d.sg_id, d.b AS vid, min(d.d) AS md FROM sg_dist d JOIN brd x ON x.sg_id = d.sg_id AND x.border = d.a GROUP BY ALL", *SG_DIST))
@@ -312,8 +312,7 @@ def partition_histogram(n: Network) -> DataFrame:
     )
 )
 def partition_audit(n: Network) -> DataFrame:
-    s = _skeleton(n)
-    return reports.partition_audit(n.edges, s.sg_edges, s.sg_dist)
+    return reports.partition_audit(n.edges, _sg_edges(n))
 
 
 @query()

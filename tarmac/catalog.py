@@ -322,13 +322,12 @@ def weight_audit(n: Network) -> DataFrame:
 
 @query()
 def grown_partition(n: Network) -> DataFrame:
-    near = n.edges.where("v <= 400")
-    return partition.grow_parts(near, 8)
+    return partition.grow_parts(n.edges, 8)
 
 
 @query()
 def merged_partition(n: Network) -> DataFrame:
-    return partition.merge_small(partition.grow_parts(n.edges.where("v <= 400"), 8), 16)
+    return partition.merge_small(partition.grow_parts(n.edges, 8), 16)
 
 
 # --- skeleton -----------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ Parallel edges and differing weights of the two directions are settled by the sm
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +73,39 @@ def edge_order(seed: int) -> Column:
     return F.pmod(F.col("u") * F.lit(2654435761 + seed) + F.col("v") * F.lit(40503 + 2 * seed), F.lit(1000003))
 
 
+def _cut(edges: DataFrame, order: Column, fraction: float) -> tuple[int, int]:
+    """The order value in which a share of the edges ends, and how many edges of that value are in the share.
+
+    Counts of blocks of 1,000 values and then of the values of one block are read, so 2,001 rows at most come to the driver.
+    """
+    at = edges.select(order.alias("at"))
+    block = F.expr("at div 1000").alias("block")
+
+    def find(counts: list[tuple[int, int]], left: int) -> tuple[int, int]:
+        for value, n in counts:
+            if left <= n:
+                return value, left
+            left -= n
+        return counts[-1]
+
+    counts = sorted(map(tuple, at.groupBy(block).count().collect()))
+    if not counts:
+        return 0, 0
+    share = Decimal(sum(n for _, n in counts)) * Decimal(str(fraction))  # halves are rounded up, as SQL does
+    k, left = find(counts, int(share.to_integral_value(ROUND_HALF_UP)))
+    return find(sorted(map(tuple, at.where(block == k).groupBy("at").count().collect())), left)
+
+
 def reweight(edges: DataFrame, fraction: float, scale: float, increase: bool = True, seed: int = 1) -> DataFrame:
-    """A seeded share of edges, longer (at least as long as before) or shorter (at least 1)."""
-    size = edges.count()
-    chosen = edges.withColumn("r", F.row_number().over(Window.orderBy(edge_order(seed), "u", "v"))) if size <= 1_000_000 else None
-    if chosen is not None:
-        pick = F.col("r") <= F.lit(int(round(size * fraction)))
-    else:  # beyond what one task should rank, the share is taken by hash and holds on average
-        chosen, pick = edges, edge_order(seed) < F.lit(int(1000003 * fraction))
+    """A seeded share of edges, longer (at least as long as before) or shorter (at least 1).
+
+    The share is exact by rank at any size; only the edges of the one order value in which it ends are ranked in one task.
+    """
+    order = edge_order(seed)
+    value, last = _cut(edges, order, fraction)
+    tied = edges.where(order == value).withColumn("r", F.row_number().over(Window.orderBy("u", "v")))
+    chosen = edges.where(order != value).withColumn("r", F.lit(None).cast("int")).unionByName(tied)
+    pick = (order < value) | (F.col("r") <= last)
     scaled = F.round(F.col("w") * F.lit(scale)).cast("bigint")
     new = F.greatest(F.col("w"), scaled) if increase else F.greatest(F.lit(1), scaled)
     return chosen.select("u", "v", F.when(pick, new).otherwise(F.col("w")).alias("w"))

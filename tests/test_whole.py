@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tarmac import catalog
+from tarmac.functions import graph
 from tarmac.sources.network import Network
 
 FOLDER = "/root/testdata/sf0.01"
@@ -15,3 +16,19 @@ def test_partitions_own_every_edge_once(spark, name):
     edges = sorted(map(tuple, Network(spark, FOLDER).edges.collect()))
     assert max(v for _, v, _ in edges) > 400
     assert sorted((r.u, r.v, r.w) for r in catalog.QUERIES[name](spark, FOLDER).collect()) == edges
+
+
+@pytest.mark.parametrize("size", [15, 1_000_100])
+def test_reweight_takes_the_exact_share_by_rank(spark, size):
+    edges = spark.range(1, size + 1).selectExpr("id AS u", "id + 1 + id % 3 AS v", "10L AS w")
+    rows = [(u, u + 1 + u % 3) for u in range(1, size + 1)]
+    ranked = sorted(rows, key=lambda e: ((e[0] * (2654435761 + 1) + e[1] * (40503 + 2)) % 1000003, *e))
+    new = graph.reweight(edges, 0.3, 1.5)
+    assert new.count() == size
+    got = {(r.u, r.v) for r in new.where("w = 15").collect()}
+    assert got == set(ranked[: (3 * size + 5) // 10]) and new.where("w not in (10, 15)").count() == 0
+
+
+def test_reweight_of_all_no_and_absent_edges(spark):
+    edges = spark.createDataFrame([(1, 2, 10), (2, 3, 10)], "u long, v long, w long")
+    assert [graph.reweight(e, f, 1.5).where("w = 15").count() for e, f in ((edges, 0.0), (edges, 1.0), (edges.limit(0), 0.5))] == [0, 2, 0]

@@ -1,7 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (3 to 6, with word ends marked), each hashed to an
-embedding; unseen misspellings share most n-grams with what was learned. A window of ``WINDOW`` words is
+embedding; unseen misspellings share most n-grams with what was learned. A run of more than ``LONGEST``
+characters without white space (joined words, CJK or Thai script, addresses) counts as several words: pieces of ``PIECE`` characters that
+overlap, so that each of its n-grams is in one of them. A window of ``WINDOW`` words is
 the average of its words, and a linear softmax of that average gives its probability. Windows
 overlap by half and cover the whole text; a document scores as its worst window does, so one
 abusive passage shows in a long text; a word right after itself adds nothing. Training runs through the same windows: each epoch takes every
@@ -37,15 +39,38 @@ STEP = 4
 #: Training bounds: labelled documents of each class, bytes of one training text.
 PER_CLASS = 1500
 TRAIN_BYTES = 4096
+#: Longest run that is one word; pieces of longer ones, which share one character less than the longest n-gram.
+LONGEST, PIECE, SHARED = 64, 16, 5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def tokens(text: str) -> list[str]:
+    """Lower-cased words. A piece of a long run has a space before it; a long run right after itself is one empty piece."""
+    words = text.lower().split()
+    if len(max(words, key=len, default="")) <= LONGEST:
+        return words
+    out: list[str] = []
+    for w, before in zip(words, ["", *words]):
+        core = EDGE.sub("", w) if len(w) > LONGEST else w
+        if len(core) <= LONGEST:
+            out.append(w)
+        elif w == before:
+            out.append(" ")
+        else:
+            marked = f"<{core}>"
+            out += [" " + marked[i : i + PIECE] for i in range(0, len(marked) - SHARED, PIECE - SHARED)]
+    return out
+
+
 def grams(word: str) -> list[int]:
-    """Hashed n-grams of a lower-cased word; none if it has no word characters."""
-    core = EDGE.sub("", word)[:64]
-    if not core:
+    """Hashed n-grams of one of ``tokens``; none if it has no word characters."""
+    if word.startswith(" "):
+        marked = word[1:]
+    else:
+        core = EDGE.sub("", word)
+        marked = f"<{core}>" if core else ""
+    if not marked:
         return []
-    marked = f"<{core}>"
     return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in (3, 4, 5, 6) for i in range(max(1, len(marked) - n + 1))]
 
 
@@ -59,16 +84,17 @@ class Model:
     def __reduce__(self) -> tuple:
         return Model, (self.gram_margin, self.bias)
 
-    def _margins(self, words: list[str]) -> list[float]:
-        bags = [grams(w) for w in words]
-        sizes = np.array([len(b) for b in bags])
-        flat = self.gram_margin[np.fromiter((g for b in bags for g in b), dtype=np.int64, count=int(sizes.sum()))]
-        sums = np.bincount(np.repeat(np.arange(len(bags)), sizes), flat, len(bags))
-        return (sums / np.maximum(sizes, 1)).tolist()
+    def _margins(self, words: list[str]) -> Iterator[float]:
+        for at in range(0, len(words), 20_000):
+            bags = [grams(w) for w in words[at : at + 20_000]]
+            sizes = np.array([len(b) for b in bags])
+            flat = self.gram_margin[np.fromiter((g for b in bags for g in b), dtype=np.int64, count=int(sizes.sum()))]
+            sums = np.bincount(np.repeat(np.arange(len(bags)), sizes), flat, len(bags))
+            yield from (sums / np.maximum(sizes, 1)).tolist()
 
     def score(self, texts: Iterable[str]) -> Iterator[float]:
         for run in groups(texts):
-            cut = [t.lower().split() for t in run]
+            cut = [tokens(t) for t in run]
             self.words.learn(w for words in cut for w in words)
             for words in cut:
                 margins = np.fromiter(map(self.words.__getitem__, words), dtype=np.float64, count=len(words))
@@ -96,7 +122,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 20, seed: int = 5) -> M
     bags: dict[str, list[int]] = {}
     docs = []
     for t in texts:
-        words = t.decode("utf-8", "ignore").lower().split()
+        words = tokens(t.decode("utf-8", "ignore"))
         for w in words:
             if w not in bags:
                 bags[w] = grams(w)

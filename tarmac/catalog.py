@@ -127,6 +127,22 @@ def range_direct(n: Network) -> DataFrame:
     return queries.exact_range(q, n.objects, n.edges, same_edge="direct")
 
 
+ALL_DIRECT = tuple(part.replace(" WHERE obj_id % 25 = 0", "") for part in DIRECT_FIELD)
+
+
+@query(
+    _sql(
+        f"""SELECT query_id, obj_id, min(dist) AS dist FROM (SELECT * FROM found UNION ALL
+        SELECT q.query_id, o.obj_id, abs(o.offset_ - q.offset_) FROM v_direct q JOIN v_objects o ON o.u = q.u AND o.v = q.v) WHERE dist <= {NEAR} GROUP BY ALL""",
+        *ALL_DIRECT,
+    )
+)
+def range_direct_all(n: Network) -> DataFrame:
+    """As ``range_direct``, with a query at every object."""
+    q = n.objects.select(F.col("obj_id").alias("query_id"), "u", "v", "w", (F.col("w") - 1).alias("offset_"), F.lit(NEAR).cast("bigint").alias("radius"))
+    return queries.exact_range(q, n.objects, n.edges, same_edge="direct")
+
+
 @query(
     _sql(
         f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, obj_id) AS rnk, obj_id, dist FROM found QUALIFY rnk <= {K}",
@@ -195,6 +211,11 @@ def neighbours(n: Network) -> DataFrame:
     return graph.neighbours(n.edges, graph.vertices(n.edges).where("vid % 7 = 0"))
 
 
+@query(_sql("SELECT s AS vid, d AS neighbour, w FROM arcs", ARCS))
+def neighbours_all(n: Network) -> DataFrame:
+    return graph.neighbours(n.edges, graph.vertices(n.edges))
+
+
 @query(_sql("SELECT u, v, CASE WHEN (u + v) % 5 = 0 THEN w + 3 ELSE w END AS w FROM v_edges"))
 def connect_edges(n: Network) -> DataFrame:
     return graph.connect(n.edges, n.edges.where("(u + v) % 5 = 0").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("w") + 3).alias("w")))
@@ -252,11 +273,21 @@ def objects_on_edges(n: Network) -> DataFrame:
     return queries.objects_on(n.objects, n.edges.where("(u + v) % 6 = 1").select("v", "u")).select("obj_id", "u", "v", "w", "offset_")
 
 
+@query(_sql("SELECT obj_id, u, v, w, offset_ FROM v_objects"))
+def objects_on_all_edges(n: Network) -> DataFrame:
+    return queries.objects_on(n.objects, n.edges.select("v", "u")).select("obj_id", "u", "v", "w", "offset_")
+
+
 @query(_sql("SELECT vid, obj_id FROM (SELECT u AS vid, obj_id FROM v_objects UNION ALL SELECT v, obj_id FROM v_objects) WHERE vid % 9 = 0"))
 def objects_at_vertices(n: Network) -> DataFrame:
     return queries.objects_at(n.objects, graph.vertices(n.edges).where("vid % 9 = 0"))
 
 
+@query(_sql("SELECT u AS vid, obj_id FROM v_objects UNION ALL SELECT v, obj_id FROM v_objects"))
+def objects_at_all_vertices(n: Network) -> DataFrame:
+    return queries.objects_at(n.objects, graph.vertices(n.edges))
+
+
 # --- partition ----------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pytest
 
 from tarmac import catalog
@@ -32,3 +34,36 @@ def test_reweight_takes_the_exact_share_by_rank(spark, size):
 def test_reweight_of_all_no_and_absent_edges(spark):
     edges = spark.createDataFrame([(1, 2, 10), (2, 3, 10)], "u long, v long, w long")
     assert [graph.reweight(e, f, 1.5).where("w = 15").count() for e, f in ((edges, 0.0), (edges, 1.0), (edges.limit(0), 0.5))] == [0, 2, 0]
+
+
+def test_lookups_take_all_vertices_edges_and_objects(spark):
+    n = Network(spark, FOLDER)
+    edges, objects = [tuple(r) for r in n.edges.collect()], [tuple(r) for r in n.objects.collect()]
+    rows = {name: sorted(map(tuple, catalog.QUERIES[name](spark, FOLDER).collect())) for name in ("neighbours_all", "objects_on_all_edges", "objects_at_all_vertices")}
+    assert rows["neighbours_all"] == sorted([(u, v, w) for u, v, w in edges] + [(v, u, w) for u, v, w in edges])
+    assert rows["objects_on_all_edges"] == sorted(objects)
+    assert rows["objects_at_all_vertices"] == sorted([(o[1], o[0]) for o in objects] + [(o[2], o[0]) for o in objects])
+
+
+def test_direct_range_has_a_query_at_every_object(spark):
+    folder = "/root/testdata/sf0.001"
+    n = Network(spark, folder)
+    edges, objects = [tuple(r) for r in n.edges.collect()], [tuple(r) for r in n.objects.collect()]
+    near = {}
+    for u, v, w in edges:
+        near.setdefault(u, []).append((v, w))
+        near.setdefault(v, []).append((u, w))
+    expected = []
+    for q, u, v, w, _ in objects:
+        best, heap = {}, [(w - 1, u), (1, v)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x not in best and d <= catalog.NEAR:
+                best[x] = d
+                for y, more in near[x]:
+                    heapq.heappush(heap, (d + more, y))
+        for o, a, b, long, at in objects:
+            ways = [best[x] + more for x, more in ((a, at), (b, long - at)) if x in best] + [abs(at - (w - 1))] * ((a, b) == (u, v))
+            if ways and min(ways) <= catalog.NEAR:
+                expected.append((q, o, min(ways)))
+    assert sorted(map(tuple, catalog.QUERIES["range_direct_all"](spark, folder).collect())) == sorted(expected)

@@ -2,7 +2,7 @@
 
 Documents with the same set of word shingles are one class from the start. Each class has a MinHash signature of
 ``K`` = 64 coordinates, and each coordinate with its value is a token. A pair of classes with similarity
-of 0.75 agrees on 48 coordinates on average, and on fewer than ``MATCH`` = 34 once in about 20,000 pairs
+of 0.75 agrees on 48 coordinates on average, and on fewer than ``MATCH`` = 30 once in about 2,600,000 pairs
 (less similar still, or linked by way of others, far more rarely missed), so pairs that agree on ``MATCH`` are candidates:
 
 * Prefix: with tokens in order of how many classes have them, two classes that share ``MATCH`` tokens
@@ -40,7 +40,7 @@ from .rolling import Base, Rolling, mix
 
 WORDS = 5
 K = 64
-MATCH = 34
+MATCH = 30
 PREFIX = K - MATCH + 1
 #: Agreement of likely pairs, which are tested before the rest.
 LIKELY = 44

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
-from tarmac.llm import toxicity
+from tarmac.llm import minhash, toxicity
 
 
 def test_toxicity_scores_every_part_of_a_long_run():
@@ -24,3 +26,17 @@ def test_toxicity_repeats_of_a_long_run_add_nothing():
     run = "_".join(f"word{k}" for k in range(12))
     once, twice = model.score([run, f"{run} {run}"])
     assert twice <= once + 1e-12
+
+
+def test_near_copies_that_agree_on_few_coordinates_are_linked(spark):
+    rng = random.Random(11)
+    found = []
+    while len(found) < 2:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(12)]
+        whole, part = " ".join(words), " ".join(words[:10])  # 8 and 6 shingles: similarity 0.75
+        a, b = map(minhash.signature, minhash.shingle_sets([whole.encode(), part.encode()]))
+        if 30 <= (a == b).sum() < 34:
+            found.append((whole, part))
+    rows = [(2 * k + side, text) for k, pair in enumerate(found) for side, text in enumerate(pair)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got["component_id"].to_dict() == {0: 0, 1: 0, 2: 2, 3: 2}

@@ -8,8 +8,7 @@ rows equal in both are interchangeable.
 from __future__ import annotations
 
 import gc
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -96,24 +95,29 @@ class Bitmap:
 class ChunkTable(dict):
     """Distinct chunk -> what was computed of it, for the chunks of one batch after another.
 
-    ``learn`` computes the chunks that are missing, all in one call. A table that holds ``bound``
-    chunks is emptied first, and chunks longer than ``longest`` go when the next batch comes, so
+    ``learn`` computes the chunks that are missing, all in one call. A table that has grown past ``bound`` bytes
+    (estimated) is emptied first, and chunks longer than ``longest`` go when the next batch comes, so
     memory is bounded by the table's bound and one batch, not by the corpus.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int = 300_000, longest: int = 64) -> None:
+    #: Bytes of an entry besides its characters and a value of bytes or text.
+    ENTRY = 240
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int = 64_000_000, longest: int = 64) -> None:
         super().__init__()
-        self.compute, self.bound, self.longest, self.large = compute, bound, longest, []
+        self.compute, self.bound, self.longest, self.large, self.held = compute, bound, longest, [], 0
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def learn(self, lists: Sequence[Sequence[str]]) -> None:
         for chunk in self.large:
             self.pop(chunk, None)
-        if len(self) >= self.bound:
+        if self.held > self.bound:
             self.clear()
-        new = list(set(chunks).difference(self))
+            self.held = 0
+        new = list(set().union(*lists).difference(self))
         self.large = [c for c in new if len(c) > self.longest]
         if new:
             self.update(zip(new, self.compute(new)))
+            self.held += self.ENTRY * (len(new) - len(self.large)) + 2 * sum(map(len, new)) - 2 * sum(map(len, self.large))
 
 
 @contextmanager
@@ -137,6 +141,3 @@ def groups(texts: Iterable[str], most: int = 4_000_000) -> Iterator[list[str]]:
         size += len(text)
     if run:
         yield run
-
-
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")

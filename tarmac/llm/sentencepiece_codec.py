@@ -6,7 +6,7 @@ a run of markers and the characters up to the next marker, and encoding a chunk
 ids it has in the text. Each distinct chunk is segmented once by the library and its ids are joined
 back by position. ``Codec`` refuses a model for which the rule does not hold.
 
-The table lives in the Python worker and holds at most ``bound`` chunks of at most 64 characters;
+The table lives in the Python worker, holds chunks of at most 64 characters and is bounded in bytes;
 it is emptied when full and rebuilt, so memory does not follow the corpus. (One table for the whole
 cluster would need every occurrence of every word shuffled to join the ids back.)
 
@@ -35,7 +35,7 @@ CROSSES = re.compile(f"[^{MARK}]{MARK}")
 class Codec:
     """Encodes and decodes like the library, with an end id only and no sampling."""
 
-    def __init__(self, model: str, bound: int = 400_000) -> None:
+    def __init__(self, model: str) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -45,7 +45,7 @@ class Codec:
         if self.library.normalize(" Ａ ") != f"{MARK}{MARK}Ａ{MARK}":
             raise ValueError("the model normalises text; chunks cannot be cut before that")
         self.end = self.library.eos_id()
-        self.ids = ChunkTable(self._segment, bound)
+        self.ids = ChunkTable(self._segment)
         #: What the library puts before each text: its own marker.
         self.prefix = MARK
 
@@ -63,14 +63,14 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)
-        self.ids.learn(chunks)
+        self.ids.learn([chunks])
         return [int(i) for c in chunks for i in self.ids[c][0].split()] + [self.end]
 
     def summaries(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the decoded text, of each text."""
         for run in groups(texts):
             cut = [self.chunks(text) for text in run]
-            self.ids.learn(c for chunks in cut for c in chunks)
+            self.ids.learn(cut)
             for text, chunks in zip(run, cut):
                 found = list(map(self.ids.__getitem__, chunks))
                 ids = " ".join([f[0] for f in found] + [str(self.end)])

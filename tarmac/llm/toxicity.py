@@ -95,7 +95,7 @@ class Model:
     def score(self, texts: Iterable[str]) -> Iterator[float]:
         for run in groups(texts):
             cut = [tokens(t) for t in run]
-            self.words.learn(w for words in cut for w in words)
+            self.words.learn(cut)
             for words in cut:
                 margins = np.fromiter(map(self.words.__getitem__, words), dtype=np.float64, count=len(words))
                 margins[1:][np.fromiter(map(eq, words, words[1:]), dtype=bool, count=max(0, len(words) - 1))] = 0

@@ -191,9 +191,67 @@ def test_plans_place_each_piece_once(seed):
     assert sorted(used) == list(range(plan.sequences))
 
 
+def optimum(lengths: list[int], capacity: int) -> int:
+    """The least number of sequences, by trying every place."""
+    best = [len(lengths)]
+
+    def place(k: int, rooms: list[int]) -> None:
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in {room: n for n, room in enumerate(rooms) if room >= lengths[k]}.values():
+            rooms[r] -= lengths[k]
+            place(k + 1, rooms)
+            rooms[r] += lengths[k]
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plans_of_small_histograms_against_the_optimum():
+    rng = random.Random(3)
+    over = 0
+    for _ in range(40):
+        lengths = sorted((rng.randint(1, 24) for _ in range(rng.randint(1, 12))), reverse=True)
+        plan, best = packing.Plan(np.bincount(lengths, minlength=25), 24), optimum(lengths, 24)
+        assert best <= plan.sequences <= best + 1
+        over += plan.sequences - best
+    assert over <= 6
+
+
+def test_least_squares_are_not_negative_and_exact_where_they_can_be():
+    found = [(5, 3), (4, 4), (5, 2, 1), (3, 3, 2), (6, 1, 1)]
+    made = np.array([7.0, 0.0, 4.0, 0.0, 9.0])
+    counts = sum(n * np.bincount(p, minlength=7) for n, p in zip(made, found))
+    assert np.allclose(packing.fit(counts, found), made, atol=1e-6)
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        counts = rng.integers(0, 50, 7)
+        x = packing.fit(counts, found)
+        a = np.stack([np.bincount(p, minlength=7) for p in found], 1)
+        gain = a.T @ (counts - a @ x)
+        assert (x >= 0).all() and (gain <= 1e-5 * max(1, counts.max())).all() and (np.abs(gain[x > 0]) <= 1e-4 * max(1, counts.max())).all()
+
+
+def test_patterns_carry_most_sequences():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(np.exp(rng.normal(6.3, 1.2, 20_000)).astype(int) + 1, 4096)
+    counts = np.bincount(lengths, minlength=4097)
+    plan = packing.Plan(counts, 4096)
+    assert plan.fitted >= 0.6 * (plan.sequences - plan.full)
+    assert plan.sequences <= 1.002 * -(-int((counts * np.arange(4097)).sum()) // 4096) + 1
+
+
+def test_merge_table_gives_what_the_vocabulary_gives():
+    assert packing.Merges(WORD_BPE).check()
+
+
 def test_word_tokens_equal_the_library():
     rng = random.Random(5)
-    parts = [" ", "a", "The", "É", "\n", "\t", "\x00", "é", "漢", "🎉", "́", "<|endoftext|>", "İ", "ß", "Σ", "'s", "1", "23", ".", "\x1c", "\x85", "　", "\xa0", "don't", "...", "K", "!!"]
+    parts = [" ", "a", "The", "É", "\n", "\t", "\x00", "é", "漢", "🎉", "́", "<|endoftext|>", "İ", "ß", "Σ", "'s", "1", "23", ".", "\x1c", "\x85", "　", "\xa0", "don't", "...", "K", "!!", "\x7f", "ÿß", "»", "…", "’s", "'ll", "ÀÖ", "<|", "µ", "×"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(4000)]
     t = packing.WordTokenizer(WORD_BPE)
     for text, ids in zip(texts, t.encode(texts)):

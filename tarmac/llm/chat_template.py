@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import through_python
+
 
 class TemplateError(ValueError):
     """A template that is not in the language, or an operation that it does not allow."""
@@ -516,8 +518,7 @@ def format_chats(rows: DataFrame, source: str = TURNS) -> DataFrame:
             made = [template.render(messages=[{"role": t["role"], "text": t["text"]} for t in turns]) for turns in batch["turns"]]
             yield pd.DataFrame({"conv_id": batch["conv_id"], "text": [t for t, _ in made], "starts": [[a for a, _ in s] for _, s in made], "ends": [[b for _, b in s] for _, s in made]})
 
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    return conversations(rows).mapInPandas(run, f"conv_id {kind}, text string, starts array<int>, ends array<int>")
+    return through_python(conversations(rows), run, "text string, starts array<int>, ends array<int>", "conv_id")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -533,8 +534,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 out.append((conv_id, len(turns), _sha(whole), len(trained), _sha(trained), len(text)))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return through_python(formatted, run, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", "conv_id")
 
 
 def _sha(text: str) -> str:

@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..plans.work import Workspace, delete, shared_dir
 
@@ -33,16 +35,30 @@ def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def through_python(rows: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """``mapInPandas`` with the id as text on the way, since pandas would round large ids beside nulls. The schema names the other columns."""
+    kind = rows.schema[id_col].dataType
+    found = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{id_col} string, {schema}")
+    return found.withColumn(id_col, F.col(id_col).cast(kind))
+
+
+def free_names(frame: DataFrame, n: int) -> list[str]:
+    """Column names that the frame does not have, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    return [name for k in range(n + len(taken)) if (name := f"own_{k}") not in taken][:n]
+
+
 def digest(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_class`` labelled training rows of each class, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``per_class`` labelled training rows of each class, picked by a hash of the id, with their whole texts.
 
     The ids are picked first, from the labels alone, so the texts are matched by a broadcast of a
-    proven size (2 * per_class ids) and the corpus is not shuffled. ``max_bytes`` bounds one
-    training text on the driver (a training bound only; scoring always reads whole texts).
+    proven size (2 * per_class ids) and the corpus is not shuffled. ``most_bytes`` bounds all texts of
+    the sample together: in the order of the pick, a row whose text does not fit in what is left of its class's half is passed over.
+    Of several texts of one id the least in order is taken.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out())
     rows = rows.select("doc_id", F.col(target).cast("int").alias("y"), F.xxhash64(F.lit(41), "doc_id").alias("pick")).dropDuplicates(["doc_id"])
@@ -50,15 +66,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     for y in (0, 1):
         part = rows.where(F.col("y") == y).orderBy("pick", "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    ids = {r.doc_id: r.y for r in picked.collect()}
-    if not ids:
+    chosen = {r.doc_id: (r.y, r.pick) for r in picked.collect()}
+    if not chosen:
         return [], np.zeros(0)
-    spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame(sorted(ids), "bigint").toDF("doc_id"))
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(text_of("text").cast("binary"), 1, max_bytes).alias("text")).join(small, "doc_id")
-    found = sorted((r.doc_id, bytes(r.text)) for r in found.collect())
-    found = list(dict(found).items())
-    return [t for _, t in found], np.array([ids[i] for i, _ in found], dtype=np.float64)
+
+    def of_ids(ids: Iterable[int], value: Column) -> list:
+        small = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id bigint"))
+        found = docs.select(F.col("doc_id").cast("bigint").alias("id"), value.alias("value")).join(small, "id")
+        return [(r.id, r.value) for r in found.groupBy("id").agg(F.min("value").alias("value")).collect()]
+
+    sizes = dict(of_ids(chosen, F.octet_length(text_of("text"))))
+    room, ids = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    for i in sorted(sizes, key=lambda i: (chosen[i][1], i)):
+        if sizes[i] <= room[chosen[i][0]]:
+            room[chosen[i][0]] -= sizes[i]
+            ids.append(i)
+    found = sorted((i, bytes(t)) for i, t in of_ids(ids, text_of("text").cast("binary"))) if ids else []
+    return [t for _, t in found], np.array([chosen[i][0] for i, _ in found], dtype=np.float64)
 
 
 class Bitmap:
@@ -92,6 +116,16 @@ class Bitmap:
         return out
 
 
+def among(bitmap: Bitmap, wanted: bool) -> Callable:
+    """A test of keys: whether they may be in the bitmap's set (``wanted``), or cannot be."""
+
+    @F.pandas_udf(BooleanType())
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.has(keys.to_numpy()) == wanted)
+
+    return test
+
+
 class ChunkTable(dict):
     """Distinct chunk -> what was computed of it, for the chunks of one batch after another.
 

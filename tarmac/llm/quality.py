@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, text_of
+from .common import free_names, held_out, labelled_sample, text_of, through_python
 
 WIDTH = 3
 FILTERS = 12
@@ -33,9 +33,9 @@ CHUNK = 64
 STEP = 32
 LAGS = range(2, 25)
 BLOCK = 1 << 16
-#: Training bounds: labelled documents of each class, bytes of one training text.
+#: Bounds of the training sample: labelled documents of each class, bytes of all their texts together.
 PER_CLASS = 500
-TRAIN_BYTES = 2048
+SAMPLE_BYTES = 1 << 26
 
 
 def repeated(data: np.ndarray) -> np.ndarray:
@@ -168,9 +168,9 @@ def _backward(net: Network, symbols: np.ndarray, y: float, weight: float, ups: l
         np.add.at(ups[0][k], taps[k], on.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = TRAIN_BYTES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels, "quality", per_class, max_bytes))
+    return fit(*labelled_sample(docs, labels, "quality", per_class, most_bytes))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "
         return np.array([shared.value.probability(bytes(t)) for t in texts], dtype=np.float64)
 
     if keep:
-        name = next(f"kept_{k}" for k in range(len(docs.columns) + 1) if f"kept_{k}" not in docs.columns)
+        (name,) = free_names(docs, 1)
 
         @F.pandas_udf("double")
         def probability(texts: pd.Series) -> pd.Series:
@@ -194,6 +194,5 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "
             found = scores(batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": found, "predicted": (found >= threshold).astype(np.int32)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return through_python(rows, run, "held_out boolean, score double, predicted int")

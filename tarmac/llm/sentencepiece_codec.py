@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, groups, no_cycles, text_of
+from .common import ChunkTable, groups, no_cycles, text_of, through_python
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -96,8 +96,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 found = list(codec(model).summaries(batch["text"]))
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [f[0] for f in found], "ids_sha256": [f[1] for f in found], "decoded_sha256": [f[2] for f in found]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return through_python(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,5 +107,4 @@ def encode_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [codec(model).encode(t) for t in batch["text"]]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return through_python(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, "ids array<int>")

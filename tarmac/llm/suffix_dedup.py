@@ -34,9 +34,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .common import Bitmap, Workspace, text_of
+from .common import Bitmap, Workspace, among, free_names, text_of, through_python
 from .rolling import Base, Rolling
 
 SPAN = 200
@@ -188,14 +187,6 @@ def _windows(contexts: DataFrame) -> DataFrame:
     return contexts.mapInPandas(run, "at long, p long, open boolean, name1 long, name2 long")
 
 
-def _among(bitmap: Bitmap, wanted: bool):
-    @F.pandas_udf(BooleanType())
-    def test(keys: pd.Series) -> pd.Series:
-        return pd.Series(bitmap.has(keys.to_numpy()) == wanted)
-
-    return test
-
-
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint maximal runs of spans; runs that touch are one."""
     order = np.argsort(starts, kind="stable")
@@ -233,7 +224,7 @@ class RepeatedPassages:
         listed = contexts.join(mixed, "gram", "left_semi").select("one.at", "one.place", (F.col("n") == 1).alias("open"))
         listed = space.table(listed.groupBy("at").agg(F.collect_list(F.struct("place", "open")).alias("listed")), "listed")
         wanted = Bitmap.of(listed.select(F.col("at").alias("key")))
-        texts = self.source.where(_among(wanted, True)("at"))
+        texts = self.source.where(among(wanted, True)("at"))
         held = space.table(_contexts(texts.join(listed, "at")).dropDuplicates(["at", "place"]), "bytes")
 
         # Cells: unique cores drop out, repeated extents are done.
@@ -271,10 +262,9 @@ class RepeatedPassages:
         """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
         runs = self.runs()
         losing = Bitmap.of(runs.select(F.col("at").alias("key")))
-        kind = self.docs.schema[self.id_col].dataType.simpleString()
         rows = self.docs.select(F.col(self.id_col).alias("doc_id"), self.key.alias("at"), text_of(self.text_col).cast("binary").alias("text"))
         whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
-        clean = rows.where(_among(losing, False)("at")).select("doc_id", *whole)
+        clean = rows.where(among(losing, False)("at")).select("doc_id", *whole)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -284,17 +274,18 @@ class RepeatedPassages:
                     out.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(bytes(text), spans)).hexdigest()))
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        cut = rows.where(_among(losing, True)("at")).join(runs, "at", "left")
-        return clean.unionByName(cut.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        cut = rows.where(among(losing, True)("at")).join(runs, "at", "left")
+        return clean.unionByName(through_python(cut, run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
     def keep(self) -> DataFrame:
         """The documents with their texts less the repeated passages, and all other columns."""
-        runs = self.runs().withColumnRenamed("at", "_at").withColumnRenamed("spans", "_spans")
-        losing = Bitmap.of(runs.select(F.col("_at").alias("key")))
-        rows = self.docs.withColumn("_key", self.key)
-        clean = rows.where(_among(losing, False)("_key")).drop("_key")
-        cut = rows.where(_among(losing, True)("_key")).join(runs, F.col("_key") == F.col("_at"), "left")
-        shorter = cut.withColumn(self.text_col, F.when(F.col("_spans").isNull(), F.col(self.text_col)).otherwise(_shorter(text_of(self.text_col).cast("binary"), F.to_json("_spans"))))
+        key, at, spans = free_names(self.docs, 3)
+        runs = self.runs().select(F.col("at").alias(at), F.col("spans").alias(spans))
+        losing = Bitmap.of(runs.select(F.col(at).alias("key")))
+        rows = self.docs.withColumn(key, self.key)
+        clean = rows.where(among(losing, False)(key)).drop(key)
+        cut = rows.where(among(losing, True)(key)).join(runs, F.col(key) == F.col(at), "left")
+        shorter = cut.withColumn(self.text_col, F.when(F.col(spans).isNull(), F.col(self.text_col)).otherwise(_shorter(text_of(self.text_col).cast("binary"), F.to_json(spans))))
         return clean.unionByName(shorter.select(*clean.columns))
 
 

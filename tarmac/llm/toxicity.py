@@ -30,15 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, groups, held_out, labelled_sample, no_cycles, text_of
+from .common import ChunkTable, groups, held_out, labelled_sample, no_cycles, text_of, through_python
 
 BUCKETS = 1 << 16
 DIMS = 4
 WINDOW = 8
 STEP = 4
-#: Training bounds: labelled documents of each class, bytes of one training text.
+#: Bounds of the training sample: labelled documents of each class, bytes of all their texts together.
 PER_CLASS = 1500
-TRAIN_BYTES = 4096
+SAMPLE_BYTES = 1 << 26
 #: Longest run that is one word; pieces of longer ones, which share one character less than the longest n-gram.
 LONGEST, PIECE, SHARED = 64, 16, 5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -178,9 +178,9 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 20, seed: int = 5) -> M
     return Model(known * (embed @ (soft[:, 1] - soft[:, 0])), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = TRAIN_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels, "toxic", per_class, max_bytes))
+    return fit(*labelled_sample(docs, labels, "toxic", per_class, most_bytes))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,6 +193,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
                 scores = np.fromiter(shared.value.score(batch["text"]), dtype=np.float64, count=len(batch))
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return through_python(rows, run, "held_out boolean, score double, predicted int")

@@ -7,11 +7,12 @@ the stable identifier and locator of the one that stays. A streaming aggregation
 digests before its shuffle, so a group that a third of all rows belong to sends one row for each task.
 
 The locator is (id, hash of the original text); with it the rows of every hit are read again and
-their full normalised bytes compared with those of the row that stays. Rows whose bytes differ
-although the digest is the same are grouped by the bytes themselves.
+their full normalised bytes compared: the least and the greatest bytes of a digest, combined in each task before
+the shuffle, are equal or the digest stands for several texts. Such rows are grouped by the bytes themselves.
 
 A ``Deduplicator`` keeps its log and state between calls of ``ingest``: later arrivals are judged
-against all earlier ones, and a restart resumes from the checkpoint.
+against all earlier ones, and a restart resumes from the checkpoint. Updates of a batch are merged into one table
+when it ends. Bytes are compared by ``deduplicate``, which has the documents at hand; ``ingest`` goes by digests.
 
 Defined results: null text counts as empty, empty texts are equal to each other and to texts of white
 space; of equal texts the longest stays, then the smallest id (a null id last); rows equal in id
@@ -21,10 +22,12 @@ empty table gives an empty result; other columns are kept by ``keep`` and never
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, digest, text_of
+from .common import Bitmap, Workspace, among, delete, digest, free_names, text_of
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 DISK_BACKED = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,7 +65,8 @@ class Deduplicator:
         source = self.spark.readStream.schema(rows.schema)
         if self.files_per_batch:
             source = source.option("maxFilesPerTrigger", self.files_per_batch)
-        stays = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), "locator"))
+        # The complement falls as the id rises, for every id.
+        stays = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("minus_id"), "locator"))
         state = source.parquet(self.log).groupBy("text_sha256").agg(F.count("*").alias("group_size"), stays.alias("stays"))
 
         def emit(batch: DataFrame, number: int) -> None:
@@ -77,13 +81,29 @@ class Deduplicator:
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        self._compact()
+
+    def _updates(self) -> DataFrame:
+        schema = "text_sha256 string, group_size long, stays struct<n_chars: long, minus_id: long, locator: long>, batch int"
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.state)
+
+    def _compact(self) -> None:
+        """One table of the last update of each digest in place of one for each batch; the same update twice does no harm if this is cut short."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.state)
+        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(hadoop):
+            return
+        old = [str(f.getPath()) for f in files.listStatus(hadoop)]
+        if len(old) > 1:
+            last = self._updates().groupBy("text_sha256").agg(F.max(F.struct("batch", "group_size", "stays")).alias("last"))
+            last.select("text_sha256", "last.group_size", "last.stays", "last.batch").write.parquet(f"{self.state}/merged-{uuid.uuid4().hex}")
+            for path in old:
+                delete(self.spark, path)
 
     def groups(self) -> DataFrame:
         """The state after the last batch: text_sha256, group_size, keep_id, locator."""
-        schema = "text_sha256 string, group_size long, stays struct<n_chars: long, minus_id: long, locator: long>, batch int"
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.state)
-        last = rows.groupBy("text_sha256").agg(F.max(F.struct("batch", "group_size", "stays")).alias("last"))
-        return last.select("text_sha256", "last.group_size", (-F.col("last.stays.minus_id")).alias("keep_id"), F.col("last.stays.locator").alias("keep_locator"))
+        last = self._updates().groupBy("text_sha256").agg(F.max(F.struct("batch", "group_size", "stays")).alias("last"))
+        return last.select("text_sha256", "last.group_size", F.bitwise_not(F.col("last.stays.minus_id")).alias("keep_id"), F.col("last.stays.locator").alias("keep_locator"))
 
     def seen(self) -> DataFrame:
         return self.spark.read.parquet(self.log)
@@ -94,24 +114,29 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     engine = Deduplicator(spark)
     engine.ingest(docs, id_col, text_col)
-    groups = engine.space.table(engine.groups(), "groups")
+    judged = engine.seen().join(engine.groups(), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256", "locator", "keep_locator", "n_chars")
+    judged = engine.space.table(judged, "judged")
 
-    # Full bytes of every hit against those of the row that stays.
+    # Full bytes of every hit. The rows are picked by a filter that misses none, without a shuffle.
+    hits = Bitmap.of(judged.where("group_size > 1").select(F.col("locator").alias("key")).distinct())
     text = text_of(text_col)
-    hits = arrivals_with_text(docs, id_col, text).join(groups.where("group_size > 1"), "text_sha256")
-    hits = engine.space.table(hits.select("text_sha256", "doc_id", "locator", "keep_id", "keep_locator", "bytes"), "hits")
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
-    stays = stays.groupBy("text_sha256").agg(F.min("bytes").alias("kept_bytes"))
-    other = hits.select("text_sha256", "doc_id", "locator", "bytes").join(stays, "text_sha256").where(F.col("bytes") != F.col("kept_bytes"))
-    other = engine.space.table(other.drop("kept_bytes"), "collisions")
-    engine.space.drop(hits)
-
-    result = engine.seen().join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256", "locator", "n_chars")
-    if not other.isEmpty():
-        result = _apart(result, other)
+    rows = docs.where(among(hits, True)(digest(text)))
+    ends = arrivals_with_text(rows, id_col, text).groupBy("text_sha256").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    doubtful = engine.space.table(ends.where("low != high").select("text_sha256"), "collisions")
+    result = judged if doubtful.isEmpty() else _apart(judged, _others(judged, arrivals_with_text(rows, id_col, text), doubtful))
     return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
+def _others(judged: DataFrame, rows: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """Rows of digests that stand for several texts whose bytes are not those of the row that stays."""
+    rows = rows.join(doubtful, "text_sha256", "left_semi")
+    stays = judged.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator")))
+    stays = stays.join(doubtful, "text_sha256", "left_semi").select("text_sha256", F.col("doc_id").alias("stay_id"), F.col("locator").alias("stay_at"))
+    at = (F.col("doc_id").eqNullSafe(F.col("stay_id"))) & (F.col("locator") == F.col("stay_at"))
+    kept = rows.join(stays, "text_sha256").where(at).groupBy("text_sha256").agg(F.min("bytes").alias("kept_bytes"))
+    return rows.join(kept, "text_sha256").where(F.col("bytes") != F.col("kept_bytes")).drop("kept_bytes")
+
+
 def arrivals_with_text(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     plain = normalised(text).cast("binary")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(text).alias("locator"), plain.alias("bytes"), F.sha2(plain, 256).alias("text_sha256"))
@@ -123,7 +148,7 @@ def _apart(result: DataFrame, other: DataFrame) -> DataFrame:
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in at]
     marked = result.alias("a").join(other.dropDuplicates(at).alias("b"), same[0] & same[1] & same[2], "left").select("a.*", "b.bytes")
     whole = ["text_sha256", "bytes"]
-    best = marked.where("bytes is not null").groupBy(*whole).agg(F.count("*").alias("n"), (-F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id")))["minus_id"]).alias("best"))
+    best = marked.where("bytes is not null").groupBy(*whole).agg(F.count("*").alias("n"), F.bitwise_not(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("minus_id")))["minus_id"]).alias("best"))
     gone = marked.groupBy("text_sha256").agg(F.count("bytes").alias("gone"))
     rows = marked.join(best, whole, "left").join(gone, "text_sha256")
     return rows.select(
@@ -135,9 +160,8 @@ def _apart(result: DataFrame, other: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one for each distinct normalised text."""
-    found = deduplicate(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("locator").alias("_stay_at"), F.col("text_sha256").alias("_stay_sha"))
-    found = found.dropDuplicates()
-    at = F.xxhash64(text_of(text_col))
-    rows = docs.withColumn("_at", at)
-    joined = rows.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_stay_id")) & (F.col("_at") == F.col("_stay_at")))
-    return joined.dropDuplicates(["_stay_sha"]).select(*[joined[c] for c in docs.columns])
+    own, at, kept_id = free_names(docs, 3)
+    found = deduplicate(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("locator").alias(at)).distinct()
+    rows = docs.withColumn(own, digest(text_of(text_col)))
+    joined = rows.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(at)))
+    return joined.dropDuplicates([at, kept_id]).select(*[joined[c] for c in docs.columns])

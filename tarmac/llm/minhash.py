@@ -12,11 +12,19 @@ of 0.75 agrees on 48 coordinates on average, and on fewer than ``MATCH`` = 30 on
   inside the join on posting lists and at the pair's first common token only, so each candidate comes out once.
 * Pairs above the match threshold are confirmed on full shingle sets, exactly.
 
-No group is expanded into all its pairs at first. The first step tests the members of a posting list against its
-most central class (the original of a group of edited copies has the most widely shared tokens), and what is linked
-becomes one component. The second tests each class with its likeliest partner of another component. Only what
-is still apart after that is compared in full, so nothing that shares a prefix token is left out.
-Components, links and signatures stay in tables. Classes are named by 64 bits of a cryptographic hash of their set.
+No group is expanded into all its pairs. Each class is first tested against the most central class (hub) of its posting
+lists: the original of a group of edited copies has the most widely shared tokens. What is linked becomes one component.
+For the rest, what the test against the hub found is used again: with x and y of h's group, their symmetric differences
+to h of e and f shingles (d missing and a added, d' and a'), o of them in common, a link of x and y means
+
+    7 o >= 4 (d + d') + 3 (a + a') - h,
+
+and if x is not linked with h, so that 4 d + 3 a > h, then o > (4 d' + 3 a') / 7: more than three sevenths of what sets y
+apart from the hub sets x apart too. So classes that are not linked with their hub are joined with their
+group on the shingles of these differences: of y only the rarest, as many as must hold a common one, and of a pair
+only if bitmaps of the differences allow enough in common. Pairs without a common hub are compared by signatures, as above.
+Components, links and signatures stay in tables. Classes are named by 128 bits of a cryptographic hash of their set of
+64-bit shingle hashes.
 
 Defined results: null text is empty; texts without words have an empty set and are linked with nothing;
 texts of fewer than five words have one shingle; rows with equal sets, repeated rows included, are one component;
@@ -31,19 +39,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
-from .common import ASCII_SPACE, Bitmap, Workspace, text_of
+from .common import ASCII_SPACE, Bitmap, Workspace, free_names, text_of, through_python
 from .rolling import Base, Rolling, mix
 
 WORDS = 5
 K = 64
 MATCH = 30
 PREFIX = K - MATCH + 1
-#: Agreement of likely pairs, which are tested before the rest.
-LIKELY = 44
+#: Words of 64 bits in the bitmap of a difference.
+MAP = 8
 BLOCK = 1 << 20
 
 _random = np.random.default_rng(20240229)
@@ -127,8 +135,8 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(low ^ _MARKS).view(np.int64)
 
 
-def class_of(found: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
+def class_of(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,9 +152,9 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 classes.append(class_of(found))
                 tokens.append(signature(found) if len(found) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": batch["at"], "n_shingles": sizes, "cid": pd.array(classes, dtype="Int64"), "tokens": tokens})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "at": batch["at"], "n_shingles": sizes, "cid": classes, "tokens": tokens})
 
-    return rows.mapInPandas(run, "doc_id long, at long, n_shingles long, cid long, tokens array<long>")
+    return through_python(rows, run, "at long, n_shingles long, cid binary, tokens array<long>")
 
 
 def _full_sets(rows: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -154,9 +162,13 @@ def _full_sets(rows: DataFrame, wanted: Bitmap) -> DataFrame:
         for batch in batches:
             batch = batch[wanted.has(batch["at"].to_numpy())]
             sets = list(shingle_sets(batch["text"]))
-            yield pd.DataFrame({"cid": pd.array([class_of(s) for s in sets], dtype="Int64"), "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"cid": [class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    return rows.select("at", "text").mapInPandas(run, "cid binary, shingles binary").where("cid is not null")
+
 
-    return rows.mapInPandas(run, "cid long, shingles binary").where("cid is not null")
+def _linked(x: np.ndarray, y: np.ndarray, both: int) -> bool:
+    return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
 @F.pandas_udf(BooleanType())
@@ -164,11 +176,34 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
         x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= 75 * (len(x) + len(y) - both))
+        out.append(_linked(x, y, len(np.intersect1d(x, y, assume_unique=True))))
     return pd.Series(out, dtype=bool)
 
 
+DIFFERENCE = StructType().add("linked", BooleanType())
+for _name in ("h", "missing", "added"):
+    DIFFERENCE = DIFFERENCE.add(_name, LongType())
+for _name in ("items", "map"):
+    DIFFERENCE = DIFFERENCE.add(_name, ArrayType(LongType()))
+
+
+@F.pandas_udf(DIFFERENCE)
+def _difference(a: pd.Series, b: pd.Series, group: pd.Series) -> pd.DataFrame:
+    """Whether a class is linked with a hub; for its group's hub also the symmetric difference, with a bitmap."""
+    out = []
+    for x, y, wide in zip(a, b, group):
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        apart = np.setxor1d(x, y, assume_unique=True)
+        both = (len(x) + len(y) - len(apart)) // 2
+        if wide:
+            bit = apart % np.uint64(64 * MAP)
+            marks = np.zeros(64 * MAP, dtype=np.uint8)
+            marks[bit.astype(np.int64)] = 1
+            marks = np.packbits(marks, bitorder="little").view(np.int64)
+        out.append((_linked(x, y, both), len(y), len(y) - both, len(x) - both, apart.view(np.int64) if wide else None, marks if wide else None))
+    return pd.DataFrame(out, columns=["linked", "h", "missing", "added", "items", "map"])
+
+
 class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.space = Workspace(docs.sparkSession, "minhash")
@@ -186,12 +221,15 @@ class NearDuplicates:
         posted = F.slice("shared", F.lit(1), room)["token"]
         return self.space.table(shared.where(room > 0).select("cid", posted.alias("posted"), "central"), "postings")
 
-    def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Which of the pairs are linked, by their full sets."""
+    def _with_sets(self, pairs: DataFrame) -> DataFrame:
         own = self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         hub = self.sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-        checked = pairs.select("a", "b").join(own, "a").join(hub, "b").select("a", "b", _similar("sa", "sb").alias("linked"))
-        return self.space.table(checked, label)
+        return pairs.join(own, "a").join(hub, "b")
+
+    def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs that are linked, by their full sets."""
+        checked = self._with_sets(pairs.select("a", "b")).select("a", "b", _similar("sa", "sb").alias("linked"))
+        return self.space.table(checked, label).where("linked")
 
     def solve(self) -> DataFrame:
         """(cid, comp): the component of each class that another class might be linked with."""
@@ -202,40 +240,69 @@ class NearDuplicates:
         self.sets = self.space.table(found.join(members.select("cid"), "cid", "left_semi"), "sets")
         labels = members.select("cid", F.col("cid").alias("comp"))
 
-        # Each class with the most central one of its lists, of several the one it agrees with most.
+        tested = self.against_hubs(members)
+        labels = self.space.table(merge(self.space, labels, tested.where("linked").select("a", "b")), "labels")
+        group = tested.where("group").select(F.col("a").alias("cid"), F.col("b").alias("hub"), "linked", "h", "missing", "added", "items", "map")
+
+        links = self.confirm(self.within_groups(group, labels), "differences")
+        labels = self.space.table(merge(self.space, labels, links), "labels")
+        links = self.confirm(self.between_groups(members, group, labels), "signatures")
+        return self.space.table(merge(self.space, labels, links), "labels")
+
+    def against_hubs(self, members: DataFrame) -> DataFrame:
+        """Each class against two hubs of its lists, if it agrees with them: the one it agrees with most, and the most central one, its group's."""
         lists = members.select(F.explode("posted").alias("token"), "cid", "central")
         hubs = lists.groupBy("token").agg(F.max(F.struct("central", "cid")).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
-        pairs = lists.join(hubs.select("token", F.col("hub.cid").alias("b")), "token").where("cid != b").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("collisions"))
+        pairs = lists.join(hubs.select("token", F.col("hub.cid").alias("b"), F.col("hub.central").alias("weight")), "token").where("cid != b")
+        pairs = pairs.groupBy(F.col("cid").alias("a"), "b").agg(F.max("weight").alias("weight"))
         pairs = pairs.join(members.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(members.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-        pairs = pairs.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("agree")).where(F.col("agree") >= MATCH)
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
-        tested = self.confirm(pairs, "central")
-        labels = self.space.table(merge(self.space, labels, tested.where("linked")), "labels")
-
-        # Likely pairs of what is still apart, best partners of either side first.
-        pairs = self.space.table(self.apart(members, labels, LIKELY), "likely")
-        best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", "p.b").union(pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("p")).select("p.a", "b")).distinct()
-        checked = self.confirm(best, "best")
-        labels = self.space.table(merge(self.space, labels, checked.where("linked")), "labels")
-        tested = tested.union(checked)
-
-        # All candidates between components that are left.
-        pairs = self.apart(members, labels, MATCH).select("a", "b")
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        checked = self.confirm(pairs, "all")
-        return self.space.table(merge(self.space, labels, checked.where("linked")), "labels")
-
-    def apart(self, members: DataFrame, labels: DataFrame, agree: int) -> DataFrame:
-        """(a, b, agree): pairs of different components that agree on so many coordinates, each once."""
-        lists = members.select("cid", F.explode("posted").alias("token")).join(labels, "cid")
-        mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
+        pairs = pairs.select("a", "b", "weight", F.size(F.array_intersect("ta", "tb")).alias("agree")).where(F.col("agree") >= MATCH)
+        two = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("likely"), F.max(F.struct("weight", "b")).alias("central"))
+        one = F.struct(F.col("central.b").alias("b"), F.lit(True).alias("group"))
+        other = F.struct(F.col("likely.b").alias("b"), F.lit(False).alias("group"))
+        two = two.select("a", F.explode(F.when(F.col("likely.b") == F.col("central.b"), F.array(one)).otherwise(F.array(one, other))).alias("p")).select("a", "p.b", "p.group")
+        checked = self._with_sets(two).select("a", "b", "group", _difference("sa", "sb", "group").alias("found"))
+        return self.space.table(checked.select("a", "b", "group", "found.*"), "hubs")
+
+    def within_groups(self, group: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b): pairs of one group and different components whose differences to the hub may have enough in common; a is not linked with the hub."""
+        cells = [F.col("map")[k].alias(f"m{k}") for k in range(MAP)]
+        size = F.col("missing") + F.col("added")
+        rows = group.join(labels, "cid").join(group.where("not linked").select("hub").distinct(), "hub", "left_semi")
+        rows = self.space.table(rows.select("hub", "cid", "comp", "linked", "h", size.alias("size"), (4 * F.col("missing") + 3 * F.col("added")).alias("weight"), "items", *cells), "groups")
+        light = ["cid", "comp", "linked", "h", "size", "weight", *[f"m{k}" for k in range(MAP)]]
+        outside = rows.where("not linked").select("hub", F.explode("items").alias("item"), *light)
+        held = outside.groupBy("hub", "item").agg(F.count("*").alias("n"))
+        posted = rows.select("hub", "cid", "size", "weight", F.explode("items").alias("item")).join(held, ["hub", "item"], "left")
+        posted = posted.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))).alias("rare"), F.first("size").alias("size"), F.first("weight").alias("weight"))
+        # Of ``size`` items at least (weight + 1) / 7 are common ones.
+        prefix = F.slice("rare", F.lit(1), (F.col("size") - F.expr("(weight + 7) div 7") + 1).cast("int"))
+        posted = posted.select("cid", F.explode(F.filter(prefix, lambda r: r["n"] > 0)["item"]).alias("item")).join(rows.select("hub", *light), "cid")
+        x, y = outside.alias("x"), posted.alias("y")
+
+        def only(one: str, other: str) -> Column:
+            """Items that bitmaps prove to be in one difference only."""
+            return sum((F.bit_count(F.col(f"{one}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}.m{k}")))) for k in range(1, MAP)), F.bit_count(F.col(f"{one}.m0").bitwiseAND(F.bitwise_not(F.col(f"{other}.m0")))))
+
+        most = F.least(F.col("x.size") - only("x", "y"), F.col("y.size") - only("y", "x"))
+        once = F.col("y.linked") | (F.col("x.cid") < F.col("y.cid"))
+        near = 7 * most >= F.col("x.weight") + F.col("y.weight") - F.col("x.h")
+        on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.comp") != F.col("y.comp")) & once & near
+        return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+
+    def between_groups(self, members: DataFrame, group: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b): pairs of different components without a common hub that agree on ``MATCH`` coordinates, each once."""
+        lists = members.select("cid", F.explode("posted").alias("token")).join(labels, "cid").join(group.select("cid", "hub"), "cid", "left")
+        mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("hub").alias("one"), F.max("hub").alias("other"), F.bool_or(F.col("hub").isNull()).alias("without"))
+        mixed = mixed.where("low != high and (without or one != other)").select("token")
         rows = lists.join(mixed, "token", "left_semi").join(members.select("cid", "posted", "tokens"), "cid")
         rows = self.space.table(rows, "mixed")
         x, y = rows.alias("x"), rows.alias("y")
         first = F.array_min(F.array_intersect("x.posted", "y.posted")) == F.col("x.token")
         same = F.size(F.array_intersect("x.tokens", "y.tokens"))
-        joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & first & (same >= agree))
-        return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), same.alias("agree"))
+        apart = (F.col("x.comp") < F.col("y.comp")) & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))
+        joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & first & (same >= MATCH))
+        return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     def result(self) -> DataFrame:
         labels = self.solve()
@@ -277,7 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document that stays of each component, with all its columns; of repeated rows one."""
-    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("at").alias("_at_kept"), F.col("doc_id").alias("_id_kept")).distinct()
-    rows = docs.withColumn("_at", F.xxhash64(F.col(id_col), text_of(text_col)))
-    joined = rows.join(found, (F.col("_at") == F.col("_at_kept")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id_kept")))
-    return joined.dropDuplicates(["_at_kept", "_id_kept"]).select(*[joined[c] for c in docs.columns])
+    own, at, kept_id = free_names(docs, 3)
+    found = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("at").alias(at), F.col("doc_id").alias(kept_id)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.col(id_col), text_of(text_col)))
+    joined = rows.join(found, (F.col(own) == F.col(at)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id)))
+    return joined.dropDuplicates([at, kept_id]).select(*[joined[c] for c in docs.columns])

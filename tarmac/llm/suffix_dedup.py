@@ -5,16 +5,23 @@ a corpus would shuffle many times its size, so positions are sampled without los
 
 * Sampling. Each window of ``SPAN`` bytes is in the charge of one position inside it, that of the smallest hash
   of ``GRAM`` bytes (leftmost of equal ones). Equal windows have their position at the same place, so only
-  windows in the charge of positions with equal first ``GRAM`` bytes can be equal. About one position in 75 is charged.
-* Round of length 50: positions are ranked by their first ``GRAM`` bytes; unique ones drop out.
-* Round of contexts: a position with all bytes that its windows cover is ranked by these. Where they occur again, all
-  its windows do: past the threshold, done. Copies of documents end here, however many there are.
-* Rounds at growing offsets: what is left differs near its ends. The windows of a position are cut into cells of ``CELL``;
-  a cell is named by the bytes that its windows share (the pair of the names of its first and last window's overlap),
-  sorted and counted; unique ones drop out, and cells whose whole extent occurs again are done. The windows
-  of the cells between are named by all their bytes and counted: unique, or past the threshold.
+  windows in the charge of positions with equal first ``GRAM`` bytes can be equal. About one position in 75 is charged;
+  those with unique grams drop out.
+* Contexts. A position with all bytes that its windows cover is counted by these. Where they occur again, all
+  its windows do. Copies of documents end here, however many there are, and one context of each kind goes on.
 
-Names are 64-bit hashes; where equality decides a removal, two independent ones (128 bits).
+What is left has the same gram in different contexts. There prefix doubling runs on a grid of ``CELL`` bytes that the
+charged position anchors, so that equal windows meet the grid at the same places:
+
+* First ranks are of ``FIRST`` = 48 bytes at each place of the grid.
+* Round 1 sorts pairs of ranks at offset 48 and ranks them anew: strings of 96 bytes. Unique ones drop out.
+* Round 2 sorts pairs of those ranks at offset 96 and ranks them anew: strings of 192 bytes, which all windows of
+  one cell of the grid share. Unique ones drop out.
+* Past the threshold. A window of 200 bytes is a string of 192 with the 8 bytes around it, so the last round sorts the pair of
+  the rank and those bytes themselves. Cells whose bytes on both sides occur again as a whole are done at once.
+
+A rank is the number of the first position with its pair. First ranks, grams and contexts are 64-bit hashes (a window counts as repeated by
+the gram and the context together, or by ranks whose every step is exact from the first ranks on); the last bytes are compared as they are.
 
 Spark does the ranking: names are counted with partial aggregates, and a name that very many positions
 share is one row a task. Joins back are on names, where skewed ones can be split. Texts are
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bitmap, Workspace, among, free_names, text_of, through_python
@@ -40,9 +47,13 @@ from .rolling import Base, Rolling
 
 SPAN = 200
 GRAM = 50
-CELL = 12
+CELL = 8
+FIRST = 48
+CORE = SPAN - CELL  # what all windows of a cell share: 4 * FIRST bytes
 WIDE = SPAN - GRAM  # largest distance from a window's start to its position
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Steps of the grid that an offset of FIRST bytes is.
+HOP = FIRST // CELL
 _FIRST, _SECOND = Base(101), Base(202)
 _LOW = np.uint64(0xFFFFFF)
 
@@ -135,56 +146,64 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "at long, place long, open boolean, bytes binary")
 
 
-def _laid(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rolling, Rolling]:
-    """Contexts of a batch end to end: shift to add to places, lo, hi, position, and both hashes."""
-    data = np.frombuffer(b"".join(batch["bytes"]), dtype=np.uint8)
-    sizes = batch["bytes"].map(len).to_numpy(dtype=np.int64)
-    lo, hi, a = unpack(batch["place"].to_numpy(dtype=np.int64))
-    shift = np.cumsum(sizes) - sizes - lo
-    return shift, lo, hi, a, Rolling(data, _FIRST), Rolling(data, _SECOND)
-
-
-def _cells(contexts: DataFrame) -> DataFrame:
-    """(at, place, open, cell, core, whole1, whole2): names of each cell's shared bytes and of its whole extent."""
+def _first_ranks(contexts: DataFrame) -> DataFrame:
+    """(context, c, r1, r2): ranks of the first bytes at place c of the grid and one offset further on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            shift, lo, hi, a, one, two = _laid(batch)
-            low, high = (a - hi) // CELL, (a - lo) // CELL
-            row = np.repeat(np.arange(len(batch)), high - low + 1)
-            cell = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
-            from_, to = cell * CELL, np.minimum(cell * CELL + CELL - 1, WIDE)
-            x = a[row] + shift[row]
-            near, far = np.maximum(from_, (a - hi)[row]), np.minimum(to, (a - lo)[row])
-            core = one.of(x - from_, x - to + SPAN) ^ cell.astype(np.uint64)
-            yield pd.DataFrame({
-                "at": batch["at"].to_numpy()[row], "place": batch["place"].to_numpy()[row], "open": batch["open"].to_numpy()[row], "cell": cell.astype(np.int32),
-                "core": core.view(np.int64), "whole1": one.of(x - far, x - near + SPAN).view(np.int64), "whole2": (two.of(x - far, x - near + SPAN) ^ (far - near).astype(np.uint64)).view(np.int64),
-            })
+            data = np.frombuffer(b"".join(batch["bytes"]), dtype=np.uint8)
+            sizes = batch["bytes"].map(len).to_numpy(dtype=np.int64)
+            lo, hi, a = unpack(batch["place"].to_numpy(dtype=np.int64))
+            at = np.cumsum(sizes) - sizes - lo + a
+            low, high = (a - hi) // CELL - 2 * HOP, (a - lo) // CELL
+            n = high - low + 1
+            row = np.repeat(np.arange(len(batch)), n)
+            c = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+            place, names = at[row] - c * CELL, Rolling(data, _SECOND)
+            first, next_ = (names.of(x, x + FIRST).view(np.int64) for x in (place, place + FIRST))
+            yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "r1": first, "r2": next_})
 
-    return contexts.mapInPandas(run, "at long, place long, open boolean, cell int, core long, whole1 long, whole2 long")
+    return contexts.select("context", "place", "bytes").mapInPandas(run, "context long, c int, r1 long, r2 long")
 
 
-def _windows(contexts: DataFrame) -> DataFrame:
-    """(at, p, open, name1, name2): names of all windows of the listed cells."""
+def _cells(ranked: DataFrame) -> DataFrame:
+    """(context, at, place, open, c, r1, r2, low, high, left, right) of cells that have both ranks: windows low to high start so many bytes before the cell's core; 8 bytes on both sides of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            shift, lo, hi, a, one, two = _laid(batch)
-            row = np.repeat(np.arange(len(batch)), batch["cells"].map(len).to_numpy())
-            cell = np.concatenate(batch["cells"].to_numpy()).astype(np.int64)
-            row, cell = np.repeat(row, CELL), np.repeat(cell, CELL)
-            p = a[row] - cell * CELL - np.tile(np.arange(CELL), len(row) // CELL)
-            ok = (p >= lo[row]) & (p <= hi[row])
-            row, p = row[ok], p[ok]
-            x = p + shift[row]
-            yield pd.DataFrame({"at": batch["at"].to_numpy()[row], "p": p, "open": batch["open"].to_numpy()[row], "name1": one.of(x, x + SPAN).view(np.int64), "name2": two.of(x, x + SPAN).view(np.int64)})
+            out: list[tuple] = []
+            for context, at, place, open_, text, ranks in batch[["context", "at", "place", "open", "bytes", "ranks"]].itertuples(index=False):
+                lo, hi, a = (int(x) for x in unpack(place))
+                rank = {r["c"]: r["rank"] for r in ranks}
+                wide = bytes(CELL) + bytes(text) + bytes(CELL)
+                for c in range((a - hi) // CELL, (a - lo) // CELL + 1):
+                    one, two = rank.get(c), rank.get(c - 2 * HOP)
+                    if one is not None and two is not None:
+                        core = a - c * CELL - lo + CELL
+                        low, high = max(0, a - hi - c * CELL), min(CELL - 1, a - lo - c * CELL)
+                        left, right = int.from_bytes(wide[core - CELL : core], "big", signed=True), int.from_bytes(wide[core + CORE : core + SPAN], "big", signed=True)
+                        out.append((context, at, place, open_, c, one, two, low, high, left, right))
+            yield pd.DataFrame(out, columns=["context", "at", "place", "open", "c", "r1", "r2", "low", "high", "left", "right"])
+
+    return ranked.mapInPandas(run, "context long, at long, place long, open boolean, c int, r1 long, r2 long, low int, high int, left long, right long")
 
-    return contexts.mapInPandas(run, "at long, p long, open boolean, name1 long, name2 long")
+
+def _left(n: Column) -> Column:
+    """The last n (fewer than 8) of the 8 bytes before a core."""
+    return F.col("left").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), n * 8) - 1)
+
+
+def _right(n: Column) -> Column:
+    """The first n (at least 1) of the 8 bytes behind a core."""
+    return F.call_function("shiftrightunsigned", F.col("right"), (CELL - n) * 8)
+
+
+def rerank(rows: DataFrame, number: Column, most: Column | None = None) -> DataFrame:
+    """(r1, r2, rank) of the pairs that occur again: the least number of a position with the pair. ``most`` keeps pairs for which it holds somewhere."""
+    pairs = rows.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(number).alias("rank"), F.max(F.lit(True) if most is None else most).alias("any"))
+    return pairs.where("n > 1 and any").select("r1", "r2", "rank")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -225,25 +244,34 @@ class RepeatedPassages:
         listed = space.table(listed.groupBy("at").agg(F.collect_list(F.struct("place", "open")).alias("listed")), "listed")
         wanted = Bitmap.of(listed.select(F.col("at").alias("key")))
         texts = self.source.where(among(wanted, True)("at"))
-        held = space.table(_contexts(texts.join(listed, "at")).dropDuplicates(["at", "place"]), "bytes")
-
-        # Cells: unique cores drop out, repeated extents are done.
-        cells = space.table(_cells(held), "cells")
-        cores = cells.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("core")
-        extents = cells.groupBy("whole1", "whole2").agg(F.count("*").alias("n")).where("n > 1").select("whole1", "whole2", F.lit(True).alias("again"))
-        cells = space.table(cells.join(cores, "core", "left_semi").join(extents, ["whole1", "whole2"], "left"), "contested")
+        held = _contexts(texts.join(listed, "at")).dropDuplicates(["at", "place"])
+        held = space.table(held.withColumn("context", F.monotonically_increasing_id()), "bytes")
+
+        # Pairs at offset 48, then at offset 96.
+        number = F.col("context") * 32 + F.col("c") + 2 * HOP  # fewer than 32 places of the grid to a context
+        rows = space.table(_first_ranks(held), "ranks-48")
+        rows = rows.join(rerank(rows, number), ["r1", "r2"]).select("context", "c", "rank")
+        ranks = rows.groupBy("context").agg(F.collect_list(F.struct("c", "rank")).alias("ranks"))
+        cells = space.table(_cells(held.join(ranks, "context")), "ranks-96")
+        cells = cells.join(rerank(cells, number, F.col("open")), ["r1", "r2"]).drop("r1", "r2")
+        cells = space.table(cells, "ranks-192")
+
+        # Past the threshold: the bytes around, of a whole cell and then of its windows.
+        around = ["rank", "low", "high", "before", "behind"]
+        cells = cells.withColumn("before", _left(F.col("high"))).withColumn("behind", _right(CELL - F.col("low")))
+        again = cells.groupBy(*around).agg(F.count("*").alias("n")).where("n > 1").select(*around, F.lit(True).alias("again"))
+        cells = space.table(cells.join(again, around, "left"), "cells")
+        lo, a = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
+        start = lo + a - F.col("c") * CELL
         sure = cells.where("open and again")
-        low, high, a = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-        first = F.greatest(low, low + a - F.col("cell") * CELL - (CELL - 1))
-        last = F.least(low + high, low + a - F.col("cell") * CELL)
-        spans.append(sure.select("at", first.alias("start"), (last + SPAN).alias("end")))
-
-        # Windows of the cells between.
-        doubtful = cells.where("open and again is null").select("core").distinct()
-        between = cells.join(doubtful, "core", "left_semi").groupBy("at", "place").agg(F.collect_list("cell").alias("cells"))
-        windows = space.table(_windows(held.join(between, ["at", "place"])), "windows")
-        names = windows.groupBy("name1", "name2").agg(F.count("*").alias("n")).where("n > 1").select("name1", "name2")
-        found = windows.where("open").join(names, ["name1", "name2"], "left_semi")
+        spans.append(sure.select("at", (start - F.col("high")).alias("start"), (start - F.col("low") + SPAN).alias("end")))
+        doubtful = cells.where("open and again is null").select("rank").distinct()
+        windows = cells.join(doubtful, "rank", "left_semi").withColumn("i", F.explode(F.sequence("low", "high")))
+        sides = F.call_function("shiftleft", _left(F.col("i")), (CELL - F.col("i")) * 8).bitwiseOR(_right(CELL - F.col("i")))
+        windows = windows.select("at", (start - F.col("i")).alias("p"), (F.col("open") & F.col("again").isNull()).alias("asked"), "rank", "i", sides.alias("sides"))
+        windows = space.table(windows, "windows")
+        names = windows.groupBy("rank", "i", "sides").agg(F.count("*").alias("n"), F.max("asked").alias("any")).where("n > 1 and any").select("rank", "i", "sides")
+        found = windows.where("asked").join(names, ["rank", "i", "sides"], "left_semi")
         spans.append(found.select("at", F.col("p").alias("start"), (F.col("p") + SPAN).alias("end")))
         return spans[0].unionByName(spans[1]).unionByName(spans[2])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import exact_dedup, minhash, packing, quality, queries, suffix_dedup
-from tarmac.llm.common import Workspace
+from tarmac.plans.work import Workspace, scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = space.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch():
+            docs = space.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +50,62 @@ def borders(sg_edges: DataFrame) -> DataFrame:
     return sg_vertices(sg_edges).where("is_border").select("sg_id", "vid")
 
 
-def _all_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for u, v, w in pdf[["u", "v", "w"]].itertuples(index=False):
-        near[u].append((v, w))
-        near[v].append((u, w))
-    rows = []
-    for a in near:
-        best, heap = {a: 0}, [(0, a)]
+#: Subgraphs of at most so many vertices are solved as one dense block; larger ones by a search from each vertex.
+DENSE = 256
+
+
+def _dense(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    far = np.full((n, n), np.inf)
+    np.minimum.at(far, (u, v), w)
+    far = np.minimum(far, far.T)
+    np.fill_diagonal(far, 0)
+    for k in range(n):
+        np.minimum(far, far[:, k, None] + far[k], out=far)
+    return far
+
+
+def _searched(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for a, b, c in zip(u.tolist(), v.tolist(), w.tolist()):
+        near[a].append((b, c))
+        near[b].append((a, c))
+    far = np.full((n, n), np.inf)
+    for start in range(n):
+        heap = [(0, start)]
         while heap:
             d, x = heapq.heappop(heap)
-            if d > best[x]:
-                continue
-            rows.append((a, x, d))
-            for y, w in near[x]:
-                if d + w < best.get(y, d + w + 1):
-                    best[y] = d + w
-                    heapq.heappush(heap, (d + w, y))
-    out = pd.DataFrame(rows, columns=["a", "b", "d"], dtype="int64")
-    out.insert(0, "sg_id", pdf["sg_id"].iloc[0])
-    return out
+            if d < far[start, x]:
+                far[start, x] = d
+                for y, c in near[x]:
+                    if d + c < far[start, y]:
+                        heapq.heappush(heap, (d + c, y))
+    return far
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["sg_id", "a", "b", "d"])
+
+    for batch in batches:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for sg_id, edges in zip(batch.column(0).to_pylist(), batch.column(1)):
+            u, v, w = (edges.values.field(c).to_numpy() for c in ("u", "v", "w"))
+            vertex, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+            solve = _dense if len(vertex) <= DENSE else _searched
+            far = solve(ends[: len(u)], ends[len(u) :], w, len(vertex))
+            a, b = np.nonzero(np.isfinite(far))
+            parts.append((np.full(len(a), sg_id, dtype=np.int64), vertex[a], vertex[b], far[a, b].astype(np.int64)))
+            if sum(len(p[0]) for p in parts) > 200_000:
+                yield out(parts)
+                parts = []
+        if parts:
+            yield out(parts)
 
 
 def all_pairs(sg_edges: DataFrame) -> DataFrame:
     """(sg_id, a, b, d) inside each subgraph; subgraphs are small by construction, and run in parallel."""
-    return sg_edges.groupBy("sg_id").applyInPandas(_all_pairs, "sg_id long, a long, b long, d long")
+    packed = sg_edges.groupBy("sg_id").agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
+    return packed.mapInArrow(_all_pairs, "sg_id long, a long, b long, d long")
 
 
 def insert_edge(sg_dist: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graph
-from .partition import all_pairs, nearest_border, rb_ib, sg_vertices
+from .partition import nearest_border, rb_ib, sg_vertices
 from .queries import objects_in
 from .skeleton import Skeleton
 
@@ -31,7 +31,7 @@ def partition_audit(edges: DataFrame, sg_edges: DataFrame, sg_dist: DataFrame |
     members = sg_vertices(sg_edges)
     sizes = members.groupBy("sg_id").agg(F.count("*").alias("n"), F.count_if("is_border").alias("b"))
     shape = sizes.agg(F.count("*").alias("subgraphs"), F.max("n").alias("max_vertices"), F.sum("b").alias("border_slots"), F.sum(F.col("n") - F.col("b")).alias("internal_vertices"))
-    bounds = rb_ib(sg_edges, all_pairs(sg_edges) if sg_dist is None else sg_dist, members)
+    bounds = Skeleton(sg_edges).persist().bounds() if sg_dist is None else rb_ib(sg_edges, sg_dist, members)
     br = bounds.agg(F.count_if(~F.col("br_ok")).alias("br_broken"), F.countDistinct("border").alias("borders"))
     return coverage.crossJoin(shape).crossJoin(br)  # three rows of one
 
@@ -41,7 +41,7 @@ def weight_audit(before: DataFrame, after: DataFrame, sg_edges: DataFrame) -> Da
     rows = []
     for name, edges in (("before", before), ("after", after)):
         owned = sg_edges.select("sg_id", "u", "v").join(edges, ["u", "v"]).select("sg_id", "u", "v", "w")
-        bounds = rb_ib(owned, all_pairs(owned))
+        bounds = Skeleton(owned).persist().bounds()
         rows.append(bounds.agg(F.count("*").alias("borders"), F.count_if(~F.col("br_ok")).alias("br_broken")).select(F.lit(name).alias("state"), "borders", "br_broken"))
     return rows[0].unionByName(rows[1])
 
@@ -139,13 +139,28 @@ def sweep(skeleton: Skeleton, queries: DataFrame, objects: DataFrame, radii: lis
     wide = queries.drop("radius").withColumn("radius", F.explode(F.array(*[F.lit(r).cast("bigint") for r in radii])))
     # Each (query, radius) is a query of its own.
     renamed = wide.withColumn("base", F.col("query_id")).withColumn("query_id", F.col("query_id") * F.lit(1_000_000) + F.col("radius"))
-    reached = skeleton.border_distances(renamed).persist()
+    renamed = skeleton.space.table(renamed, "sweep")
+    reached = skeleton.border_distances(renamed)
     cover = skeleton.classify(renamed, reached).join(renamed.select("query_id", "radius"), "query_id")
     accepted = cover.groupBy("radius").agg(F.count("*").alias("touched"), *[F.count_if(c).alias(c) for c in ("ib", "ub", "paper", "all_borders")])
     found = skeleton.object_distances(renamed, objects, reached=reached).join(renamed.select("query_id", "radius"), "query_id").groupBy("radius").agg(F.count("*").alias("results"))
     return accepted.join(found, "radius", "left").na.fill(0)
 
 
+def batch_sizes(found: DataFrame, queries: DataFrame, radii: list[int]) -> DataFrame:
+    """(radius, queries, least, most, mean): result sizes of a batch at several radii, from distances at the widest."""
+    wanted = queries.select("query_id", F.explode(F.array(*[F.lit(r).cast("bigint") for r in radii])).alias("radius"))
+    inside = found.select("query_id", "obj_id", "dist").join(wanted, "query_id").where("dist <= radius").groupBy("query_id", "radius").agg(F.count("*").alias("n"))
+    sizes = wanted.join(inside, ["query_id", "radius"], "left").na.fill(0, ["n"])
+    return sizes.groupBy("radius").agg(F.count("*").alias("queries"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+def batch_distances(found: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, results, nearest, farthest, mean): distances of a batch of kNN queries for several k, from the results for the largest."""
+    rows = found.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rnk <= k")
+    return rows.groupBy("k").agg(F.count("*").alias("results"), F.min("dist").alias("nearest"), F.max("dist").alias("farthest"), F.round(F.avg("dist"), 6).alias("mean"))
+
+
 def edge_length_report(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("edges"), F.min("w").alias("min_w"), F.max("w").alias("max_w"), F.round(F.avg("w"), 6).alias("mean_w"), F.countDistinct("w").alias("distinct_w"))
 

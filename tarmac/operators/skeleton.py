@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import distances
+from ..plans.work import Workspace
 from .partition import all_pairs, rb_ib, sg_vertices
 from .queries import first_k, objects_in
 
@@ -21,16 +22,18 @@ class Skeleton:
     """Tables of a partition: members, sg_dist, clique, skeleton, border_sg, bounds."""
 
     def __init__(self, sg_edges: DataFrame, sg_dist: DataFrame | None = None) -> None:
-        self.sg_edges = sg_edges
+        self.sg_edges, self.space = sg_edges, Workspace(sg_edges.sparkSession, "skeleton")
         self.sg_dist = all_pairs(sg_edges) if sg_dist is None else sg_dist
+        self._derived = sg_dist is None
         self.members = sg_vertices(sg_edges)
         self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id")
 
     def persist(self) -> Skeleton:
-        """Keep the tables that every operation reads."""
-        self.sg_dist = self.sg_dist.persist()
-        self.members = self.members.persist()
-        self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id").persist()
+        """Write out the tables that every operation reads, each from those before it, so that no plan holds their making."""
+        self.sg_edges = self.space.table(self.sg_edges, "edges")
+        self.sg_dist = self.space.table(all_pairs(self.sg_edges) if self._derived else self.sg_dist, "distances")
+        self.members = self.space.table(sg_vertices(self.sg_edges), "members")
+        self.border_sg = self.space.table(self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id"), "borders")
         return self
 
     def save(self, path: str) -> None:
@@ -86,7 +89,7 @@ class Skeleton:
         start = start.join(queries.select("query_id", "radius"), "query_id").select("query_id", "vid", "dist", "radius")
         both = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))
         arcs = self.skeleton().select("w", F.explode(both).alias("x")).select("x.s", "x.d", "w")
-        return distances(start, arcs, method).select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+        return self.space.table(distances(start, arcs, method), "reached").select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
 
     def classify(self, queries: DataFrame, reached: DataFrame) -> DataFrame:
         """Per query and touched subgraph: whether each cover rule accepts it whole.
@@ -138,9 +141,11 @@ class Skeleton:
         radius, left, out = start, queries.where("k > 0"), None
         while True:
             now = left.withColumn("radius", F.lit(radius).cast("bigint"))
-            found = self.object_distances(now, objects, method).persist()
+            now = self.space.table(now, "asked")
+            found = self.space.table(self.object_distances(now, objects, method), "found")
             counts = left.select("query_id", "k").join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
             enough = counts.where(F.coalesce("n", F.lit(0)) >= F.col("k")) if radius <= total else counts
+            enough = self.space.table(enough.select("query_id", "k"), "enough")
             done = first_k(found.join(enough.select("query_id", "k"), "query_id"), F.col("k"))
             out = done if out is None else out.unionByName(done)
             left = left.join(enough.select("query_id"), "query_id", "left_anti")

@@ -72,6 +72,38 @@ def distances(seeds: DataFrame, arcs: DataFrame, method: str = "auto", max_round
     return _local(seeds, arcs) if method == "local" else _fixpoint(seeds, arcs, max_rounds)
 
 
+def origins(seeds: DataFrame, arcs: DataFrame, method: str = "auto") -> DataFrame:
+    """(query_id, vid, dist, origin): as ``distances``, with the seed vertex that each vertex is reached from; of equal ways the smaller one."""
+    # Each seed is a search of its own; the best of a vertex is an aggregate.
+    kind = seeds.schema["query_id"].dataType
+    split = seeds.withColumn("key", F.concat_ws(" ", F.col("query_id").cast("string"), F.col("vid").cast("string")))
+    split = split.groupBy("key").agg(F.first("query_id").alias("of"), F.first("vid").alias("vid"), F.min("dist").alias("dist"), F.max("radius").alias("radius"))
+    found = distances(split.withColumnRenamed("key", "query_id"), arcs, method)
+    parts = F.split("query_id", " ")
+    found = found.select(parts[0].cast(kind).alias("query_id"), "vid", "dist", parts[1].cast("bigint").alias("origin"))
+    return found.groupBy("query_id", "vid").agg(F.min(F.struct("dist", "origin")).alias("best")).select("query_id", "vid", "best.dist", "best.origin")
+
+
+def to_targets(seeds: DataFrame, arcs: DataFrame, targets: DataFrame, method: str = "auto") -> DataFrame:
+    """(query_id, vid, dist) of ``targets(query_id, vid)`` alone: the radius doubles until a query's targets are settled or it reaches no more.
+
+    A distance within the radius is final; only queries with a target left go on.
+    """
+    space = Workspace(seeds.sparkSession, "targets")
+    bounds = arcs.agg(F.max("w").alias("longest"), F.sum("w").alias("whole")).first()
+    far = seeds.agg(F.max("dist")).first()[0] or 0
+    radius, out = 2 * (bounds.longest or 0) + far, None
+    left = space.table(targets.distinct(), "targets")
+    while True:
+        now = seeds.drop("radius").withColumn("radius", F.lit(radius).cast("bigint")).join(left.select("query_id").distinct(), "query_id", "left_semi")
+        found = space.table(distances(now, arcs, method).join(left, ["query_id", "vid"], "left_semi"), "found")
+        out = found if out is None else out.unionByName(found)
+        left = space.table(left.join(found, ["query_id", "vid"], "left_anti"), "left")
+        if radius > (bounds.whole or 0) + far or left.isEmpty():
+            return out
+        radius *= 2
+
+
 def _local(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     graph = seeds.sparkSession.sparkContext.broadcast(Adjacency(arcs.select("s", "d", "w").toPandas()))
 

@@ -6,20 +6,41 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tarmac.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarmac-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("tarmac.shared.dir", found)
     return found.rstrip("/")
 
 
+_scratch: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Working tables made inside are removed at the end: for callers that have written their result by then."""
+    mine: list[Workspace] = []
+    _scratch.append(mine)
+    try:
+        yield
+    finally:
+        _scratch.remove(mine)
+        for space in mine:
+            space.close()
+
+
 class Workspace:
     """Working tables of one operator run, as Parquet under the shared folder.
 
@@ -31,6 +52,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _scratch:
+            _scratch[-1].append(self)
 
     def path(self, label: str) -> str:
         self._n += 1

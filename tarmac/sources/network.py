@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.work import Workspace
+
 WIDTH = 40
 
 CTES = f"""
@@ -41,28 +43,29 @@ class Network:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
+        self.space = Workspace(spark, "network")
         self._with = ctes(f"parquet.`{sf_dir}/part.parquet`", f"parquet.`{sf_dir}/events.parquet`")
 
     def sql(self, query: str) -> DataFrame:
         return self.spark.sql(f"WITH {self._with} {query}")
 
-    # Queries read these many times; kept, they also keep plans small.
+    # Queries read these many times; written out, they also keep plans small.
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.sql("SELECT u, v, w FROM v_edges").persist()
+        return self.space.table(self.sql("SELECT u, v, w FROM v_edges"), "edges")
 
     @cached_property
     def positions(self) -> DataFrame:
-        return self.sql("SELECT * FROM v_positions").persist()
+        return self.space.table(self.sql("SELECT * FROM v_positions"), "positions")
 
     @cached_property
     def objects(self) -> DataFrame:
-        return self.sql("SELECT * FROM v_objects").persist()
+        return self.space.table(self.sql("SELECT * FROM v_objects"), "objects")
 
     def queries(self, radius: int | None = None, k: int | None = None) -> DataFrame:
         more = (f", CAST({radius} AS BIGINT) AS radius" if radius is not None else "") + (f", {k} AS k" if k is not None else "")
-        return self.sql(f"SELECT *{more} FROM v_queries")
+        return self.space.table(self.sql(f"SELECT *{more} FROM v_queries"), "queries")
 
     @property
     def _vertices(self) -> DataFrame:

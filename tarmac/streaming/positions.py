@@ -31,6 +31,24 @@ def transitions(positions: DataFrame) -> DataFrame:
     return positions.select("event_id", "ts", "obj_id", *PLACE, *[F.lag(c).over(order).alias(f"old_{c}") for c in PLACE])
 
 
+def effective(epochs: DataFrame) -> DataFrame:
+    """Rows that are the latest of their object when they arrive (in the order of event_id), each with the place it replaces; late rows are left out."""
+    arrived = Window.partitionBy("obj_id").orderBy("event_id")
+    place = F.struct("ts", "event_id", *PLACE)
+    seen = epochs.withColumn("before", F.max(place).over(arrived.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = seen.where(F.col("before").isNull() | (F.struct("ts", "event_id") > F.struct("before.ts", "before.event_id")))
+    return fresh.select("epoch", "event_id", "ts", "obj_id", *PLACE, *[F.col(f"before.{c}").alias(f"old_{c}") for c in PLACE])
+
+
+def epoch_counts(index: DataFrame, moves: DataFrame, queries: DataFrame) -> DataFrame:
+    """(epoch, query_id, result_count): running sums of the membership changes of each epoch, from the first update on."""
+    changes = _signed(index, moves, "epoch").groupBy("epoch", "query_id").agg(F.sum("one").alias("delta"))
+    every = moves.select("epoch").distinct().crossJoin(F.broadcast(queries.select("query_id")))  # epochs by standing queries, which is the result
+    so_far = Window.partitionBy("query_id").orderBy("epoch")
+    rows = every.join(changes, ["epoch", "query_id"], "left").na.fill(0, ["delta"])
+    return rows.select("epoch", "query_id", F.sum("delta").over(so_far).alias("result_count"))
+
+
 def standing_fields(queries: DataFrame, edges: DataFrame, method: str = "auto") -> DataFrame:
     """The distance field of each standing query, computed once for many updates."""
     return distances(seeds(queries), graph.arcs(edges), method)
@@ -70,10 +88,15 @@ def deltas_by_query(field: DataFrame, moves: DataFrame, queries: DataFrame) -> D
 
 def deltas_by_edge(index: DataFrame, moves: DataFrame, queries: DataFrame) -> DataFrame:
     """The same, by looking up only the queries that an old or new edge belongs to."""
+    return _summed(_signed(index, moves, "event_id"), queries)
+
+
+def _signed(index: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, one): 1 for each new place inside a query, -1 for each old one."""
     places = F.array(F.struct(*[F.col(c).alias(c) for c in PLACE], F.lit(1).alias("one")), F.struct(*[F.col(f"old_{c}").alias(c) for c in PLACE], F.lit(-1).alias("one")))
-    rows = moves.select("event_id", F.explode(places).alias("p")).select("event_id", "p.*").where("u is not null")
+    rows = moves.select(key, F.explode(places).alias("p")).select(key, "p.*").where("u is not null")
     hit = rows.join(index, ["u", "v"]).where((F.col("offset_") <= F.col("low")) | (F.col("offset_") >= F.col("high")))
-    return _summed(hit.select("query_id", "event_id", "one"), queries)
+    return hit.select("query_id", key, "one")
 
 
 def within_rows(field: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:

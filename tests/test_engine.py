@@ -77,7 +77,6 @@ def test_knn_equals_search(tables, town):
     assert knn_rows(queries.exact_knn(asked, objects, edges)) == expected
 
 
-@pytest.mark.skip(reason="the skeleton search takes minutes; see README")
 @pytest.mark.parametrize("size", [3, 17])
 def test_skeleton_equals_search_for_any_partition(tables, town, size):
     edges, objects, asked = tables
@@ -230,7 +229,6 @@ def test_streamed_positions(spark, tmp_path):
     assert sorted(map(tuple, job.table().collect())) == [(1, 2, 3, 2, 1), (2, 1, 2, 3, 2)]
 
 
-@pytest.mark.skip(reason="the skeleton search takes minutes; see README")
 def test_hubs_are_exact(tables):
     owned = partition.own_edges(tables[0], partition.block_parts(tables[0], 16)).cache()
     s = Skeleton(owned).persist()

@@ -249,18 +249,20 @@ class RepeatedPassages:
 
         # Pairs at offset 48, then at offset 96.
         number = F.col("context") * 32 + F.col("c") + 2 * HOP  # fewer than 32 places of the grid to a context
-        rows = space.table(_first_ranks(held), "ranks-48")
-        rows = rows.join(rerank(rows, number), ["r1", "r2"]).select("context", "c", "rank")
+        first = space.table(_first_ranks(held), "ranks-48")
+        rows = first.join(rerank(first, number), ["r1", "r2"]).select("context", "c", "rank")
         ranks = rows.groupBy("context").agg(F.collect_list(F.struct("c", "rank")).alias("ranks"))
-        cells = space.table(_cells(held.join(ranks, "context")), "ranks-96")
-        cells = cells.join(rerank(cells, number, F.col("open")), ["r1", "r2"]).drop("r1", "r2")
-        cells = space.table(cells, "ranks-192")
+        second = space.table(_cells(held.join(ranks, "context")), "ranks-96")
+        space.drop(first, held)
+        third = space.table(second.join(rerank(second, number, F.col("open")), ["r1", "r2"]).drop("r1", "r2"), "ranks-192")
+        space.drop(second)
 
         # Past the threshold: the bytes around, of a whole cell and then of its windows.
         around = ["rank", "low", "high", "before", "behind"]
-        cells = cells.withColumn("before", _left(F.col("high"))).withColumn("behind", _right(CELL - F.col("low")))
+        cells = third.withColumn("before", _left(F.col("high"))).withColumn("behind", _right(CELL - F.col("low")))
         again = cells.groupBy(*around).agg(F.count("*").alias("n")).where("n > 1").select(*around, F.lit(True).alias("again"))
         cells = space.table(cells.join(again, around, "left"), "cells")
+        space.drop(third)
         lo, a = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
         start = lo + a - F.col("c") * CELL
         sure = cells.where("open and again")

@@ -1,17 +1,22 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-* Centroids come from a bounded sample, cut in halves again and again at the median along the line
-  between two means, so that each leaf holds equally many sample vectors.
-* Centroids are searched by an in-memory graph (near neighbours and a few far links, best-first beam).
+* Centroids come from a sample that grows with the table up to ``SAMPLE`` vectors, cut in halves again and again at
+  the median along the line between two means, so that each leaf holds equally many sample vectors, then moved to
+  the means of the vectors nearest to them.
+  So the number of lists grows with the table, up to ``SAMPLE / LEAF``.
+* Centroids are searched by an in-memory graph (near neighbours and a few far links, best first).
 * Every vector is indexed. It is posted to its nearest list and, near a boundary, to others whose centroid is
-  nearly as near.
-* A query reads the lists whose centroid is within a ratio of the nearest one's distance.
-* A list of more than ``LIST_ROWS`` rows is cut into parts, which queries of the list all read, so
-  no task holds more than a part.
+  nearly as near. How near is fitted on a second sample so that ``BOUNDARY`` of the vectors have a second list.
+* A query reads all lists whose centroid is within a ratio of the nearest one's distance. The ratio is fitted: for vectors
+  of the second sample, their neighbours in it are found exactly, and the ratio is what reaches ``REACH`` of
+  them. No number of lists is fixed: clustered vectors need few, vectors without structure many.
+* A list of more than ``LIST_ROWS`` rows is cut into parts, and its queries into blocks of ``BLOCK``; each pair of
+  a part and a block is one group, so no task holds more than that.
 
 Equal vectors are one entry with the ``k + 1`` smallest ids, all that a search can return of them, so a
 vector that a third of the rows share costs one entry. Distances are computed in double precision
 on the original vectors, and results are exact within the lists read; ``recall`` measures what that misses.
+With ``exactly`` every query reads every list, in the same blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or with a null or
 non-finite component take no part, as query or candidate; fewer candidates than ``k`` are all returned if their lists
@@ -25,21 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Vectors of the sample that the index is fitted on, sample vectors for each centroid, rows of a part of a list.
-SAMPLE = 16_384
+#: Most vectors of the sample that the index is fitted on, sample vectors for each centroid, rows of a part of a list, queries of a block.
+SAMPLE = 1 << 18
 LEAF = 12
 LIST_ROWS = 512
+BLOCK = 1024
 #: Vectors that a list is meant to hold, before boundary vectors are replicated.
 TARGET = 96
-REPLICAS = 4
-REPLICA_RATIO = 1.12
-PROBES = 96
-PROBE_RATIO = 1.5
+#: Most lists of a vector, and the share of vectors that have more than one.
+REPLICAS = 3
+BOUNDARY = 0.3
+#: Share of true neighbours that the lists read must hold, among how many vectors that is fitted, and for how many of them.
+REACH = 0.96
+APART = 4096
+MEASURED = 256
 
 
 def halve(sample: np.ndarray, leaves: int, seed: int = 11) -> np.ndarray:
@@ -81,12 +90,20 @@ class Graph:
 
     def search(self, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The centroids nearest to each vector, nearest first, and their distances."""
-        out = [self._search(vectors[at : at + 512].astype(np.float32), most) for at in range(0, len(vectors), 512)]
-        return np.vstack([o[0] for o in out]), np.vstack([o[1] for o in out])
+        most = min(most, len(self.points))
+        out = [self._search(vectors[at : at + 256].astype(np.float32), most, 1.0) for at in range(0, len(vectors), 256)]
+        return np.vstack([o[0][:, :most] for o in out]), np.vstack([o[1][:, :most] for o in out])
+
+    def within(self, vectors: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """All centroids within a ratio of the nearest one's distance, as far as the graph leads to them."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(vectors), 64):
+            ids, dist = self._search(vectors[at : at + 64].astype(np.float32), 1, ratio)
+            out += [i[d <= ratio * d[0] + 1e-6] for i, d in zip(ids, dist)]
+        return out
 
-    def _search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(self.points), np.arange(len(x))[:, None]
-        most = min(most, n)
         beam = min(n, most + 16)
         seen = np.zeros((len(x), n), dtype=bool)
         ids = np.tile(self.entries, (len(x), 1))
@@ -94,14 +111,20 @@ class Graph:
         dist = ((self.points[ids] - x[:, None]) ** 2).sum(2)
         done = np.zeros(ids.shape, dtype=bool)
         while True:
-            order = np.argsort(dist, axis=1)[:, :beam]
+            order = np.argsort(dist, axis=1)
             ids, dist, done = ids[rows, order], dist[rows, order], done[rows, order]
-            todo = ~done & np.isfinite(dist)
+            # Followed are the nearest ones and all within the ratio.
+            wanted = (dist <= dist[:, :1] * ratio**2 + 1e-6) & (ratio > 1.0)
+            wanted[:, :beam] = True
+            wanted &= np.isfinite(dist)
+            keep = max(beam, int(wanted.sum(1).max()))
+            ids, dist, done, wanted = ids[:, :keep], dist[:, :keep], done[:, :keep], wanted[:, :keep]
+            todo = ~done & wanted
             if not todo.any():
-                return ids[:, :most], np.sqrt(np.maximum(dist[:, :most], 0))
+                return ids, np.sqrt(np.maximum(dist, 0))
             # The best few of each row that were not followed yet.
             rank = np.where(todo, np.arange(dist.shape[1]), dist.shape[1])
-            pick = np.sort(rank, axis=1)[:, :4]
+            pick = np.sort(rank, axis=1)[:, : 4 if ratio == 1.0 else 16]
             use = pick < dist.shape[1]
             pick = np.minimum(pick, dist.shape[1] - 1)
             r, c = np.nonzero(use)
@@ -118,26 +141,56 @@ class Graph:
             done = np.hstack([done, np.zeros(found.shape, dtype=bool)])
 
 
+def settle(sample: np.ndarray, centroids: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """Centroids moved to the means of what is nearest to them; halves that cut through a cluster let go of it."""
+    for _ in range(rounds):
+        near = Graph(centroids).search(sample, 1)[0][:, 0]
+        n = np.bincount(near, minlength=len(centroids))
+        order = np.argsort(near, kind="stable")
+        sums = np.add.reduceat(sample[order], (np.cumsum(n) - n)[n > 0], axis=0)
+        centroids = np.vstack([sums / n[n > 0, None], centroids[n == 0]])
+    return np.unique(centroids, axis=0)
+
+
 class Index:
-    def __init__(self, sample: np.ndarray, lists: int) -> None:
-        self.graph = Graph(halve(sample, lists) if len(sample) else np.zeros((1, 1)))
+    """Centroids and the two fitted ratios."""
+
+    def __init__(self, sample: np.ndarray, apart: np.ndarray, lists: int, k: int, total: int) -> None:
+        self.graph = Graph(settle(sample, halve(sample, lists)) if len(sample) else np.zeros((1, 1)))
+        self.replica_ratio = self.probe_ratio = 1.0
+        if len(self.graph.points) > 1:
+            # Ratios are fitted on vectors that the centroids were not fitted on, which lie farther from them.
+            apart = apart if len(apart) > 1 else sample
+            _, near = self.graph.search(apart, 2)
+            self.replica_ratio = float(np.quantile(near[:, 1] / np.maximum(near[:, 0], 1e-12), BOUNDARY))
+            # So many neighbours among these lie about as far as k in the whole table.
+            self.probe_ratio = self._reach(apart, max(1, -(-k * len(apart) // max(1, total))))
+
+    def _reach(self, sample: np.ndarray, k: int) -> float:
+        """The ratio of centroid distances that leads the first vectors to ``REACH`` of their neighbours in it."""
+        n = len(sample)
+        lists = self.post(sample)
+        width = max(map(len, lists))
+        lists = np.array([row + row[:1] * (width - len(row)) for row in lists])
+        asked, squares = sample[: min(n, MEASURED)], (sample**2).sum(1)
+        to_lists = np.sqrt(np.maximum((asked**2).sum(1)[:, None] + (self.graph.points.astype(np.float64) ** 2).sum(1) - 2 * asked @ self.graph.points.T, 0))
+        needed = []
+        for q in range(len(asked)):
+            d = squares - 2 * sample @ asked[q]
+            d[q] = np.inf
+            near = np.argpartition(d, min(k, n - 1) - 1)[: min(k, n - 1)]
+            needed.append(to_lists[q][lists[near]].min(1) / max(to_lists[q].min(), 1e-12))
+        return float(np.quantile(np.concatenate(needed), REACH))
 
     def post(self, vectors: np.ndarray) -> list[list[int]]:
         """Lists of each vector: the nearest, and across boundaries others that are nearly as near."""
-        ids, dist = self.graph.search(vectors, REPLICAS * 2)
-        out = []
-        for near, far in zip(ids, dist):
-            chosen = [int(near[0])]
-            for c, d in zip(near[1:], far[1:]):
-                if len(chosen) == REPLICAS or d > REPLICA_RATIO * far[0]:
-                    break
-                chosen.append(int(c))
-            out.append(chosen)
-        return out
+        ids, dist = self.graph.search(vectors, REPLICAS)
+        inside = dist <= self.replica_ratio * dist[:, :1]
+        inside[:, 0] = True
+        return [row[ok].tolist() for row, ok in zip(ids, inside)]
 
     def probe(self, vectors: np.ndarray) -> list[list[int]]:
-        ids, dist = self.graph.search(vectors, PROBES)
-        return [i[d <= PROBE_RATIO * d[0] + 1e-12].tolist() for i, d in zip(ids, dist)]
+        return [row.tolist() for row in self.graph.within(vectors, self.probe_ratio)]
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -147,7 +200,7 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exactly: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows of each row whose id is divisible by ``every``."""
     spark = rows.sparkSession
     space = Workspace(spark, "ann")
@@ -163,9 +216,11 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     asked = space.table(rows.where(F.col("vec_id") % every == 0).select("vec_id", "h").dropDuplicates(), "asked")
 
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").collect()
+    lists = max(1, min(total // TARGET, SAMPLE // LEAF))
+    lists = lists if total > LIST_ROWS else 1
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(lists * LEAF + APART).select("v").collect()
     sample = np.array([r.v for r in sample], dtype=np.float64)
-    index = spark.sparkContext.broadcast(Index(sample, max(1, min(total // TARGET, len(sample) // LEAF)) if total > LIST_ROWS else 1))
+    index = spark.sparkContext.broadcast(Index(sample[: lists * LEAF], sample[lists * LEAF :], lists, k, total))
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,17 +231,26 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                lists = index.value.probe(np.stack(batch["v"].to_numpy()))
+                lists = [list(range(len(index.value.graph.points)))] * len(batch) if exactly else index.value.probe(np.stack(batch["v"].to_numpy()))
                 yield batch.assign(list=lists).explode("list").astype({"list": np.int64})
 
     entry = "entry long, ids array<long>, v array<double>"
     postings = space.table(entries.select("entry", "ids", "v").mapInPandas(posted, f"{entry}, list long"), "postings")
-    parts = F.ceil(F.col("n") / F.lit(LIST_ROWS)).cast("int")
-    sizes = space.table(postings.groupBy("list").agg(F.count("*").alias("n")).select("list", parts.alias("parts")), "sizes")
-    postings = postings.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).drop("parts")
     distinct = asked.select("h").distinct()
     questions = entries.join(distinct, "h", "left_semi").select(F.col("entry").alias("q"), "v").mapInPandas(probed, "q long, v array<double>, list long")
-    questions = questions.join(sizes, "list").select("q", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    questions = space.table(questions, "questions")
+    cut = [F.ceil(F.col(n) / F.lit(size)).cast("int").alias(c) for n, size, c in (("n", LIST_ROWS, "parts"), ("m", BLOCK, "blocks"))]
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).join(questions.groupBy("list").agg(F.count("*").alias("m")), "list")
+    sizes = space.table(sizes.select("list", *cut), "sizes")
+
+    def every_one(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def some(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    postings = postings.join(sizes, "list").select("entry", "ids", "v", "list", some("entry", "parts").alias("part"), every_one("blocks").alias("block"))
+    questions = questions.join(sizes, "list").select("q", "v", "list", every_one("parts").alias("part"), some("q", "blocks").alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -204,7 +268,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
             out.append(pd.DataFrame({"q": q, "vec_id": ids[rows], "score": d[at[rows]]}))
         return pd.concat(out)
 
-    key = ["list", "part"]
+    key = ["list", "part", "block"]
     found = questions.groupBy(*key).cogroup(postings.groupBy(*key)).applyInPandas(compare, "q long, vec_id long, score double").dropDuplicates(["q", "vec_id"])
     best = Window.partitionBy("q").orderBy("score", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
@@ -232,3 +296,10 @@ def recall(found: pd.DataFrame, truth: pd.DataFrame) -> float:
     """Share of the true neighbours that were found."""
     both = found[["query_id", "vec_id"]].merge(truth[["query_id", "vec_id"]])
     return len(both) / max(1, len(truth))
+
+
+def share_read(index: Index, vectors: np.ndarray, asked: np.ndarray) -> tuple[float, float]:
+    """Rows that the lists of a query hold, as a share of all vectors, on average, and lists of a vector: for measuring."""
+    lists = index.post(vectors)
+    sizes = np.bincount(np.concatenate([np.array(row) for row in lists]), minlength=len(index.graph.points))
+    return float(np.mean([sizes[row].sum() for row in index.probe(asked)]) / max(1, len(vectors))), float(np.mean([len(row) for row in lists]))

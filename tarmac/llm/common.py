@@ -58,7 +58,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     The ids are picked first, from the labels alone, so the texts are matched by a broadcast of a
     proven size (2 * per_class ids) and the corpus is not shuffled. ``most_bytes`` bounds all texts of
     the sample together: in the order of the pick, a row whose text does not fit in what is left of its class's half is passed over.
-    Of several texts of one id the least in order is taken.
+    Of several texts of one id the shortest is taken.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out())
     rows = rows.select("doc_id", F.col(target).cast("int").alias("y"), F.xxhash64(F.lit(41), "doc_id").alias("pick")).dropDuplicates(["doc_id"])
@@ -81,7 +81,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         if sizes[i] <= room[chosen[i][0]]:
             room[chosen[i][0]] -= sizes[i]
             ids.append(i)
-    found = sorted((i, bytes(t)) for i, t in of_ids(ids, text_of("text").cast("binary"))) if ids else []
+    whole = F.struct(F.octet_length(text_of("text")).alias("n"), text_of("text").cast("binary").alias("text"))
+    found = sorted((i, bytes(t.text)) for i, t in of_ids(ids, whole)) if ids else []
     return [t for _, t in found], np.array([chosen[i][0] for i, _ in found], dtype=np.float64)
 
 

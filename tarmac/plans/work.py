@@ -41,6 +41,22 @@ def scratch() -> Iterator[None]:
             space.close()
 
 
+#: Most rows that go to a Python worker at once while a working table is written.
+BATCH = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Workers hold a few megabytes of texts at a time, as rows may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Workspace:
     """Working tables of one operator run, as Parquet under the shared folder.
 
@@ -61,7 +77,8 @@ class Workspace:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tarmac_path = path
         return out

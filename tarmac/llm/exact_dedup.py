@@ -31,8 +31,9 @@ from .common import Bitmap, Workspace, among, delete, digest, free_names, text_o
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 DISK_BACKED = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Without files that are allocated ahead: megabytes for each state partition, however small.
-SETTINGS = {STORE: DISK_BACKED, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+#: Without files that are allocated ahead (megabytes for each state partition, however small), and with buffers and caches that all partitions of an executor share.
+SETTINGS = {STORE: DISK_BACKED, f"{ROCKS}.allowFAllocate": "false", f"{ROCKS}.boundedMemoryUsage": "true", f"{ROCKS}.maxMemoryUsageMB": "96"}
 KEY = ["text_sha256"]
 
 

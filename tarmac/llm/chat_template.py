@@ -1,10 +1,11 @@
 """Chat formatting: a compiler from a sandboxed template language to Python closures.
 
 Source -> tokens -> syntax tree -> tree with folded constants -> closures. The language has output
-``{{ e }}``, ``{% for x in e %}``, ``{% if %} {% elif %} {% else %}``, ``{% set x = e %}`` and
-``{% generation %}`` (text that is trained on). Expressions know names, literals, ``a.b``, ``a[e]``,
-``== != < <= > >=``, ``and or not``, ``+ ~``, and filters. A name or attribute is only ever
-a lookup in the given mappings; there are no calls, no imports and no Python attributes, and loops run
+``{{ e }}``, comments ``{# #}``, ``{% for x in e if c %}``, ``{% if %} {% elif %} {% else %}``, ``{% set x = e %}`` and
+``{% generation %}`` (text that is trained on); a minus inside a mark (``{%- -%}``) drops the white space beside it. Expressions know
+names, literals, lists, ``a.b``, ``a[e]``, ``a[e:e]``, ``== != < <= > >=``, ``in``, ``is defined`` and other tests, ``and or not``,
+``a if c else b``, ``+ - * // % ~``, filters with arguments, the text methods of ``METHODS`` and ``raise_exception``. A name or attribute is only ever
+a lookup in the given mappings; there are no other calls, no imports and no Python attributes, and loops run
 over given lists only, so a template ends and cannot reach the interpreter.
 
 Rendering returns the text and the spans of it that generation blocks made. ``Format`` pairs
@@ -20,6 +21,7 @@ empty result; other columns are not read. A conversation is one record and is re
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -72,6 +74,33 @@ class Binary:
 class Filter:
     of: Any
     name: str
+    args: list = field(default_factory=list)
+
+
+@dataclass
+class Choice:
+    condition: Any
+    yes: Any
+    no: Any
+
+
+@dataclass
+class Several:
+    items: list
+
+
+@dataclass
+class Slice:
+    of: Any
+    start: Any
+    stop: Any
+
+
+@dataclass
+class Test:
+    of: Any
+    name: str
+    negated: bool
 
 
 @dataclass
@@ -95,6 +124,7 @@ class Loop:
     name: str
     over: Any
     body: list
+    where: Any = None
 
 
 @dataclass
@@ -107,27 +137,99 @@ class Generation:
     body: list
 
 
-FILTERS: dict[str, Callable[[Any], Any]] = {
+def _raise(message: Any) -> None:
+    raise TemplateError(_text(message))
+
+
+FILTERS: dict[str, Callable[..., Any]] = {
     "trim": lambda v: _text(v).strip(),
     "upper": lambda v: _text(v).upper(),
     "lower": lambda v: _text(v).lower(),
     "title": lambda v: _text(v)[:1].upper() + _text(v)[1:],
     "length": len,
+    "join": lambda v, mark="": _text(mark).join(map(_text, _list(v))),
+    "default": lambda v, other="": other if v is None else v,
+    "replace": lambda v, old, new: _text(v).replace(_text(old), _text(new)),
+    "first": lambda v: v[0] if v else None,
+    "last": lambda v: v[-1] if v else None,
+    "string": lambda v: _text(v),
+    "int": lambda v: int(v),
+    "tojson": lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True),
+}
+#: Calls on texts: ``a.strip()``.
+METHODS: dict[str, Callable[..., Any]] = {
+    "strip": lambda v, marks=None: v.strip(marks), "lstrip": lambda v, marks=None: v.lstrip(marks), "rstrip": lambda v, marks=None: v.rstrip(marks),
+    "upper": lambda v: v.upper(), "lower": lambda v: v.lower(), "split": lambda v, mark=None: v.split(mark), "replace": lambda v, old, new: v.replace(old, new),
+    "startswith": lambda v, start: v.startswith(start), "endswith": lambda v, end: v.endswith(end),
 }
+TESTS: dict[str, Callable[[Any], bool]] = {
+    "defined": lambda v: v is not None, "none": lambda v: v is None, "string": lambda v: isinstance(v, str), "mapping": lambda v: isinstance(v, dict),
+    "sequence": lambda v: isinstance(v, (list, tuple, str)), "iterable": lambda v: isinstance(v, (list, tuple, str, dict)), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "boolean": lambda v: isinstance(v, bool), "true": lambda v: v is True, "false": lambda v: v is False, "odd": lambda v: v % 2 == 1, "even": lambda v: v % 2 == 0,
+}
+#: No product of a text or list and a number, which could be of any size.
 OPERATIONS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
     ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "~": lambda a, b: _text(a) + _text(b), "+": lambda a, b: a + b,
+    "-": lambda a, b: _number(a) - _number(b), "*": lambda a, b: _number(a) * _number(b), "//": lambda a, b: _number(a) // _number(b), "%": lambda a, b: _number(a) % _number(b),
+    "in": lambda a, b: a in b, "not in": lambda a, b: a not in b,
 }
 
 
+def _number(value: Any) -> int:
+    if not isinstance(value, int):
+        raise TypeError(f"{type(value).__name__} is not a number")
+    return value
+
+
+def _list(value: Any) -> list | tuple:
+    if not isinstance(value, (list, tuple)):
+        raise TypeError(f"{type(value).__name__} is not a list")
+    return value
+
+
+def _safely(run: Callable, *values: Any) -> Any:
+    try:
+        return run(*values)
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError, ArithmeticError) as e:
+        raise TemplateError(str(e)) from None
+
+
 def _text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
 # --- parser ----------------------------------------------------------------------------------
 
-PIECES = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
-TOKEN = re.compile(r"""\s*(?:(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<mark>==|!=|<=|>=|[<>+~|.()\[\]=]))""", re.S)
+OPEN = re.compile(r"\{\{|\{%|\{#")
+CLOSE = {"{{": re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|-?\}\}""", re.S), "{%": re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|-?%\}""", re.S), "{#": re.compile(r"()-?#\}")}
+TOKEN = re.compile(r"""\s*(?:(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<mark>==|!=|<=|>=|//|[<>+*%~|.,:()\[\]=-]))""", re.S)
+
+
+def pieces(source: str) -> Iterator[tuple[str, str]]:
+    """(mark, inside) of each mark, and ("", text) of what is between; strings may hold closing marks."""
+    at, strip = 0, False
+    while True:
+        m = OPEN.search(source, at)
+        text = source[at : m.start() if m else None]
+        text = text.lstrip() if strip else text
+        if not m:
+            yield "", text
+            return
+        begin = m.end() + source.startswith("-", m.end())
+        yield "", text.rstrip() if begin > m.end() else text
+        end = CLOSE[m[0]].search(source, begin)
+        while end and end[1]:
+            end = CLOSE[m[0]].search(source, end.end())
+        if not end:
+            raise TemplateError(f"not closed: {source[m.start() : m.start() + 20]!r}")
+        if m[0] != "{#":
+            yield m[0], source[begin : end.start()]
+        at, strip = end.end(), end[0].startswith("-")
+
+
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -174,6 +276,13 @@ class _Expression:
             raise TemplateError(f"left over: {self.peek()[1]!r}")
         return tree
 
+    def whole(self) -> Any:
+        tree = self.either()
+        if self.take("if"):
+            condition = self.either()
+            return Choice(condition, tree, self.whole() if self.take("else") else Literal(None))
+        return tree
+
     def either(self) -> Any:
         left = self.both()
         while self.take("or"):
@@ -191,39 +300,85 @@ class _Expression:
 
     def compared(self) -> Any:
         left = self.summed()
-        while op := self.take("==", "!=", "<", "<=", ">", ">="):
-            left = Binary(op, left, self.summed())
-        return left
+        while True:
+            if op := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
+                left = Binary(op, left, self.summed())
+            elif self.peek() == ("name", "not") and self.tokens[self.at + 1 : self.at + 2] == [("name", "in")]:
+                self.at += 2
+                left = Binary("not in", left, self.summed())
+            elif self.take("is"):
+                negated = bool(self.take("not"))
+                name = self.name()
+                if name not in TESTS:
+                    raise TemplateError(f"no such test: {name}")
+                left = Test(left, name, negated)
+            else:
+                return left
 
     def summed(self) -> Any:
-        left = self.filtered()
-        while op := self.take("+", "~"):
-            left = Binary(op, left, self.filtered())
+        left = self.product()
+        while op := self.take("+", "-", "~"):
+            left = Binary(op, left, self.product())
+        return left
+
+    def product(self) -> Any:
+        left = self.signed()
+        while op := self.take("*", "//", "%"):
+            left = Binary(op, left, self.signed())
         return left
 
+    def signed(self) -> Any:
+        return Binary("-", Literal(0), self.signed()) if self.take("-") else self.filtered()
+
     def filtered(self) -> Any:
         tree = self.item()
         while self.take("|"):
-            tree = Filter(tree, self.name())
+            tree = Filter(tree, self.name(), self.arguments() if self.take("(") else [])
         return tree
 
+    def arguments(self, close: str = ")") -> list:
+        """Expressions up to a closing bracket."""
+        out: list = []
+        while not self.take(close):
+            if out and not self.take(","):
+                raise TemplateError("a bracket is not closed")
+            if self.take(close):
+                break
+            out.append(self.whole())
+        return out
+
     def item(self) -> Any:
         kind, value = self.peek()
         if self.take("("):
-            tree = self.either()
+            tree = self.whole()
             if not self.take(")"):
                 raise TemplateError("a bracket is not closed")
+        elif self.take("["):
+            tree = Several(self.arguments("]"))
         elif kind in ("string", "number"):
             self.at += 1
             tree = Literal(value)
         else:
             name = self.name()
-            tree = Literal({"true": True, "false": False, "none": None}[name]) if name in ("true", "false", "none") else Name(name)
+            constant = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
+            if name == "raise_exception" and self.take("("):
+                args = self.arguments()
+                tree = Filter(args[0] if args else Literal(None), name)
+            else:
+                tree = Literal(constant[name]) if name in constant else Name(name)
         while op := self.take(".", "["):
             if op == ".":
-                tree = Item(tree, Literal(self.name()))
+                name = self.name()
+                if name in METHODS and self.take("("):
+                    tree = Filter(tree, "." + name, self.arguments())
+                else:
+                    tree = Item(tree, Literal(name))
             else:
-                tree = Item(tree, self.either())
+                start = None if self.peek() == ("mark", ":") else self.whole()
+                if self.take(":"):
+                    tree = Slice(tree, start or Literal(None), Literal(None) if self.peek() == ("mark", "]") else self.whole())
+                else:
+                    tree = Item(tree, start)
                 if not self.take("]"):
                     raise TemplateError("a bracket is not closed")
         return tree
@@ -232,34 +387,35 @@ class _Expression:
 def parse(source: str) -> list:
     """The syntax tree of a template."""
     stack: list[tuple[str, Any, list]] = [("", None, [])]
-    for k, piece in enumerate(PIECES.split(source)):
+    for mark, piece in pieces(source):
         body = stack[-1][2]
-        if k % 2 == 0:
+        if not mark:
             if piece:
                 body.append(Text(piece))
-        elif piece.startswith("{{"):
-            e = _Expression(piece[2:-2])
-            body.append(Output(e.end(e.either())))
+        elif mark == "{{":
+            e = _Expression(piece)
+            body.append(Output(e.end(e.whole())))
         else:
-            word, _, rest = piece[2:-2].strip().partition(" ")
+            word, _, rest = piece.strip().partition(" ")
             e = _Expression(rest)
             if word == "for":
                 name = e.name()
                 if not e.take("in"):
                     raise TemplateError("for without in")
-                stack.append(("for", Loop(name, e.end(e.either()), []), []))
+                over = e.either()
+                stack.append(("for", Loop(name, over, [], e.end(e.either()) if e.take("if") else e.end(None)), []))
             elif word == "if":
-                stack.append(("if", Branch([(e.end(e.either()), [])]), []))
+                stack.append(("if", Branch([(e.end(e.whole()), [])]), []))
             elif word in ("elif", "else") and stack[-1][0] == "if":
                 _, branch, done = stack.pop()
                 branch.arms[-1] = (branch.arms[-1][0], done)
-                branch.arms.append((e.end(e.either()) if word == "elif" else Literal(True), []))
+                branch.arms.append((e.end(e.whole()) if word == "elif" else Literal(True), []))
                 stack.append(("if", branch, []))
             elif word == "set":
                 name = e.name()
                 if not e.take("="):
                     raise TemplateError("set without =")
-                body.append(Let(name, e.end(e.either())))
+                body.append(Let(name, e.end(e.whole())))
             elif word == "generation":
                 stack.append(("generation", Generation([]), []))
             elif word in ("endfor", "endif", "endgeneration") and stack[-1][0] == word[3:]:
@@ -301,23 +457,31 @@ def fold(tree: Any, filters: dict[str, Callable]) -> Any:
         if isinstance(left, Literal) and tree.op in ("and", "or"):
             return right if bool(left.value) == (tree.op == "and") else left
         if isinstance(left, Literal) and isinstance(right, Literal) and tree.op in OPERATIONS:
-            try:
-                return Literal(OPERATIONS[tree.op](left.value, right.value))
-            except TypeError as e:
-                raise TemplateError(str(e)) from None
+            return Literal(_safely(OPERATIONS[tree.op], left.value, right.value))
         return Binary(tree.op, left, right)
     if isinstance(tree, Filter):
-        if tree.name not in filters:
-            raise TemplateError(f"no such filter: {tree.name}")
+        _filter(tree.name, filters)
+        of, args = go(tree.of), [go(a) for a in tree.args]
+        if tree.name != "raise_exception" and all(isinstance(t, Literal) for t in (of, *args)):
+            return Literal(_safely(_filter(tree.name, filters), of.value, *(a.value for a in args)))
+        return Filter(of, tree.name, args)
+    if isinstance(tree, Choice):
+        condition = go(tree.condition)
+        return go(tree.yes if condition.value else tree.no) if isinstance(condition, Literal) else Choice(condition, go(tree.yes), go(tree.no))
+    if isinstance(tree, Test):
         of = go(tree.of)
-        return Literal(filters[tree.name](of.value)) if isinstance(of, Literal) else Filter(of, tree.name)
+        return Literal(_safely(TESTS[tree.name], of.value) != tree.negated) if isinstance(of, Literal) else Test(of, tree.name, tree.negated)
+    if isinstance(tree, Several):
+        return Several([go(i) for i in tree.items])
+    if isinstance(tree, Slice):
+        return Slice(go(tree.of), go(tree.start), go(tree.stop))
     if isinstance(tree, Output):
         value = go(tree.value)
         return Text(_text(value.value)) if isinstance(value, Literal) else Output(value)
     if isinstance(tree, Let):
         return Let(tree.name, go(tree.value))
     if isinstance(tree, Loop):
-        return Loop(tree.name, go(tree.over), go(tree.body))
+        return Loop(tree.name, go(tree.over), go(tree.body), tree.where and go(tree.where))
     if isinstance(tree, Generation):
         return Generation(go(tree.body))
     if isinstance(tree, Branch):
@@ -359,6 +523,17 @@ def _look(of: Any, key: Any) -> Any:
     raise TemplateError(f"cannot look up {key!r} in a {type(of).__name__}")
 
 
+def _filter(name: str, filters: dict[str, Callable]) -> Callable:
+    if name == "raise_exception":
+        return _raise
+    found = METHODS.get(name[1:]) if name.startswith(".") else filters.get(name)
+    if not found:
+        raise TemplateError(f"no such filter: {name}")
+    if name.startswith("."):
+        return lambda v, *args: found(v, *args) if isinstance(v, str) else _raise(f"{name[1:]} of a {type(v).__name__}")
+    return found
+
+
 def _value(tree: Any, filters: dict[str, Callable]) -> Callable[[_Run], Any]:
     if isinstance(tree, Literal):
         return lambda run, v=tree.value: v
@@ -371,15 +546,29 @@ def _value(tree: Any, filters: dict[str, Callable]) -> Callable[[_Run], Any]:
         of = _value(tree.of, filters)
         return lambda run: not of(run)
     if isinstance(tree, Filter):
-        of, apply = _value(tree.of, filters), filters[tree.name]
-        return lambda run: apply(of(run))
+        of, apply, args = _value(tree.of, filters), _filter(tree.name, filters), [_value(a, filters) for a in tree.args]
+        if not args:
+            return lambda run: _safely(apply, of(run))
+        return lambda run: _safely(apply, of(run), *[a(run) for a in args])
+    if isinstance(tree, Choice):
+        condition, yes, no = (_value(t, filters) for t in (tree.condition, tree.yes, tree.no))
+        return lambda run: yes(run) if condition(run) else no(run)
+    if isinstance(tree, Test):
+        of, test, negated = _value(tree.of, filters), TESTS[tree.name], tree.negated
+        return lambda run: _safely(test, of(run)) != negated
+    if isinstance(tree, Several):
+        items = [_value(i, filters) for i in tree.items]
+        return lambda run: [i(run) for i in items]
+    if isinstance(tree, Slice):
+        of, start, stop = (_value(t, filters) for t in (tree.of, tree.start, tree.stop))
+        return lambda run: _safely(lambda v, a, b: v[a:b] if isinstance(v, (list, tuple, str)) else _raise("only lists and texts have slices"), of(run), start(run), stop(run))
     left, right = _value(tree.left, filters), _value(tree.right, filters)
     if tree.op == "and":
         return lambda run: left(run) and right(run)
     if tree.op == "or":
         return lambda run: left(run) or right(run)
     op = OPERATIONS[tree.op]
-    return lambda run: op(left(run), right(run))
+    return lambda run: _safely(op, left(run), right(run))
 
 
 def _block(tree: list, filters: dict[str, Callable]) -> Callable[[_Run], None]:
@@ -423,12 +612,21 @@ def _step(node: Any, filters: dict[str, Callable]) -> Callable[[_Run], None]:
                     return body(run)
 
         return branch
-    over, body = _value(node.over, filters), _block(node.body, filters)
+    over, body, where = _value(node.over, filters), _block(node.body, filters), node.where and _value(node.where, filters)
 
     def loop(run: _Run, name: str = node.name) -> None:
         items = over(run) or ()
         if not isinstance(items, (list, tuple)):
             raise TemplateError("for runs over lists only")
+        if where:
+            kept = []
+            before = run.names.get(name)
+            for item in items:
+                run.names[name] = item
+                if where(run):
+                    kept.append(item)
+            run.names[name] = before
+            items = kept
         outer = {k: run.names[k] for k in (name, "loop") if k in run.names}
         for k, item in enumerate(items):
             run.names[name] = item

@@ -388,6 +388,44 @@ def test_template_language():
         chat_template.Template("{{ x.__class__ }}").render(x="s")
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("a {%- if true -%} b {%- endif %} c", "ab c"),
+    ("{# a note with {{ x }} #}x", "x"),
+    ("{{ '}}' ~ \"%}\" }}", "}}%}"),
+    ("{% for m in ms if m.role != 'system' %}{{ loop.index }}{{ m.role[:1] | upper }}{% endfor %}", "1U2A"),
+    ("{{ ms[1:] | length }}{{ ms[-1]['role'] }}{{ ms[0:1][0].role }}", "2assistantsystem"),
+    ("{{ 'b' in names and 'z' not in names }}{{ missing is defined }}{{ ms is not none }}", "TrueFalseTrue"),
+    ("{{ names | join(', ') }}|{{ missing | default('none') }}|{{ 7 - 2 * 3 }}|{{ -7 // 2 }}|{{ 7 % 4 }}", "a, b|none|1|-4|3"),
+    ("{{ 'x' if ms | length > 2 else 'y' }}{{ ' a '.strip() }}{{ names[0].upper() }}{{ 'ab'.startswith('a') }}", "xaATrue"),
+    ("{% set n = [1, 2, names[1]] %}{{ n | join('-') }}", "1-2-b"),
+])
+def test_more_of_the_template_language(source, text):
+    names = {"ms": [{"role": r, "text": r} for r in ("system", "user", "assistant")], "names": ["a", "b"]}
+    assert chat_template.Template(source).render(**names)[0] == text
+
+
+def test_a_template_as_published_ones_are():
+    source = """{%- if messages[0]['role'] == 'system' -%}
+        {%- set first = messages[0]['content'].strip() + '\\n\\n' -%}{%- set rest = messages[1:] -%}
+    {%- else -%}{%- set first = '' -%}{%- set rest = messages -%}{%- endif -%}
+    {%- for message in rest -%}
+        {%- if (message['role'] == 'user') != (loop.index0 % 2 == 0) -%}{{ raise_exception('roles must alternate') }}{%- endif -%}
+        {%- if message['role'] == 'user' -%}{{ '[Q] ' + (first if loop.first else '') + message['content'] | trim + ' [/Q]' }}
+        {%- else -%}{%- generation -%}{{ ' ' ~ message['content'] | trim ~ ' ' }}{%- endgeneration -%}{{ end }}{%- endif -%}
+    {%- endfor -%}"""
+    said = [{"role": "system", "content": " be brief "}, {"role": "user", "content": "a "}, {"role": "assistant", "content": "b"}, {"role": "user", "content": "c"}]
+    text, spans = chat_template.Template(source).render(messages=said, end="</s>")
+    assert text == "[Q] be brief\n\na [/Q] b </s>[Q] c [/Q]" and [text[a:b] for a, b in spans] == [" b "]
+    with pytest.raises(chat_template.TemplateError, match="alternate"):
+        chat_template.Template(source).render(messages=said[2:], end="")
+
+
+@pytest.mark.parametrize("source", ["{{ 3 | length }}", "{{ 'a' * 9 }}", "{{ x.format(1) }}", "{{ x.strip }}", "{{ 1 is nothing }}", "{{ 'a' - 1 }}", "{{ 1 // 0 }}", "{{ 'open", "{% if true %}", "{{ [1, 2 }}", "{{ x['__class__'] }}"])
+def test_what_the_language_refuses(source):
+    with pytest.raises(chat_template.TemplateError):
+        chat_template.Template(source).render(x="text")
+
+
 def test_escapes_round_trip():
     rng = random.Random(4)
     for _ in range(5000):

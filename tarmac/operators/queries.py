@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph
-from ..plans.fixpoint import distances
+from ..plans.fixpoint import Roads, distances
 from ..plans.work import Workspace
 
 
@@ -81,16 +81,16 @@ def exact_knn(queries: DataFrame, objects: DataFrame, edges: DataFrame, start: i
     and the farthest one with its longest edge is within it. Queries that are done leave the loop.
     """
     space = Workspace(queries.sparkSession, "knn")
-    arcs = graph.arcs(edges)
     bounds = edges.agg(F.max("w").alias("longest"), F.avg("w").alias("mean")).first()
     if bounds.longest is None:
-        return first_k(object_distances(distances(seeds(queries), arcs, method), objects), F.lit(0))
+        return first_k(object_distances(distances(seeds(queries), graph.arcs(edges), method), objects), F.lit(0))
+    roads = Roads(graph.arcs(edges), method)
     widest = queries.agg(F.max("k")).first()[0] or 0
     radius = start or max(bounds.longest, int(2 * bounds.mean * max(1, widest) ** 0.5))
     left, out = queries.where("k > 0"), None
     while True:
         from_here = left.withColumn("radius", F.lit(radius).cast("bigint"))
-        field = space.table(distances(vertex_seeds(from_here) if at_vertex else seeds(from_here), arcs, method), "field")
+        field = space.table(distances(vertex_seeds(from_here) if at_vertex else seeds(from_here), roads), "field")
         found = object_distances(field, objects, None if at_vertex else left, same_edge)
         reach = field.groupBy("query_id").agg(F.max("dist").alias("farthest"))
         near = found.groupBy("query_id").agg(F.count_if(F.col("dist") <= radius).alias("inside"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import distances
+from ..plans.fixpoint import Roads, distances
 from ..plans.work import Workspace
 from .partition import all_pairs, rb_ib, sg_vertices
 from .queries import first_k, objects_in
@@ -25,6 +25,7 @@ class Skeleton:
         self.sg_edges, self.space = sg_edges, Workspace(sg_edges.sparkSession, "skeleton")
         self.sg_dist = all_pairs(sg_edges) if sg_dist is None else sg_dist
         self._derived = sg_dist is None
+        self._roads: dict[str, Roads] = {}
         self.members = sg_vertices(sg_edges)
         self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id")
 
@@ -87,9 +88,14 @@ class Skeleton:
         """(query_id, border, d) within ``queries.radius``: the search over the skeleton."""
         start = self.entry(queries).join(self.border_sg.select("sg_id", F.col("border").alias("vid")), ["sg_id", "vid"], "left_semi")
         start = start.join(queries.select("query_id", "radius"), "query_id").select("query_id", "vid", "dist", "radius")
-        both = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))
-        arcs = self.skeleton().select("w", F.explode(both).alias("x")).select("x.s", "x.d", "w")
-        return self.space.table(distances(start, arcs, method), "reached").select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+        return self.space.table(distances(start, self.roads(method)), "reached").select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+
+    def roads(self, method: str = "auto") -> Roads:
+        """The skeleton as arcs, prepared once for all searches over it."""
+        if method not in self._roads:
+            both = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))
+            self._roads[method] = Roads(self.skeleton().select("w", F.explode(both).alias("x")).select("x.s", "x.d", "w"), method)
+        return self._roads[method]
 
     def classify(self, queries: DataFrame, reached: DataFrame) -> DataFrame:
         """Per query and touched subgraph: whether each cover rule accepts it whole.

@@ -61,15 +61,24 @@ class Adjacency:
         return {int(self.vertex[k]): d for k, d in best.items()}
 
 
-def distances(seeds: DataFrame, arcs: DataFrame, method: str = "auto", max_rounds: int | None = None) -> DataFrame:
+class Roads:
+    """Arcs that several searches share: counted once and, where they fit, sent to the tasks once."""
+
+    def __init__(self, arcs: DataFrame, method: str = "auto") -> None:
+        if method == "auto":
+            method = "local" if arcs.limit(LOCAL_ARCS + 1).count() <= LOCAL_ARCS else "fixpoint"
+        self.arcs, self.method = arcs, method
+        self.sent = arcs.sparkSession.sparkContext.broadcast(Adjacency(arcs.select("s", "d", "w").toPandas())) if method == "local" else None
+
+
+def distances(seeds: DataFrame, arcs: DataFrame | Roads, method: str = "auto", max_rounds: int | None = None) -> DataFrame:
     """(query_id, vid, dist) for ``seeds(query_id, vid, dist, radius)``: all vertices with dist <= radius.
 
-    A null radius is no bound. Weights must be positive.
+    A null radius is no bound. Weights must be positive. ``Roads`` in place of arcs have their method already.
     """
     seeds = seeds.select("query_id", "vid", F.col("dist").cast("bigint").alias("dist"), F.coalesce(F.col("radius").cast("bigint"), F.lit(int(FAR) // 4)).alias("radius"))
-    if method == "auto":
-        method = "local" if arcs.limit(LOCAL_ARCS + 1).count() <= LOCAL_ARCS else "fixpoint"
-    return _local(seeds, arcs) if method == "local" else _fixpoint(seeds, arcs, max_rounds)
+    roads = arcs if isinstance(arcs, Roads) else Roads(arcs, method)
+    return _local(seeds, roads) if roads.method == "local" else _fixpoint(seeds, roads.arcs, max_rounds)
 
 
 def origins(seeds: DataFrame, arcs: DataFrame, method: str = "auto") -> DataFrame:
@@ -91,12 +100,13 @@ def to_targets(seeds: DataFrame, arcs: DataFrame, targets: DataFrame, method: st
     """
     space = Workspace(seeds.sparkSession, "targets")
     bounds = arcs.agg(F.max("w").alias("longest"), F.sum("w").alias("whole")).first()
+    roads = Roads(arcs, method)
     far = seeds.agg(F.max("dist")).first()[0] or 0
     radius, out = 2 * (bounds.longest or 0) + far, None
     left = space.table(targets.distinct(), "targets")
     while True:
         now = seeds.drop("radius").withColumn("radius", F.lit(radius).cast("bigint")).join(left.select("query_id").distinct(), "query_id", "left_semi")
-        found = space.table(distances(now, arcs, method).join(left, ["query_id", "vid"], "left_semi"), "found")
+        found = space.table(distances(now, roads).join(left, ["query_id", "vid"], "left_semi"), "found")
         out = found if out is None else out.unionByName(found)
         left = space.table(left.join(found, ["query_id", "vid"], "left_anti"), "left")
         if radius > (bounds.whole or 0) + far or left.isEmpty():
@@ -104,8 +114,8 @@ def to_targets(seeds: DataFrame, arcs: DataFrame, targets: DataFrame, method: st
         radius *= 2
 
 
-def _local(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
-    graph = seeds.sparkSession.sparkContext.broadcast(Adjacency(arcs.select("s", "d", "w").toPandas()))
+def _local(seeds: DataFrame, roads: Roads) -> DataFrame:
+    graph = roads.sent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

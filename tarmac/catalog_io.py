@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ARCS, CLIQUE, FIELD, FOUND, K, PART, RADIUS, SG, XY, _field, _skeleton, _sg_edges, _sql, query
+from .catalog import ARCS, CLIQUE, FIELD, FOUND, K, PART, RADIUS, SG, SG_DIST, XY, _field, _skeleton, _sg_edges, _sql, query
 from .catalog import ORACLE_SQL as ORACLE_SQL
 from .catalog import QUERIES as REGISTERED
 from .functions import graph
 from .operators import partition, queries, reports
 from .operators.skeleton import Skeleton, group_subgraphs, hubs
-from .plans.fixpoint import origins, to_targets
+from .plans.fixpoint import distances, origins, to_targets
 from .sources import files, generators
 from .sources.network import Network
 from .streaming import positions
@@ -280,3 +280,47 @@ def update_epochs(n: Network) -> DataFrame:
     rows = _epochs(n).join(positions.effective(_epochs(n)).select("event_id", F.lit(True).alias("fresh")), "event_id", "left")
     fresh = F.coalesce("fresh", F.lit(False))
     return rows.groupBy("epoch").agg(F.count("*").alias("updates"), F.count_if(fresh).alias("applied"), F.count_distinct(F.when(fresh, F.col("obj_id"))).alias("moved_objects"))
+
+
+# --- diagnostics ----------------------------------------------------------------------------------
+
+
+@query(_sql(f"SELECT query_id, vid, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, vid) AS settled, (SELECT count(*) FROM arcs a WHERE a.s = field.vid) AS relaxed FROM field WHERE dist <= {RADIUS}", *FIELD))
+def settle_order(n: Network) -> DataFrame:
+    """The order in which a search settles vertices, and how many arcs it tries at each."""
+    return reports.settled(distances(queries.seeds(n.queries(RADIUS)), graph.arcs(n.edges)), n.edges)
+
+
+@query(_sql("SELECT b.sg_id, count(*) AS external_edges, count(DISTINCT b.border) AS through FROM (SELECT sg_id, vid AS border FROM sg_vertices WHERE is_border) b JOIN sg_edges e ON b.border IN (e.u, e.v) AND e.sg_id <> b.sg_id GROUP BY b.sg_id", *SG))
+def external_edges(n: Network) -> DataFrame:
+    """Edges of other subgraphs at the borders of each."""
+    return reports.external_edges(_sg_edges(n))
+
+
+@query(
+    _sql(
+        f"""SELECT query_id, count(*) AS touched, round(count(*) FILTER (n = total) / count(*), 6) AS full_ratio, round(coalesce(sum(n) FILTER (n = total), 0) / sum(n), 6) AS object_ratio FROM (
+        SELECT f.query_id, e.sg_id, count(*) AS n, max(t.n) AS total FROM found f JOIN v_objects o USING (obj_id) JOIN sg_edges e ON e.u = o.u AND e.v = o.v
+        JOIN (SELECT sg_id, count(*) AS n FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v GROUP BY sg_id) t ON t.sg_id = e.sg_id WHERE f.dist <= {RADIUS} GROUP BY ALL) GROUP BY query_id""",
+        *SG, *FIELD, FOUND,
+    )
+)
+def coverage_scan(n: Network) -> DataFrame:
+    """Of each query the shares of touched subgraphs and of found objects that lie in subgraphs found whole."""
+    per = reports.coverage(queries.exact_range(n.queries(RADIUS), n.objects, n.edges), n.objects, _sg_edges(n))
+    return per.select("query_id", "touched", F.round(F.col("full") / F.col("touched"), 6).alias("full_ratio"), F.round(F.col("full_objects") / F.col("result_objects"), 6).alias("object_ratio"))
+
+
+@query(
+    _sql(
+        f"""SELECT l.query_id, c.obj_id, min(l.lb + c.suffix) AS lower_bound FROM (
+          SELECT f.query_id, x.sg_id, min(f.dist) AS lb FROM field f JOIN brd x ON x.border = f.vid WHERE f.dist <= {RADIUS} GROUP BY ALL) l
+        JOIN (SELECT o.obj_id, e.sg_id, min(CASE WHEN d.b = o.u THEN d.d + o.offset_ ELSE d.d + o.w - o.offset_ END) AS suffix
+          FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v JOIN brd x ON x.sg_id = e.sg_id JOIN sg_dist d ON d.sg_id = e.sg_id AND d.a = x.border AND d.b IN (o.u, o.v) GROUP BY ALL) c ON c.sg_id = l.sg_id GROUP BY l.query_id, c.obj_id""",
+        *SG_DIST, *FIELD,
+    )
+)
+def lower_bounds(n: Network) -> DataFrame:
+    """Least distance of an object by way of the borders reached: that of its subgraph's nearest border and of the object's own."""
+    s, q = _skeleton(n), n.queries(RADIUS)
+    return s.lower_bounds(s.border_distances(q), n.objects)

@@ -161,6 +161,23 @@ def batch_distances(found: DataFrame, ks: list[int]) -> DataFrame:
     return rows.groupBy("k").agg(F.count("*").alias("results"), F.min("dist").alias("nearest"), F.max("dist").alias("farthest"), F.round(F.avg("dist"), 6).alias("mean"))
 
 
+def settled(field: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, vid, dist, settled, relaxed): the order in which a search settles vertices, and the arcs it tries at each."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_id").orderBy("dist", "vid")
+    ranked = field.withColumn("settled", F.row_number().over(order).cast("bigint"))
+    return ranked.join(graph.degrees(edges).select("vid", F.col("degree").alias("relaxed")), "vid").select("query_id", "vid", "dist", "settled", "relaxed")
+
+
+def external_edges(sg_edges: DataFrame) -> DataFrame:
+    """(sg_id, external_edges, through): edges of other subgraphs at a subgraph's borders (an edge at two of them twice), and at how many borders."""
+    border = sg_vertices(sg_edges).where("is_border").select("sg_id", "vid")
+    ends = sg_edges.select(F.col("sg_id").alias("owner"), F.explode(F.array("u", "v")).alias("vid"))
+    met = border.join(ends, "vid").where("owner != sg_id")
+    return met.groupBy("sg_id").agg(F.count("*").alias("external_edges"), F.count_distinct("vid").alias("through"))
+
+
 def edge_length_report(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("edges"), F.min("w").alias("min_w"), F.max("w").alias("max_w"), F.round(F.avg("w"), 6).alias("mean_w"), F.countDistinct("w").alias("distinct_w"))
 

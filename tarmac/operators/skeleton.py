@@ -77,6 +77,11 @@ class Skeleton:
         least = costs.groupBy("obj_id", "sg_id").agg(F.min(F.struct("cost", "border")).alias("b"))
         return least.select("obj_id", "sg_id", F.col("b.cost").alias("suffix"), F.col("b.border").alias("border"))
 
+    def lower_bounds(self, reached: DataFrame, objects: DataFrame) -> DataFrame:
+        """(query_id, obj_id, lower_bound): the nearest reached border of the object's subgraph and the object's least way to a border."""
+        near = reached.join(self.border_sg, "border").groupBy("query_id", "sg_id").agg(F.min("d").alias("lb"))
+        return near.join(self.suffix(objects), "sg_id").groupBy("query_id", "obj_id").agg(F.min(F.col("lb") + F.col("suffix")).alias("lower_bound"))
+
     def entry(self, queries: DataFrame) -> DataFrame:
         """(query_id, sg_id, vid, dist): distances inside the query's own subgraph, to all of its vertices."""
         own = queries.join(self.sg_edges.select("sg_id", "u", "v"), ["u", "v"])

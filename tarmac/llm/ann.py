@@ -10,8 +10,9 @@
 * A query reads all lists whose centroid is within a ratio of the nearest one's distance. The ratio is fitted: for vectors
   of the second sample, their neighbours in it are found exactly, and the ratio is what reaches ``REACH`` of
   them. No number of lists is fixed: clustered vectors need few, vectors without structure many.
-* A list of more than ``LIST_ROWS`` rows is cut into parts, and its queries into blocks of ``BLOCK``; each pair of
-  a part and a block is one group, so no task holds more than that.
+* ``SHELF`` lists are read together, so that a query sends its vector and gets its nearest ones once for all of them that it reads. A shelf of
+  more than ``PART_ROWS`` rows is cut into parts, and its queries into blocks of ``BLOCK``; each pair of a part
+  and a block is one group, so no task holds more than that.
 
 Equal vectors are one entry with the ``k + 1`` smallest ids, all that a search can return of them, so a
 vector that a third of the rows share costs one entry. Distances are computed in double precision
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Most vectors of the sample that the index is fitted on, sample vectors for each centroid, rows of a part of a list, queries of a block.
+#: Most vectors of the sample that the index is fitted on, sample vectors for each centroid, rows of a part of a shelf, queries of a block, lists of a shelf.
 SAMPLE = 1 << 18
 LEAF = 12
-LIST_ROWS = 512
+PART_ROWS = 4096
 BLOCK = 1024
+SHELF = 16
+#: Fewer vectors than this are one list.
+FEW = 512
 #: Vectors that a list is meant to hold, before boundary vectors are replicated.
 TARGET = 96
 #: Most lists of a vector, and the share of vectors that have more than one.
@@ -217,7 +221,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
     total = entries.count()
     lists = max(1, min(total // TARGET, SAMPLE // LEAF))
-    lists = lists if total > LIST_ROWS else 1
+    lists = lists if total > FEW else 1
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(lists * LEAF + APART).select("v").collect()
     sample = np.array([r.v for r in sample], dtype=np.float64)
     index = spark.sparkContext.broadcast(Index(sample[: lists * LEAF], sample[lists * LEAF :], lists, k, total))
@@ -230,18 +234,25 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                lists = [list(range(len(index.value.graph.points)))] * len(batch) if exactly else index.value.probe(np.stack(batch["v"].to_numpy()))
-                yield batch.assign(list=lists).explode("list").astype({"list": np.int64})
+            out = []
+            if not len(batch):
+                continue
+            read = [np.arange(len(index.value.graph.points))] * len(batch) if exactly else index.value.probe(np.stack(batch["v"].to_numpy()))
+            for q, v, lists in zip(batch["q"], batch["v"], read):
+                lists = np.sort(np.asarray(lists, dtype=np.int64))
+                for part in np.split(lists, np.flatnonzero(np.diff(lists // SHELF)) + 1):
+                    out.append((q, v, int(part[0]) // SHELF, part))
+            yield pd.DataFrame(out, columns=["q", "v", "shelf", "lists"])
 
     entry = "entry long, ids array<long>, v array<double>"
     postings = space.table(entries.select("entry", "ids", "v").mapInPandas(posted, f"{entry}, list long"), "postings")
+    postings = postings.withColumn("shelf", F.expr(f"list div {SHELF}"))
     distinct = asked.select("h").distinct()
-    questions = entries.join(distinct, "h", "left_semi").select(F.col("entry").alias("q"), "v").mapInPandas(probed, "q long, v array<double>, list long")
+    questions = entries.join(distinct, "h", "left_semi").select(F.col("entry").alias("q"), "v").mapInPandas(probed, "q long, v array<double>, shelf long, lists array<long>")
     questions = space.table(questions, "questions")
-    cut = [F.ceil(F.col(n) / F.lit(size)).cast("int").alias(c) for n, size, c in (("n", LIST_ROWS, "parts"), ("m", BLOCK, "blocks"))]
-    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).join(questions.groupBy("list").agg(F.count("*").alias("m")), "list")
-    sizes = space.table(sizes.select("list", *cut), "sizes")
+    cut = [F.ceil(F.col(n) / F.lit(size)).cast("int").alias(c) for n, size, c in (("n", PART_ROWS, "parts"), ("m", BLOCK, "blocks"))]
+    sizes = postings.groupBy("shelf").agg(F.count("*").alias("n")).join(questions.groupBy("shelf").agg(F.count("*").alias("m")), "shelf")
+    sizes = space.table(sizes.select("shelf", *cut), "sizes")
 
     def every_one(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -249,26 +260,32 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     def some(key: str, count: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
 
-    postings = postings.join(sizes, "list").select("entry", "ids", "v", "list", some("entry", "parts").alias("part"), every_one("blocks").alias("block"))
-    questions = questions.join(sizes, "list").select("q", "v", "list", every_one("parts").alias("part"), some("q", "blocks").alias("block"))
+    postings = postings.join(sizes, "shelf").select("entry", "ids", "v", "list", "shelf", some("entry", "parts").alias("part"), every_one("blocks").alias("block"))
+    questions = questions.join(sizes, "shelf").select("q", "v", "lists", "shelf", every_one("parts").alias("part"), some("q", "blocks").alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": np.int64, "vec_id": np.int64, "score": np.float64})
-        own = np.stack(right["v"].to_numpy())
-        counts = right["ids"].map(len).to_numpy()
-        ids = np.concatenate(right["ids"].to_numpy())
-        at = np.repeat(np.arange(len(own)), counts)
+        # Each vector once, with marks of its lists in the shelf.
+        first, row = np.unique(right["entry"].to_numpy(), return_index=True, return_inverse=True)[1:]
+        place = right["list"].to_numpy() % SHELF
+        marks = np.zeros((len(first), SHELF), dtype=bool)
+        marks[row, place] = True
+        own = np.stack(right["v"].to_numpy()[first])
+        ids = right["ids"].to_numpy()[first]
         out = []
-        for q, v in zip(left["q"], left["v"]):
-            d = np.sqrt(((own - v) ** 2).sum(1))
-            keep = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-            rows = np.flatnonzero(np.isin(at, keep))
-            rows = rows[np.lexsort((ids[rows], d[at[rows]]))][: k + 1]
-            out.append(pd.DataFrame({"q": q, "vec_id": ids[rows], "score": d[at[rows]]}))
-        return pd.concat(out)
-
-    key = ["list", "part", "block"]
+        for q, v, lists in zip(left["q"], left["v"], left["lists"]):
+            here = np.flatnonzero(marks[:, np.asarray(lists) % SHELF].any(1))
+            if not len(here):
+                continue
+            d = np.sqrt(((own[here] - v) ** 2).sum(1))
+            near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+            found = [(x, i) for j in near for x, i in zip([d[j]] * len(ids[here[j]]), ids[here[j]])]
+            found = sorted(found)[: k + 1]
+            out.append(pd.DataFrame({"q": q, "vec_id": [i for _, i in found], "score": [x for x, _ in found]}))
+        return pd.concat(out) if out else compare(left[:0], right)
+
+    key = ["shelf", "part", "block"]
     found = questions.groupBy(*key).cogroup(postings.groupBy(*key)).applyInPandas(compare, "q long, vec_id long, score double").dropDuplicates(["q", "vec_id"])
     best = Window.partitionBy("q").orderBy("score", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")

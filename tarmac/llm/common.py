@@ -7,12 +7,14 @@ rows equal in both are interchangeable.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -38,7 +40,7 @@ def held_out(column: str = "doc_id") -> Column:
 def through_python(rows: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
     """``mapInPandas`` with the id as text on the way, since pandas would round large ids beside nulls. The schema names the other columns."""
     kind = rows.schema[id_col].dataType
-    found = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{id_col} string, {schema}")
+    found = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(tidied(run), f"{id_col} string, {schema}")
     return found.withColumn(id_col, F.col(id_col).cast(kind))
 
 
@@ -138,16 +140,19 @@ class ChunkTable(dict):
     #: Bytes of an entry besides its characters and a value of bytes or text.
     ENTRY = 240
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int = 64_000_000, longest: int = 64) -> None:
+    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int = 48_000_000, longest: int = 64) -> None:
         super().__init__()
         self.compute, self.bound, self.longest, self.large, self.held = compute, bound, longest, [], 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.large, self.held = [], 0
+
     def learn(self, lists: Sequence[Sequence[str]]) -> None:
         for chunk in self.large:
             self.pop(chunk, None)
         if self.held > self.bound:
-            self.clear()
-            self.held = 0
+            self.forget()
         new = list(set().union(*lists).difference(self))
         self.large = [c for c in new if len(c) > self.longest]
         if new:
@@ -165,6 +170,27 @@ def no_cycles() -> Iterator[None]:
         gc.enable()
 
 
+def give_back() -> None:
+    """Free memory goes to the system: workers stay for the next task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back when the task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def groups(texts: Iterable[str], most: int = 4_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters, a longer text alone."""
     run, size = [], 0

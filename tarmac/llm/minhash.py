@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
-from .common import ASCII_SPACE, Bitmap, Workspace, free_names, text_of, through_python
+from .common import ASCII_SPACE, Bitmap, Workspace, free_names, text_of, through_python, tidied
 from .rolling import Base, Rolling, mix
 
 WORDS = 5
@@ -164,7 +164,7 @@ def _full_sets(rows: DataFrame, wanted: Bitmap) -> DataFrame:
             sets = list(shingle_sets(batch["text"]))
             yield pd.DataFrame({"cid": [class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    return rows.select("at", "text").mapInPandas(run, "cid binary, shingles binary").where("cid is not null")
+    return rows.select("at", "text").mapInPandas(tidied(run), "cid binary, shingles binary").where("cid is not null")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, both: int) -> bool:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, Workspace, groups, no_cycles, text_of
+from .common import ChunkTable, Workspace, groups, no_cycles, text_of, tidied
 
 END = 1
 BUCKET_ROWS = 512
@@ -93,6 +93,7 @@ class Merges:
                 raise ValueError("a string is merged in two ways")
             self.ranks[raw(a + b)], self.ids[k], self.last[k] = k, vocab[a + b], b.endswith("</w>")
         self.engine = tiktoken.Encoding("merges", pat_str="[^\x7f]+\x7f", mergeable_ranks=self.ranks, special_tokens={})
+        del self.ranks
 
     def encode(self, words: list[str]) -> Iterator[bytes]:
         """Little-endian ids of words without the mark, each one pre-token."""
@@ -141,6 +142,10 @@ class WordTokenizer:
         for found in self.library.encode_batch_fast(chunks, add_special_tokens=False):
             yield np.array(found.ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.chunks.forget()
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         for run in groups(texts):
@@ -176,9 +181,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str
                 columns = [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:5]]]
                 columns += [pa.array(rows[5], pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            tokenizer(path).forget()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidied(run), schema)
 
 
 class Bins:

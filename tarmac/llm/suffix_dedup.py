@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Workspace, among, free_names, text_of, through_python
+from .common import Bitmap, Workspace, among, free_names, text_of, through_python, tidied
 from .rolling import Base, Rolling
 
 SPAN = 200
@@ -128,7 +128,7 @@ def _charges(rows: DataFrame) -> DataFrame:
                 out.loc[number >= 2, "gram"] = pd.NA
                 yield out
 
-    return rows.mapInPandas(run, "at long, gram long, context long, place long")
+    return rows.mapInPandas(tidied(run), "at long, gram long, context long, place long")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
                     out.append((at, r["place"], r["open"], bytes(text[lo : hi + SPAN])))
             yield pd.DataFrame(out, columns=["at", "place", "open", "bytes"])
 
-    return rows.mapInPandas(run, "at long, place long, open boolean, bytes binary")
+    return rows.mapInPandas(tidied(run), "at long, place long, open boolean, bytes binary")
 
 
 def _first_ranks(contexts: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _first_ranks(contexts: DataFrame) -> DataFrame:
             first, next_ = (names.of(x, x + FIRST).view(np.int64) for x in (place, place + FIRST))
             yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "r1": first, "r2": next_})
 
-    return contexts.select("context", "place", "bytes").mapInPandas(run, "context long, c int, r1 long, r2 long")
+    return contexts.select("context", "place", "bytes").mapInPandas(tidied(run), "context long, c int, r1 long, r2 long")
 
 
 def _cells(ranked: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _cells(ranked: DataFrame) -> DataFrame:
                         out.append((context, at, place, open_, c, one, two, low, high, left, right))
             yield pd.DataFrame(out, columns=["context", "at", "place", "open", "c", "r1", "r2", "low", "high", "left", "right"])
 
-    return ranked.mapInPandas(run, "context long, at long, place long, open boolean, c int, r1 long, r2 long, low int, high int, left long, right long")
+    return ranked.mapInPandas(tidied(run), "context long, at long, place long, open boolean, c int, r1 long, r2 long, low int, high int, left long, right long")
 
 
 def _left(n: Column) -> Column:
@@ -286,7 +286,7 @@ class RepeatedPassages:
                 merged = [merge(np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans])) for spans in batch["spans"]]
                 yield pd.DataFrame({"at": batch["at"], "spans": [[{"start": a, "end": b} for a, b in m] for m in merged]})
 
-        return self.space.table(listed.mapInPandas(run, "at long, spans array<struct<start: long, end: long>>"), "runs")
+        return self.space.table(listed.mapInPandas(tidied(run), "at long, spans array<struct<start: long, end: long>>"), "runs")
 
     def result(self) -> DataFrame:
         """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""

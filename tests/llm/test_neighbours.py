@@ -54,7 +54,7 @@ def test_exact_mode_reads_everything(spark):
 
 def test_many_queries_of_one_list_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 7)
-    monkeypatch.setattr(ann, "LIST_ROWS", 32)
+    monkeypatch.setattr(ann, "PART_ROWS", 32)
     rng = np.random.default_rng(6)
     rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(0, 1, (300, 4)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

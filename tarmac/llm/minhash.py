@@ -52,7 +52,7 @@ MATCH = 30
 PREFIX = K - MATCH + 1
 #: Words of 64 bits in the bitmap of a difference.
 MAP = 8
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _random = np.random.default_rng(20240229)
 _STEPS = _random.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -51,7 +51,7 @@ CELL = 8
 FIRST = 48
 CORE = SPAN - CELL  # what all windows of a cell share: 4 * FIRST bytes
 WIDE = SPAN - GRAM  # largest distance from a window's start to its position
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Steps of the grid that an offset of FIRST bytes is.
 HOP = FIRST // CELL
 _FIRST, _SECOND = Base(101), Base(202)

@@ -6,6 +6,7 @@ event_id) says. Late rows change nothing, and rows that arrive again change noth
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -156,10 +157,13 @@ def move_locally(objects: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
 class LatestPositions:
     """A streaming job that keeps the latest row of each object as a table in the shared folder.
 
-    State is a streaming aggregation (combined before its shuffle); each micro-batch appends the rows that
-    changed under its own number, so a batch that runs again overwrites itself.
+    State is a streaming aggregation (combined before its shuffle) in the disk-backed store; each micro-batch appends the rows that
+    changed under its own number, so a batch that runs again overwrites itself. When a run ends, they are merged into one table.
     """
 
+    STORE = "spark.sql.streaming.stateStore.providerClass"
+    DISK_BACKED = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.out, self.marks = spark, f"{path}/latest", f"{path}/checkpoint"
 
@@ -173,8 +177,26 @@ class LatestPositions:
             if on_batch:
                 on_batch(self.spark.read.parquet(f"{self.out}/{number}"), number)
 
-        query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
-        query.awaitTermination()
+        before = self.spark.conf.get(self.STORE, None)
+        self.spark.conf.set(self.STORE, self.DISK_BACKED)
+        try:
+            query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            self.spark.conf.unset(self.STORE) if before is None else self.spark.conf.set(self.STORE, before)
+        self._merge()
+
+    def _merge(self) -> None:
+        """One table of the latest rows; rows that are there twice, if this is cut short, do no harm."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.out)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old = [str(f.getPath()) for f in files.listStatus(folder)] if files.exists(folder) else []
+        if len(old) > 1:
+            rows = self.spark.read.option("recursiveFileLookup", True).parquet(self.out)
+            last = rows.groupBy("obj_id").agg(F.max(F.struct("ts", "event_id", *PLACE, "batch")).alias("last"))
+            last.select("obj_id", "last.*").write.parquet(f"{self.out}/merged-{uuid.uuid4().hex}")
+            for path in old:
+                delete(self.spark, path)
 
     def table(self) -> DataFrame:
         rows = self.spark.read.option("recursiveFileLookup", True).parquet(self.out)

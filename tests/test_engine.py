@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import graph
 from tarmac.operators import partition, queries, reports
 from tarmac.operators.skeleton import Skeleton, hubs
+from tarmac.plans import fixpoint
 from tarmac.plans.fixpoint import distances
 from tarmac.sources import files, generators
 from tarmac.streaming import positions
@@ -87,6 +88,36 @@ def test_skeleton_equals_search_for_any_partition(tables, town, size):
     assert knn_rows(s.knn(asked, objects, 120)) == expected
 
 
+def test_frontier_counts_borders_and_arcs(tables, town):
+    edges, _, asked = tables
+    borders = partition.sg_vertices(partition.own_edges(edges, partition.block_parts(edges, 8))).where("is_border")
+    marked = {r.vid for r in borders.collect()}
+    for r in queries.frontier(asked, edges, [30, 60], borders).collect():
+        q = town[2][r.query_id]
+        best = {x: d for x, d in search(town[0], [(q[1], q[4]), (q[2], q[3] - q[4])]).items() if d <= r.radius}
+        out = [(x, d + w) for u, v, w in town[0] for x, d in [(u, best.get(u)), (v, best.get(v))] if d is not None and d + w > r.radius]
+        assert (r.reached, r.outward_arcs, r.frontier_vertices) == (len(best), len(out), len({x for x, _ in out}))
+        assert r.frontier_borders == len({x for x, _ in out} & marked)
+
+
+def test_positions_on_vertices(spark):
+    rows = spark.createDataFrame([(0, 1, 2, 9), (9, 1, 2, 9), (4, 1, 2, 9)], "offset_ long, u long, v long, w long")
+    assert [r.v for r in rows.select(graph.query_vertex(F.col("offset_"), F.col("u"), F.col("v"), F.col("w")).alias("v")).collect()] == [1, 2, None]
+
+
+def test_origins_and_targets(tables, town):
+    edges, _, asked = tables
+    roads = graph.arcs(edges)
+    far = asked.drop("radius")
+    for r in fixpoint.origins(queries.seeds(far), roads).collect():
+        q = town[2][r.query_id]
+        ways = sorted((search(town[0], [(x, d)])[r.vid], x) for x, d in ((q[1], q[4]), (q[2], q[3] - q[4])))
+        assert (r.dist, r.origin) == ways[0]
+    wanted = far.select("query_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 48, 999)])).alias("vid"))
+    got = {(r.query_id, r.vid): r.dist for r in fixpoint.to_targets(queries.seeds(far), roads, wanted).collect()}
+    assert got == {(q[0], x): search(town[0], [(q[1], q[4]), (q[2], q[3] - q[4])])[x] for q in town[2] for x in (1, 48)}
+
+
 def test_same_edge_modes(spark):
     edges = spark.createDataFrame([(1, 2, 10)], EDGES)
     q = spark.createDataFrame([(0, 1, 2, 10, 4, 20, 1)], QUERY)
@@ -227,6 +258,7 @@ def test_streamed_positions(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/log")
         job.run(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"))
     assert sorted(map(tuple, job.table().collect())) == [(1, 2, 3, 2, 1), (2, 1, 2, 3, 2)]
+    assert len([p for p in (tmp_path / "job" / "latest").iterdir() if p.is_dir()]) == 1
 
 
 def test_hubs_are_exact(tables):
@@ -238,8 +270,6 @@ def test_hubs_are_exact(tables):
 
 
 def test_resource_bound_plan_falls_back(tables, monkeypatch):
-    from tarmac.plans import fixpoint
-
     edges, _, asked = tables
     local = sorted(map(tuple, distances(queries.seeds(asked), graph.arcs(edges)).collect()))
     monkeypatch.setattr(fixpoint, "LOCAL_ARCS", 1)

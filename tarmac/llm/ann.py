@@ -50,7 +50,7 @@ TARGET = 96
 REPLICAS = 3
 BOUNDARY = 0.3
 #: Share of true neighbours that the lists read must hold, among how many vectors that is fitted, and for how many of them.
-REACH = 0.96
+REACH = 0.95
 APART = 4096
 MEASURED = 256
 

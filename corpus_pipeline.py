@@ -11,26 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import exact_dedup, minhash, packing, quality, queries, suffix_dedup
-from tarmac.plans.work import Workspace, scratch
+from tarmac.plans.work import Workspace, release, scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, trained on labelled rows outside the held-out fold."""
+    release(spark)
     return quality.score(docs, quality.train(docs, queries.table(spark, sf_dir, "labels")), keep=True)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose texts are equal but for white space."""
+    release(spark)
     return exact_dedup.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
+    release(spark)
     return minhash.keep(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat; ``n_chars`` follows the text."""
+    release(spark)
     shorter = suffix_dedup.RepeatedPassages(docs).keep()
     length = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     return shorter.withColumn("n_chars", length)
@@ -38,6 +42,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens."""
+    release(spark)
     return packing.pack(docs, queries.WORD_BPE)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the JVMs that run tasks collect their garbage, so that heap which one stage grew does not stay beside the Python workers of the next. No result depends on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 class Workspace:
     """Working tables of one operator run, as Parquet under the shared folder.
 

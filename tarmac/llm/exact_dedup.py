@@ -33,7 +33,7 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 DISK_BACKED = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 #: Without files that are allocated ahead (megabytes for each state partition, however small), and with buffers and caches that all partitions of an executor share.
-SETTINGS = {STORE: DISK_BACKED, f"{ROCKS}.allowFAllocate": "false", f"{ROCKS}.boundedMemoryUsage": "true", f"{ROCKS}.maxMemoryUsageMB": "48"}
+SETTINGS = {STORE: DISK_BACKED, f"{ROCKS}.allowFAllocate": "false", f"{ROCKS}.boundedMemoryUsage": "true", f"{ROCKS}.maxMemoryUsageMB": "48", "spark.sql.streaming.stateStore.maintenanceInterval": "10s"}
 KEY = ["text_sha256"]
 
 

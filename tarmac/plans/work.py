@@ -7,10 +7,11 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,42 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: list[list[Workspace]] = []
+_scratch: ContextVar[tuple[list[Workspace], ...]] = ContextVar("scratch", default=())
+_open: set[Workspace] = set()
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Working tables made inside are removed at the end: for callers that have written their result by then."""
+    """Working tables made inside, by this thread, are removed at the end: for callers that have written their result by then."""
     mine: list[Workspace] = []
-    _scratch.append(mine)
+    before = _scratch.set((*_scratch.get(), mine))
     try:
         yield
     finally:
-        _scratch.remove(mine)
+        _scratch.reset(before)
         for space in mine:
             space.close()
 
 
-#: Most rows that go to a Python worker at once while a working table is written.
-BATCH = 2000
+@atexit.register
+def _close_all() -> None:
+    """Tables of results that nobody wrote inside ``scratch`` go when the program ends, if its session still runs."""
+    for space in list(_open):
+        with suppress(Exception):
+            space.close()
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Workers hold a few megabytes of texts at a time, as rows may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+#: Most bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Workers are sent a few megabytes at a time, however long rows are. The session's bound is lowered once, and one that is lower stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the JVMs that run tasks collect their garbage, so that heap which one stage grew does not stay beside the Python workers of the next. No result depends on it."""
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+def session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with this one's settings and others of its own, so that no other thread sees them change."""
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        with suppress(AnalysisException):  # settings of the application are the same anyway
+            own.conf.set(key, value)
+    return own
 
 
 class Workspace:
@@ -73,10 +82,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        if _scratch:
-            _scratch[-1].append(self)
+        _open.add(self)
+        if _scratch.get():
+            _scratch.get()[-1].append(self)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -84,8 +95,7 @@ class Workspace:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        with small_batches(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tarmac_path = path
         return out
@@ -95,6 +105,8 @@ class Workspace:
             delete(self.spark, table._tarmac_path)
 
     def close(self) -> None:
+        """Remove all tables; those of a program that never calls this go when it ends."""
+        _open.discard(self)
         delete(self.spark, self.root)
 
 

@@ -166,6 +166,7 @@ class LatestPositions:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.out, self.marks = spark, f"{path}/latest", f"{path}/checkpoint"
+        spark.conf.set(self.STORE, self.DISK_BACKED)  # of the session that the stream was made in; it stays set
 
     def run(self, positions: DataFrame, on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
         last = F.max(F.struct("ts", "event_id", *PLACE)).alias("last")
@@ -177,13 +178,8 @@ class LatestPositions:
             if on_batch:
                 on_batch(self.spark.read.parquet(f"{self.out}/{number}"), number)
 
-        before = self.spark.conf.get(self.STORE, None)
-        self.spark.conf.set(self.STORE, self.DISK_BACKED)
-        try:
-            query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
-            query.awaitTermination()
-        finally:
-            self.spark.conf.unset(self.STORE) if before is None else self.spark.conf.set(self.STORE, before)
+        query = state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
+        query.awaitTermination()
         self._merge()
 
     def _merge(self) -> None:

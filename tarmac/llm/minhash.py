@@ -22,7 +22,13 @@ to h of e and f shingles (d missing and a added, d' and a'), o of them in common
 and if x is not linked with h, so that 4 d + 3 a > h, then o > (4 d' + 3 a') / 7: more than three sevenths of what sets y
 apart from the hub sets x apart too. So classes that are not linked with their hub are joined with their
 group on the shingles of these differences: of y only the rarest, as many as must hold a common one, and of a pair
-only if bitmaps of the differences allow enough in common. Pairs without a common hub are compared by signatures, as above.
+only if bitmaps of the differences allow enough in common.
+
+Classes that share tokens without a common hub, as documents with a long passage in common and a text of their own do, are
+candidates only if they can be linked: their shingles are put in order of how many of these classes have them, and with o common shingles of x and of y, not
+larger than x, a link means o >= 6/7 |y| and o >= 3/4 |x|. So one of the |y| div 7 + 1 rarest of y is among the |x| div 4 + 1
+rarest of x. Shingles of its own come first in that order and are in no list, so a class with a seventh of its text to itself is posted
+nowhere as the smaller one. Pairs that meet there are compared by signatures, as above.
 Components, links and signatures stay in tables. Classes are named by 128 bits of a cryptographic hash of their set of
 64-bit shingle hashes.
 
@@ -295,14 +301,36 @@ class NearDuplicates:
         lists = members.select("cid", F.explode("posted").alias("token")).join(labels, "cid").join(group.select("cid", "hub"), "cid", "left")
         mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("hub").alias("one"), F.max("hub").alias("other"), F.bool_or(F.col("hub").isNull()).alias("without"))
         mixed = mixed.where("low != high and (without or one != other)").select("token")
-        rows = lists.join(mixed, "token", "left_semi").join(members.select("cid", "posted", "tokens"), "cid")
-        rows = self.space.table(rows, "mixed")
-        x, y = rows.alias("x"), rows.alias("y")
-        first = F.array_min(F.array_intersect("x.posted", "y.posted")) == F.col("x.token")
-        same = F.size(F.array_intersect("x.tokens", "y.tokens"))
-        apart = (F.col("x.comp") < F.col("y.comp")) & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))
-        joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & first & (same >= MATCH))
-        return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        some = self.space.table(lists.join(mixed, "token", "left_semi").select("cid", "comp", "hub").distinct(), "mixed")
+        rows = self.space.table(self.rarest(some), "rarest")
+        shared = rows.groupBy("item").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("item")
+        rows = self.space.table(rows.join(shared, "item", "left_semi"), "posted")
+        x, y = rows.alias("x"), rows.where("at <= n div 7").alias("y")
+        smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cid") < F.col("x.cid")))
+        apart = (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))
+        # What is common lies behind the first common one in both orders.
+        most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        near = (4 * F.col("y.n") >= 3 * F.col("x.n")) & (7 * most >= 3 * (F.col("x.n") + F.col("y.n")))
+        pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & smaller & apart & near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+        own, other = (members.select(F.col("cid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        return pairs.join(own, "a").join(other, "b").where(F.size(F.array_intersect("ta", "tb")) >= MATCH).select("a", "b")
+
+    def rarest(self, classes: DataFrame) -> DataFrame:
+        """(item, at, n, cid, comp, hub): of the n shingles of each class the n div 4 + 1 rarest among these classes, as far as others have them, with their places."""
+
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for cid, shingles in zip(batch["cid"], batch["shingles"]):
+                    found = np.frombuffer(shingles, dtype=np.int64)
+                    yield pd.DataFrame({"cid": [cid] * len(found), "n": len(found), "item": found})
+
+        items = self.sets.join(classes.select("cid"), "cid", "left_semi").mapInPandas(tidied(listed), "cid binary, n long, item long")
+        held = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+        order = F.sort_array(F.collect_list(F.struct("df", "item")))["item"].alias("items")  # a class's own set
+        rare = items.join(held, "item").groupBy("cid", "n").agg(order).withColumn("first", F.col("n") - F.size("items"))
+        room = F.greatest(F.lit(0), F.expr("n div 4 + 1 - first").cast("int"))
+        rare = rare.select("cid", "n", "first", F.posexplode(F.slice("items", F.lit(1), room)).alias("k", "item"))
+        return rare.join(classes, "cid").select("item", (F.col("first") + F.col("k")).alias("at"), "n", "cid", "comp", "hub")
 
     def result(self) -> DataFrame:
         labels = self.solve()

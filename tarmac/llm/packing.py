@@ -10,7 +10,7 @@
    pattern sequences and into new ones, by counts.
 5. The plan is a list of runs: pieces of one length, numbers a to b of that length, go to sequences
    s, s+1, ... at one offset. Its size is bounded by bins, patterns and lengths, and not by the corpus.
-6. Pieces of one length are numbered in two steps (bucket counts, then a window inside a bucket), so
+6. Pieces of one length are numbered by ranges of a seeded order that also parts equal pieces, so
    that a length which a third of all pieces share is no single task, and look up their run.
 
 Defined results: null text is empty and gives one piece of one id (the end id); repeated rows are
@@ -30,14 +30,13 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import numbered
 from .common import ChunkTable, Workspace, groups, no_cycles, text_of, tidied
 
 END = 1
-BUCKET_ROWS = 512
-MOST_BUCKETS = 1 << 16
 MOST_IN_PATTERN = 5
 MOST_BINS = 192
 #: Share of all tokens, in the shortest pieces, that is kept to fill the room at the end of pattern sequences.
@@ -385,25 +384,23 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id
     spark = docs.sparkSession
     space = Workspace(spark, "packing")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = space.table(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    rows = space.table(pieces(docs, path, capacity, id_col, text_col).withColumn("own", F.monotonically_increasing_id()), "pieces")
 
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in rows.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
     plan = spark.sparkContext.broadcast(Plan(counts, capacity).arrays())
 
-    total = int(counts.sum())
-    buckets = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = rows.join(first, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.row_number().over(inside) - F.lit(1)).alias("number"))
+    # Pieces of one length are numbered in a seeded order, in which pieces that are alike are told apart by the number they were written with.
+    first = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
+    order = [F.col("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), *[F.col(c) for c in ("doc_id", "piece", "ids_crc32", "own")]]
+    ranked = numbered(rows, order, "number", space).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            number, length = batch.column("number").to_numpy(), batch.column("length").to_numpy()
+            length = batch.column("length").to_numpy()
+            number = batch.column("number").to_numpy() - first.value[length]
             order = np.argsort(length, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
                 runs = plan.value[int(length[at[0]])]
@@ -413,4 +410,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

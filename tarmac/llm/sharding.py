@@ -5,10 +5,9 @@ the fraction (r - 1/2) / n; all rows sorted by fraction are cut into equal runs.
 holds each source in its share of the corpus, to within a row or so, and shard sizes differ by at
 most one row.
 
-No window spans a whole source or the whole table. Both ranks are counted in two steps: rows fall
-into order-preserving buckets of about ``BUCKET_ROWS`` rows, bucket counts (pre-aggregated before
-the shuffle) give each bucket's first rank, and a window numbers rows inside a bucket. A source
-that holds a third of all rows is therefore spread over a third of all buckets.
+No window spans a whole source or the whole table: both orders are dealt out by range, and rows are numbered inside their range
+(``plans.order``). Each order ends in the number that a row got when it was first written, so ranges also part rows that are alike, be they equal
+rows or the many sources of one row that all have the fraction 1/2. A source that holds a third of all rows is a third of all ranges.
 
 Defined results: null text is empty (size 1), a null source is a source of its own, null ids are
 ordinary rows, repeated rows each get a place of their own, an empty table gives an empty result,
@@ -17,14 +16,12 @@ more shards than rows leaves some shards empty. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import numbered
 from .common import Workspace, text_of
 
-BUCKET_ROWS = 512
-MOST_BUCKETS = 1 << 16
-
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
@@ -38,30 +35,19 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = space.table(rows.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id", "text_crc32")), "rows")
+    rows = rows.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id", "text_crc32")).withColumn("own", F.monotonically_increasing_id())
+    rows = space.table(rows, "rows")
     total = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
 
     # Rank inside each source.
-    rows = rows.withColumn("bucket", F.least(F.floor((F.col("shuffled").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * buckets), F.lit(buckets - 1)))
-    in_stratum = Window.partitionBy("stratum")
-    first = (
-        rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(in_stratum.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("of", F.sum("n").over(in_stratum))
-        .select("stratum", "bucket", F.coalesce("before", F.lit(0)).alias("before"), "of")
-    )
-    inside = Window.partitionBy("stratum", "bucket").orderBy("shuffled", "doc_id", "text_crc32")
-    ranked = rows.join(first, ["stratum", "bucket"]).withColumn("fraction", (F.col("before") + F.row_number().over(inside) - F.lit(0.5)) / F.col("of"))
-    ranked = space.table(ranked.drop("bucket", "before", "of"), "fractions")
+    ranked = numbered(rows, [F.col(c) for c in ("stratum", "shuffled", "doc_id", "text_crc32", "own")], "rank", space)
+    first = ranked.groupBy("stratum").agg(F.min("rank").alias("first"), F.count("*").alias("of"))
+    fraction = (F.col("rank") - F.col("first") + F.lit(0.5)) / F.col("of")
+    ranked = space.table(ranked.join(first, "stratum").withColumn("fraction", fraction).drop("rank", "first", "of"), "fractions")
 
     # Rank over all sources by fraction.
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
-    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranked.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("bucket").orderBy("fraction", F.xxhash64(F.lit(seed), "stratum"), "shuffled", "doc_id", "text_crc32")
-    place = F.col("before") + F.row_number().over(inside) - F.lit(1)
-    placed = ranked.join(first, "bucket").withColumn("place", place).withColumn("shard", F.expr(f"cast(place * {shards} div {max(1, total)} as int)"))
+    order = [F.col("fraction"), F.xxhash64(F.lit(seed), "stratum"), *[F.col(c) for c in ("shuffled", "doc_id", "text_crc32", "own")]]
+    placed = numbered(ranked, order, "place", space).withColumn("shard", F.expr(f"cast(place * {shards} div {max(1, total)} as int)"))
     start = F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",

@@ -3,7 +3,8 @@
 * Centroids come from a sample that grows with the table up to ``SAMPLE`` vectors, cut in halves again and again at
   the median along the line between two means, so that each leaf holds equally many sample vectors, then moved to
   the means of the vectors nearest to them.
-  So the number of lists grows with the table, up to ``SAMPLE / LEAF``.
+  So the number of lists grows with the table, up to ``SAMPLE / LEAF`` (21,845) or what the sample's bytes allow, some 2 million vectors of 64
+  dimensions; beyond that lists grow with the table, and a query reads the same share of it.
 * Centroids are searched by an in-memory graph (near neighbours and a few far links, best first).
 * Every vector is indexed. It is posted to its nearest list and, near a boundary, to others whose centroid is
   nearly as near. How near is fitted on a second sample so that ``BOUNDARY`` of the vectors have a second list.
@@ -39,6 +40,8 @@ from .common import Workspace
 #: Most vectors of the sample that the index is fitted on, sample vectors for each centroid, rows of a part of a shelf, queries of a block, lists of a shelf.
 SAMPLE = 1 << 18
 LEAF = 12
+#: Most bytes of the sample, which comes to the driver as float32.
+SAMPLE_BYTES = 64 << 20
 PART_ROWS = 4096
 BLOCK = 1024
 SHELF = 16
@@ -220,10 +223,11 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
     asked = space.table(rows.where(F.col("vec_id") % every == 0).select("vec_id", "h").dropDuplicates(), "asked")
 
     total = entries.count()
-    lists = max(1, min(total // TARGET, SAMPLE // LEAF))
+    wide = common.n if common else 1
+    lists = max(1, min(total // TARGET, min(SAMPLE, SAMPLE_BYTES // (4 * wide)) // LEAF))
     lists = lists if total > FEW else 1
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(lists * LEAF + APART).select("v").collect()
-    sample = np.array([r.v for r in sample], dtype=np.float64)
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(lists * LEAF + APART).select(F.col("v").cast("array<float>").alias("v")).toArrow()
+    sample = sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
     index = spark.sparkContext.broadcast(Index(sample[: lists * LEAF], sample[lists * LEAF :], lists, k, total))
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,8 +290,10 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_i
         return pd.concat(out) if out else compare(left[:0], right)
 
     key = ["shelf", "part", "block"]
-    found = questions.groupBy(*key).cogroup(postings.groupBy(*key)).applyInPandas(compare, "q long, vec_id long, score double").dropDuplicates(["q", "vec_id"])
+    found = questions.groupBy(*key).cogroup(postings.groupBy(*key)).applyInPandas(compare, "q long, vec_id long, score double")
+    # A row comes from as many shelves as its vector has lists, so so many rows hold the k + 1 nearest. The limit applies before the shuffle.
     best = Window.partitionBy("q").orderBy("score", "vec_id")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= (k + 1) * REPLICAS).groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
     named = asked.select(F.col("vec_id").alias("query_id"), "h").join(entries.select("h", F.col("entry").alias("q")), "h").select("query_id", "q")
     ranked = named.join(found, "q").where("vec_id != query_id")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..plans.work import Workspace, delete, shared_dir
+from ..plans.work import Workspace, bound_batches, delete, shared_dir
 
 __all__ = ["Bitmap", "ChunkTable", "Workspace", "delete", "shared_dir"]
 
@@ -39,6 +39,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 def through_python(rows: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
     """``mapInPandas`` with the id as text on the way, since pandas would round large ids beside nulls. The schema names the other columns."""
+    bound_batches(rows.sparkSession)
     kind = rows.schema[id_col].dataType
     found = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(tidied(run), f"{id_col} string, {schema}")
     return found.withColumn(id_col, F.col(id_col).cast(kind))
@@ -54,13 +55,13 @@ def digest(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, most_bytes: int | None = None) -> tuple[list[bytes], np.ndarray]:
     """At most ``per_class`` labelled training rows of each class, picked by a hash of the id, with their whole texts.
 
     The ids are picked first, from the labels alone, so the texts are matched by a broadcast of a
-    proven size (2 * per_class ids) and the corpus is not shuffled. ``most_bytes`` bounds all texts of
-    the sample together: in the order of the pick, a row whose text does not fit in what is left of its class's half is passed over.
-    Of several texts of one id the shortest is taken.
+    proven size (2 * per_class ids) and the corpus is not shuffled. The number of rows is the bound that the operators use, so texts of all
+    lengths have the same chance. ``most_bytes`` bounds all texts of the sample together as well, for drivers with little memory: in the order of the
+    pick, a row whose text does not fit in what is left of its class's half is passed over. Of several texts of one id the shortest is taken.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out())
     rows = rows.select("doc_id", F.col(target).cast("int").alias("y"), F.xxhash64(F.lit(41), "doc_id").alias("pick")).dropDuplicates(["doc_id"])
@@ -78,7 +79,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         return [(r.id, r.value) for r in found.groupBy("id").agg(F.min("value").alias("value")).collect()]
 
     sizes = dict(of_ids(chosen, F.octet_length(text_of("text"))))
-    room, ids = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    half = float("inf") if most_bytes is None else most_bytes // 2
+    room, ids = {0: half, 1: half}, []
     for i in sorted(sizes, key=lambda i: (chosen[i][1], i)):
         if sizes[i] <= room[chosen[i][0]]:
             room[chosen[i][0]] -= sizes[i]
@@ -92,14 +94,15 @@ class Bitmap:
     """Which 64-bit keys may be in a set: a Bloom filter of two probes whose size is bounded by ``most_bits``.
 
     It goes to every task and saves shuffling rows that cannot match. A key of the set is never
-    missed; other keys pass with a chance that rises to 1 as the bound is outgrown, so results do not depend on it.
+    missed; other keys pass, 1 in 80 of them at 4 million keys, 1 in 7 at 16 million and 3 in 4 at 64 million, so results do not depend on it,
+    and what it costs then is that the rows of a corpus with so many matches are shuffled.
     """
 
     def __init__(self, bits: int, words: np.ndarray) -> None:
         self.bits, self.words = bits, words
 
     @classmethod
-    def of(cls, keys: DataFrame, most_bits: int = 1 << 24) -> Bitmap:
+    def of(cls, keys: DataFrame, most_bits: int = 1 << 26) -> Bitmap:
         """From a column ``key`` of hashes."""
         bits = min(most_bits, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
         probes = F.array(F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1)))

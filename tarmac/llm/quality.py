@@ -33,9 +33,8 @@ CHUNK = 64
 STEP = 32
 LAGS = range(2, 25)
 BLOCK = 1 << 16
-#: Bounds of the training sample: labelled documents of each class, bytes of all their texts together.
+#: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 500
-SAMPLE_BYTES = 1 << 26
 
 
 def repeated(data: np.ndarray) -> np.ndarray:
@@ -168,7 +167,7 @@ def _backward(net: Network, symbols: np.ndarray, y: float, weight: float, ups: l
         np.add.at(ups[0][k], taps[k], on.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int | None = None) -> Network:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     return fit(*labelled_sample(docs, labels, "quality", per_class, most_bytes))
 

@@ -36,9 +36,8 @@ BUCKETS = 1 << 16
 DIMS = 4
 WINDOW = 8
 STEP = 4
-#: Bounds of the training sample: labelled documents of each class, bytes of all their texts together.
+#: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 1500
-SAMPLE_BYTES = 1 << 26
 #: Longest run that is one word; pieces of longer ones, which share one character less than the longest n-gram.
 LONGEST, PIECE, SHARED = 64, 16, 5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -74,6 +73,11 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in (3, 4, 5, 6) for i in range(max(1, len(marked) - n + 1))]
 
 
+def again(words: list[str]) -> np.ndarray:
+    """Which words are right after themselves: they keep their places in windows and add nothing, in training and scoring."""
+    return np.fromiter(map(eq, words, ["", *words]), dtype=bool, count=len(words))
+
+
 class Model:
     """Word margins are ``known * (embeddings @ direction)`` averaged over a word's n-grams."""
 
@@ -98,7 +102,7 @@ class Model:
             self.words.learn(cut)
             for words in cut:
                 margins = np.fromiter(map(self.words.__getitem__, words), dtype=np.float64, count=len(words))
-                margins[1:][np.fromiter(map(eq, words, words[1:]), dtype=bool, count=max(0, len(words) - 1))] = 0
+                margins[again(words)] = 0
                 yield float(1 / (1 + np.exp(-np.clip(self.bias + worst(margins)[0], -500, 500))))
 
 
@@ -126,7 +130,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 20, seed: int = 5) -> M
         for w in words:
             if w not in bags:
                 bags[w] = grams(w)
-        docs.append([bags[w] for w, before in zip(words, ["", *words]) if w != before])
+        docs.append([[] if twice else bags[w] for w, twice in zip(words, again(words))])
     flat = [np.fromiter((g for w in words for g in w), dtype=np.int64) for words in docs]
     sizes = [np.fromiter(map(len, words), dtype=np.int64, count=len(words)) for words in docs]
     spread = np.zeros((2, BUCKETS))
@@ -178,7 +182,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 20, seed: int = 5) -> M
     return Model(known * (embed @ (soft[:, 1] - soft[:, 0])), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int | None = None) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     return fit(*labelled_sample(docs, labels, "toxic", per_class, most_bytes))
 

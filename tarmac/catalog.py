@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import graph
 from .operators import partition, queries, reports
 from .operators.skeleton import Skeleton
-from .plans.fixpoint import distances
+from .plans.fixpoint import Growing, Roads, distances
 from .sources.network import Network, ctes
 from .streaming import positions
 
@@ -150,6 +150,29 @@ def multi_source_field(n: Network) -> DataFrame:
     return distances(queries.seeds(n.queries(RADIUS)), graph.arcs(n.edges))
 
 
+RESUMED = _sql(f"SELECT query_id, vid, dist, CASE WHEN dist <= 200 THEN 200 WHEN dist <= 400 THEN 400 ELSE {RADIUS} END AS settled_at FROM field", ARCS, PLACED, _field("field", "seeds", "query_id", "arcs a ON f.vid = a.s", f"AND f.dist + a.w <= {RADIUS}"))
+
+
+def _resumed(n: Network, method: str) -> DataFrame:
+    q = n.queries()
+    grown, out = Growing(queries.seeds(q), Roads(graph.arcs(n.edges), method), n.space), None
+    for radius in (200, 400, RADIUS):
+        rows = grown.grow(q.select("query_id", F.lit(radius).alias("radius"))).withColumn("settled_at", F.lit(radius))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(RESUMED)
+def resumed_field(n: Network) -> DataFrame:
+    """Fields that go on from where a smaller radius ended: each vertex is settled once."""
+    return _resumed(n, "local")
+
+
+@query(RESUMED)
+def resumed_fixpoint(n: Network) -> DataFrame:
+    return _resumed(n, "fixpoint")
+
+
 @query(ORACLE_SQL["multi_source_field"])
 def bounded_fixpoint(n: Network) -> DataFrame:
     return distances(queries.seeds(n.queries(RADIUS)), graph.arcs(n.edges), "fixpoint")
@@ -375,6 +398,11 @@ def skeleton_knn(n: Network) -> DataFrame:
     return _skeleton(n).knn(n.queries(k=K), n.objects, 400)
 
 
+@query(ORACLE_SQL["exact_knn"])
+def threshold_knn(n: Network) -> DataFrame:
+    return _skeleton(n).threshold_knn(n.queries(k=K), n.objects, 400)
+
+
 @query(
     _sql(
         f"""SELECT r.query_id, r.sg_id, min(r.d) AS lb, coalesce(min(2 * r.d + b.ib2) <= {2 * RADIUS}, false) AS ib, coalesce(min(2 * r.d + b.rb2) <= {2 * RADIUS}, false) AS ub,

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graph
+from ..plans.fixpoint import spread
 
 
 def own_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -64,22 +65,33 @@ def _dense(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return far
 
 
-def _searched(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+def _searched(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(vertex, vertices it reaches, distances), one vertex after another."""
     near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for a, b, c in zip(u.tolist(), v.tolist(), w.tolist()):
         near[a].append((b, c))
         near[b].append((a, c))
-    far = np.full((n, n), np.inf)
     for start in range(n):
-        heap = [(0, start)]
+        best, heap = {}, [(0, start)]
         while heap:
             d, x = heapq.heappop(heap)
-            if d < far[start, x]:
-                far[start, x] = d
+            if x not in best:
+                best[x] = d
                 for y, c in near[x]:
-                    if d + c < far[start, y]:
+                    if y not in best:
                         heapq.heappush(heap, (d + c, y))
-    return far
+        yield start, np.fromiter(best.keys(), np.int64, len(best)), np.fromiter(best.values(), np.int64, len(best))
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    # Floats are exact up to 2^53.
+    if n <= DENSE and int(w.sum()) < 1 << 53:
+        far = _dense(u, v, w, n)
+        a, b = np.nonzero(np.isfinite(far))
+        yield a, b, far[a, b].astype(np.int64)
+    else:
+        for start, to, far in _searched(u, v, w, n):
+            yield np.full(len(to), start), to, far
 
 
 def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,26 +103,24 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sg_id, edges in zip(batch.column(0).to_pylist(), batch.column(1)):
             u, v, w = (edges.values.field(c).to_numpy() for c in ("u", "v", "w"))
             vertex, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-            solve = _dense if len(vertex) <= DENSE else _searched
-            far = solve(ends[: len(u)], ends[len(u) :], w, len(vertex))
-            a, b = np.nonzero(np.isfinite(far))
-            parts.append((np.full(len(a), sg_id, dtype=np.int64), vertex[a], vertex[b], far[a, b].astype(np.int64)))
-            if sum(len(p[0]) for p in parts) > 200_000:
-                yield out(parts)
-                parts = []
+            for a, b, d in _pairs(ends[: len(u)], ends[len(u) :], w, len(vertex)):
+                parts.append((np.full(len(a), sg_id, dtype=np.int64), vertex[a], vertex[b], d))
+                if sum(len(p[0]) for p in parts) > 200_000:
+                    yield out(parts)
+                    parts = []
         if parts:
             yield out(parts)
 
 
 def all_pairs(sg_edges: DataFrame) -> DataFrame:
     """(sg_id, a, b, d) inside each subgraph; subgraphs are small by construction, and run in parallel."""
-    packed = sg_edges.groupBy("sg_id").agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
+    packed = spread(sg_edges, "sg_id").groupBy("sg_id").agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
     return packed.mapInArrow(_all_pairs, "sg_id long, a long, b long, d long")
 
 
 def insert_edge(sg_dist: DataFrame, new: DataFrame) -> DataFrame:
     """``sg_dist`` after one edge for each subgraph in ``new(sg_id, u, v, w)`` was added between its vertices."""
-    to = sg_dist.join(F.broadcast(new) if new.isLocal() else new, "sg_id")
+    to = sg_dist.join(new, "sg_id")
     by_u = to.where("b = u").select("sg_id", F.col("a").alias("x"), "u", "v", "w", F.col("d").alias("du"))
     by_v = to.where("b = v").select("sg_id", F.col("a").alias("x"), F.col("d").alias("dv"))
     ends = by_u.join(by_v, ["sg_id", "x"])

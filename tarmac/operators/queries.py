@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph
-from ..plans.fixpoint import Roads, distances
+from ..plans.fixpoint import Growing, Roads, distances
 from ..plans.work import Workspace
 
 
@@ -76,31 +76,31 @@ def first_k(found: DataFrame, k: Column) -> DataFrame:
 def exact_knn(queries: DataFrame, objects: DataFrame, edges: DataFrame, start: int | None = None, same_edge: str = "endpoint", method: str = "auto", at_vertex: bool = False) -> DataFrame:
     """(query_id, rnk, obj_id, dist): the first k of each ``queries(query_id, position, k)``.
 
-    The radius grows by doubling. A distance within the radius is final, so a query is done once it has k
-    objects within it, or when the radius covers its component: when a doubled radius reached no more vertices
-    and the farthest one with its longest edge is within it. Queries that are done leave the loop.
+    The radius grows by doubling, and each search goes on from where it stopped. A distance within the radius is final, so a query is done
+    once it has k objects within it, or when no way leads out of what it has reached. Queries that are done leave the loop.
     """
     space = Workspace(queries.sparkSession, "knn")
     bounds = edges.agg(F.max("w").alias("longest"), F.avg("w").alias("mean")).first()
     if bounds.longest is None:
         return first_k(object_distances(distances(seeds(queries), graph.arcs(edges), method), objects), F.lit(0))
-    roads = Roads(graph.arcs(edges), method)
     widest = queries.agg(F.max("k")).first()[0] or 0
     radius = start or max(bounds.longest, int(2 * bounds.mean * max(1, widest) ** 0.5))
-    left, out = queries.where("k > 0"), None
+    left, out, near = queries.where("k > 0"), None, None
+    grown = Growing(vertex_seeds(left) if at_vertex else seeds(left), Roads(graph.arcs(edges), method), space)
     while True:
-        from_here = left.withColumn("radius", F.lit(radius).cast("bigint"))
-        field = space.table(distances(vertex_seeds(from_here) if at_vertex else seeds(from_here), roads), "field")
+        field = grown.grow(left.select("query_id", F.lit(radius).alias("radius")))
         found = object_distances(field, objects, None if at_vertex else left, same_edge)
-        reach = field.groupBy("query_id").agg(F.max("dist").alias("farthest"))
-        near = found.groupBy("query_id").agg(F.count_if(F.col("dist") <= radius).alias("inside"))
-        state = left.select("query_id", "k").join(near, "query_id", "left").join(reach, "query_id", "left")
-        whole = F.coalesce("farthest", F.lit(0)) + F.lit(bounds.longest) <= F.lit(radius)
-        state = space.table(state.select("query_id", "k", (F.coalesce("inside", F.lit(0)) >= F.col("k")).alias("enough"), whole.alias("whole")), "state")
-        done = state.where("enough or whole").join(found, "query_id").where(F.col("whole") | (F.col("dist") <= radius))
+        if near is not None:
+            found = found.unionByName(near.join(left, "query_id", "left_semi")).groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
+        near = space.table(found, "near")
+        inside = near.where(F.col("dist") <= radius).groupBy("query_id").agg(F.count("*").alias("inside"))
+        state = left.select("query_id", "k").join(inside, "query_id", "left").join(grown.open().withColumn("whole", F.lit(False)), "query_id", "left")
+        state = state.select("query_id", "k", (F.coalesce("inside", F.lit(0)) >= F.col("k")).alias("enough"), F.coalesce("whole", F.lit(True)).alias("whole"))
+        state = space.table(state, "state")
+        done = state.where("enough or whole").join(near, "query_id").where(F.col("whole") | (F.col("dist") <= radius))
         done = space.table(first_k(done.select("query_id", "obj_id", "dist", "k"), F.col("k")), "done")
         out = done if out is None else out.unionByName(done)
-        left = left.join(state.where("not enough and not whole").select("query_id"), "query_id", "left_semi")
+        left = space.table(left.join(state.where("not enough and not whole").select("query_id"), "query_id", "left_semi"), "left")
         if left.isEmpty():
             return out
         radius *= 2

@@ -9,10 +9,10 @@ object's subgraph, so both cases are unioned and the result equals the whole-gra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import Roads, distances
+from ..plans.fixpoint import Growing, Roads, distances
 from ..plans.work import Workspace
 from .partition import all_pairs, rb_ib, sg_vertices
 from .queries import first_k, objects_in
@@ -63,12 +63,17 @@ class Skeleton:
     def bounds(self) -> DataFrame:
         return rb_ib(self.sg_edges, self.sg_dist, self.members)
 
-    def border_costs(self, objects: DataFrame) -> DataFrame:
-        """(obj_id, sg_id, border, cost): inside its subgraph, from each border."""
+    def placed(self, objects: DataFrame) -> DataFrame:
+        """Objects with their subgraph."""
+        return objects if "sg_id" in objects.columns else objects_in(objects, self.sg_edges.select("sg_id", "u", "v"))
+
+    def border_costs(self, objects: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """(obj_id, sg_id, border, cost): inside its subgraph, from each border; of the subgraphs in ``only(sg_id)`` if it is given."""
         to = self.sg_dist.join(self.border_sg.select("sg_id", F.col("border").alias("a")), ["sg_id", "a"], "left_semi")
-        placed = objects_in(objects, self.sg_edges.select("sg_id", "u", "v"))
-        ends = placed.select("obj_id", "sg_id", F.explode(F.array(F.struct(F.col("u").alias("b"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("b"), (F.col("w") - F.col("offset_")).alias("more")))).alias("e"))
-        ends = ends.select("obj_id", "sg_id", "e.b", "e.more")
+        placed = self.placed(objects)
+        if only is not None:
+            to, placed = to.join(only, "sg_id", "left_semi"), placed.join(only, "sg_id", "left_semi")
+        ends = _ends(placed, "obj_id", "b")
         return ends.join(to, ["sg_id", "b"]).groupBy("obj_id", "sg_id", F.col("a").alias("border")).agg(F.min(F.col("d") + F.col("more")).alias("cost"))
 
     def suffix(self, objects: DataFrame) -> DataFrame:
@@ -85,8 +90,7 @@ class Skeleton:
     def entry(self, queries: DataFrame) -> DataFrame:
         """(query_id, sg_id, vid, dist): distances inside the query's own subgraph, to all of its vertices."""
         own = queries.join(self.sg_edges.select("sg_id", "u", "v"), ["u", "v"])
-        ends = own.select("query_id", "sg_id", F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("a"), (F.col("w") - F.col("offset_")).alias("more")))).alias("e"))
-        ends = ends.select("query_id", "sg_id", "e.a", "e.more")
+        ends = _ends(own, "query_id", "a")
         return ends.join(self.sg_dist, ["sg_id", "a"]).groupBy("query_id", "sg_id", F.col("b").alias("vid")).agg(F.min(F.col("d") + F.col("more")).cast("bigint").alias("dist"))
 
     def border_distances(self, queries: DataFrame, method: str = "auto") -> DataFrame:
@@ -120,50 +124,128 @@ class Skeleton:
         return per.select("query_id", "sg_id", "lb", F.coalesce(F.col("by_ib2") <= 2 * F.col("radius"), F.lit(False)).alias("ib"), ub.alias("ub"), (ub & every).alias("paper"), every.alias("all_borders"))
 
     def object_distances(self, queries: DataFrame, objects: DataFrame, method: str = "auto", reached: DataFrame | None = None) -> DataFrame:
-        """(query_id, obj_id, dist) within the radius, by borders and inside the query's own subgraph."""
+        """(query_id, obj_id, dist) within the radius, by borders and inside the query's own subgraph. Only objects of subgraphs that are reached are looked at."""
         reached = self.border_distances(queries, method) if reached is None else reached
-        by_border = reached.join(self.border_costs(objects), "border").select("query_id", "obj_id", (F.col("d") + F.col("cost")).alias("dist"))
-        placed = objects_in(objects, self.sg_edges.select("sg_id", "u", "v"))
-        inside = self.entry(queries)
-        ends = placed.select("obj_id", "sg_id", F.explode(F.array(F.struct(F.col("u").alias("vid"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("vid"), (F.col("w") - F.col("offset_")).alias("more")))).alias("e"))
-        ends = ends.select("obj_id", "sg_id", "e.vid", "e.more")
-        own = inside.join(ends, ["sg_id", "vid"]).select("query_id", "obj_id", (F.col("dist") + F.col("more")).alias("dist"))
-        found = by_border.unionByName(own).groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
+        placed = self.placed(objects)
+        touched = reached.join(self.border_sg, "border").select("sg_id").distinct()
+        by_border = reached.join(self.border_costs(placed, touched), "border").select("query_id", "obj_id", (F.col("d") + F.col("cost")).alias("dist"))
+        found = by_border.unionByName(self.inside(queries, placed)).groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
         return found.join(queries.select("query_id", "radius"), "query_id").where("dist <= radius").select("query_id", "obj_id", "dist")
 
+    def inside(self, queries: DataFrame, placed: DataFrame, entry: DataFrame | None = None) -> DataFrame:
+        """(query_id, obj_id, dist) of objects in the query's own subgraph, by ways inside it."""
+        ends = _ends(placed, "obj_id", "vid")
+        ways = (self.entry(queries) if entry is None else entry).join(ends, ["sg_id", "vid"]).select("query_id", "obj_id", (F.col("dist") + F.col("more")).alias("dist"))
+        return ways.groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
+
     def range(self, queries: DataFrame, objects: DataFrame, method: str = "auto") -> DataFrame:
         """(query_id, obj_id): accepted subgraphs bring all their objects, the others are scored."""
         reached = self.border_distances(queries, method)
-        cover = self.classify(queries, reached)
-        placed = objects_in(objects, self.sg_edges.select("sg_id", "u", "v"))
+        cover = self.space.table(self.classify(queries, reached).select("query_id", "sg_id", "ib"), "cover")
+        placed = self.space.table(self.placed(objects), "placed")
         whole = cover.where("ib").select("query_id", "sg_id").join(placed, "sg_id").select("query_id", "obj_id")
         rest = cover.where("not ib").select("query_id", "sg_id")
-        costs = reached.join(self.border_sg, "border").join(rest, ["query_id", "sg_id"]).join(self.border_costs(objects), ["sg_id", "border"])
+        costs = reached.join(self.border_sg, "border").join(rest, ["query_id", "sg_id"]).join(self.border_costs(placed, rest.select("sg_id").distinct()), ["sg_id", "border"])
         scored = costs.join(queries.select("query_id", "radius"), "query_id").where(F.col("d") + F.col("cost") <= F.col("radius")).select("query_id", "obj_id")
-        inside = self.entry(queries).select("query_id", "sg_id", "vid", "dist")
-        ends = placed.select("obj_id", "sg_id", F.explode(F.array(F.struct(F.col("u").alias("vid"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("vid"), (F.col("w") - F.col("offset_")).alias("more")))).alias("e"))
-        ends = ends.select("obj_id", "sg_id", "e.vid", "e.more")
-        own = inside.join(ends, ["sg_id", "vid"]).join(queries.select("query_id", "radius"), "query_id").where(F.col("dist") + F.col("more") <= F.col("radius")).select("query_id", "obj_id")
+        own = self.inside(queries, placed).join(queries.select("query_id", "radius"), "query_id").where("dist <= radius").select("query_id", "obj_id")
         return whole.unionByName(scored).unionByName(own).distinct()
 
+    def growing(self, queries: DataFrame, entry: DataFrame, method: str) -> Growing:
+        """The search over borders, from those of each query's own subgraph."""
+        start = entry.join(self.border_sg.select("sg_id", F.col("border").alias("vid")), ["sg_id", "vid"], "left_semi").select("query_id", "vid", "dist")
+        return Growing(start, self.roads(method), self.space)
+
     def knn(self, queries: DataFrame, objects: DataFrame, start: int, method: str = "auto") -> DataFrame:
-        """(query_id, rnk, obj_id, dist): the radius doubles until k objects are within it or nothing more can be reached."""
-        total = self.sg_edges.agg(F.sum("w")).first()[0] or 0
-        radius, left, out = start, queries.where("k > 0"), None
+        """(query_id, rnk, obj_id, dist): the radius doubles, from where the search stopped, until k objects are within it or nothing more can be reached."""
+        space, left, out, radius = self.space, queries.where("k > 0"), None, start
+        entry, placed = space.table(self.entry(left), "entry"), space.table(self.placed(objects), "placed")
+        grown = self.growing(left, entry, method)
+        near = space.table(self.inside(left, placed, entry), "near")
         while True:
-            now = left.withColumn("radius", F.lit(radius).cast("bigint"))
-            now = self.space.table(now, "asked")
-            found = self.space.table(self.object_distances(now, objects, method), "found")
-            counts = left.select("query_id", "k").join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-            enough = counts.where(F.coalesce("n", F.lit(0)) >= F.col("k")) if radius <= total else counts
-            enough = self.space.table(enough.select("query_id", "k"), "enough")
-            done = first_k(found.join(enough.select("query_id", "k"), "query_id"), F.col("k"))
+            fresh = grown.grow(left.select("query_id", F.lit(radius).alias("radius"))).select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+            touched = fresh.join(self.border_sg, "border").select("sg_id").distinct()
+            found = fresh.join(self.border_costs(placed, touched), "border").select("query_id", "obj_id", (F.col("d") + F.col("cost")).alias("dist"))
+            found = found.unionByName(near.join(left, "query_id", "left_semi")).groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
+            near = space.table(found, "near")
+            inside = near.where(F.col("dist") <= radius).groupBy("query_id").agg(F.count("*").alias("n"))
+            state = left.select("query_id", "k").join(inside, "query_id", "left").join(grown.open().withColumn("whole", F.lit(False)), "query_id", "left")
+            state = space.table(state.select("query_id", "k", (F.coalesce("n", F.lit(0)) >= F.col("k")).alias("enough"), F.coalesce("whole", F.lit(True)).alias("whole")), "state")
+            done = state.where("enough or whole").join(near, "query_id").where(F.col("whole") | (F.col("dist") <= radius))
+            done = space.table(first_k(done.select("query_id", "obj_id", "dist", "k"), F.col("k")), "done")
             out = done if out is None else out.unionByName(done)
-            left = left.join(enough.select("query_id"), "query_id", "left_anti")
-            if radius > total or left.isEmpty():
+            left = space.table(left.join(state.where("not enough and not whole"), "query_id", "left_semi"), "left")
+            if left.isEmpty():
                 return out
             radius *= 2
 
+    def threshold_knn(self, queries: DataFrame, objects: DataFrame, start: int, method: str = "auto") -> DataFrame:
+        """(query_id, rnk, obj_id, dist): objects are scored once, and only those that a sound threshold cannot rule out.
+
+        All points of a subgraph are within d + IB of a query, for any of its borders at distance d. Taken in order of that bound, subgraphs
+        weighted by how many objects they have reach k at some bound, the threshold: k objects are within it, for any partition. The
+        search over borders doubles its radius until a query has a threshold and then goes on to it, once. Objects of the subgraphs in reach get
+        bounds of their own, their least way to a border behind it (an upper one) and behind the nearest border of their subgraph (a lower one), which may
+        lower the threshold; those whose lower bound is within it are scored. Distances inside the query's own subgraph bound it too.
+        ``self.scored`` has the (query_id, obj_id) that were.
+        """
+        space, left, radius = self.space, queries.where("k > 0"), start
+        left = space.table(left, "asked")
+        entry, placed = space.table(self.entry(left), "entry"), space.table(self.placed(objects), "placed")
+        weights = space.table(placed.groupBy("sg_id").agg(F.count("*").alias("n")), "weights")
+        ib = space.table(self.bounds().select("sg_id", "border", "ib2"), "ib")
+        grown, reached, going = self.growing(left, entry, method), None, left
+        done: list[DataFrame] = []  # (query_id, tau2): doubled thresholds, null where everything is in reach and there is none
+        while True:
+            fresh = grown.grow(going.select("query_id", F.lit(radius).alias("radius"))).select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+            reached = space.table(fresh if reached is None else reached.unionByName(fresh), "reached")
+            touched = reached.join(going, "query_id", "left_semi").join(ib, "border").join(weights, "sg_id")
+            bounds = touched.where("ib2 is not null").groupBy("query_id", "sg_id", "n").agg(F.min(2 * F.col("d") + F.col("ib2")).alias("bound"))
+            state = going.select("query_id", "k").join(_threshold(bounds, going), "query_id", "left").join(grown.open().withColumn("whole", F.lit(False)), "query_id", "left")
+            state = space.table(state.withColumn("whole", F.coalesce("whole", F.lit(True))), "state")
+            done.append(state.where("tau2 is not null or whole").select("query_id", "tau2"))
+            going = space.table(going.join(state.where("tau2 is null and not whole"), "query_id", "left_semi"), "going")
+            if going.isEmpty():
+                break
+            radius *= 2
+        tau = done[0]
+        for d in done[1:]:
+            tau = tau.unionByName(d)
+        tau = space.table(tau, "threshold")
+        on = grown.grow(tau.where("tau2 is not null").select("query_id", F.expr("(tau2 + 1) div 2").alias("radius")))
+        reached = space.table(reached.unionByName(on.select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))), "reached")
+
+        # Bounds of single objects, in the subgraphs within the threshold.
+        inside = space.table(self.inside(left, placed, entry), "inside")
+        near = reached.join(self.border_sg, "border").groupBy("query_id", "sg_id").agg(F.min("d").alias("lb")).join(tau, "query_id")
+        near = space.table(near.where("tau2 is null or 2 * lb <= tau2"), "near")
+        suffix = space.table(self.suffix(placed.join(near.select("sg_id").distinct(), "sg_id", "left_semi")), "suffix")
+        low = near.join(suffix, "sg_id").where("tau2 is null or 2 * (lb + suffix) <= tau2").select("query_id", "obj_id", "sg_id", (F.col("lb") + F.col("suffix")).alias("low"), "suffix", "border", "tau2")
+        low = space.table(low, "low")
+        upper = low.join(reached, ["query_id", "border"]).select("query_id", "obj_id", (2 * (F.col("d") + F.col("suffix"))).alias("bound"))
+        upper = upper.unionByName(inside.select("query_id", "obj_id", (2 * F.col("dist")).alias("bound"))).groupBy("query_id", "obj_id").agg(F.min("bound").alias("bound"))
+        lower = tau.join(_threshold(upper.withColumn("n", F.lit(1)), left).withColumnRenamed("tau2", "other"), "query_id", "left")
+        lower = space.table(lower.select("query_id", F.least("tau2", "other").alias("tau2")), "threshold")
+        asked = low.drop("tau2").join(lower, "query_id").where("tau2 is null or 2 * low <= tau2").select("query_id", "obj_id", "sg_id")
+        self.scored = asked = space.table(asked, "scored")
+        costs = self.border_costs(placed.join(asked.select("obj_id").distinct(), "obj_id", "left_semi"), near.select("sg_id").distinct())
+        found = asked.join(costs, ["obj_id", "sg_id"]).join(reached, ["query_id", "border"]).select("query_id", "obj_id", (F.col("d") + F.col("cost")).alias("dist"))
+        found = found.unionByName(inside).groupBy("query_id", "obj_id").agg(F.min("dist").alias("dist"))
+        found = found.join(lower, "query_id").where("tau2 is null or 2 * dist <= tau2").select("query_id", "obj_id", "dist")
+        return first_k(found.join(left.select("query_id", "k"), "query_id"), F.col("k"))
+
+
+def _ends(placed: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, sg_id, vertex, more): both ends of each position's edge with the way to them."""
+    ends = F.array(F.struct(F.col("u").alias("x"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("x"), (F.col("w") - F.col("offset_")).alias("more")))
+    return placed.select(key, "sg_id", F.explode(ends).alias("e")).select(key, "sg_id", F.col("e.x").alias(name), "e.more")
+
+
+def _threshold(bounds: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, tau2): the least bound within which ``bounds(query_id, bound, n)`` hold ``k``; no row where they hold fewer."""
+    so_far = Window.partitionBy("query_id").orderBy("bound").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = bounds.join(queries.select("query_id", "k"), "query_id").withColumn("held", F.sum("n").over(so_far))
+    return held.where("held >= k").groupBy("query_id").agg(F.min("bound").alias("tau2"))
+
 
 def group_subgraphs(adjacency: DataFrame, most: int) -> DataFrame:
     """(sg_id, parent): groups of up to ``most`` neighbouring subgraphs, breadth first from the smallest id.

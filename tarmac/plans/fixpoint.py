@@ -1,12 +1,14 @@
 """Bounded shortest-path fields for many queries at once.
 
-``distances`` has two plans with the same result:
+``distances`` has two plans with the same result, and ``Growing`` is the same for searches whose radius grows: what lies
+within a radius is settled for good, the arcs that lead out of it are kept as a table, and a larger radius starts there.
 
 * ``fixpoint``: semi-naive rounds of joins. The frontier meets the arcs on the vertex, candidates are combined by
   minimum before their shuffle, and only what improved goes into the next round. The radius bounds each
-  round's join. State is a table in the shared folder after each round, so lineage stays one round long.
+  round's join. Each round writes its improvements as a table in the shared folder, so lineage stays one round long, and every
+  ``MERGE`` rounds these are merged into one.
 * ``local``: one job. The graph's arcs, if there are at most ``LOCAL_ARCS`` of them (counted first), go to every
-  task as arrays, and each task runs its queries' searches on a heap.
+  task as arrays, and each task runs its queries' searches on a heap. Queries are dealt out to as many tasks as there are shuffle partitions.
 
 ``auto`` counts the arcs and picks ``local`` where they fit.
 """
@@ -26,6 +28,8 @@ from .work import Workspace
 #: At most so many arcs are sent to every task: 24 bytes each.
 LOCAL_ARCS = 4_000_000
 FAR = np.iinfo(np.int64).max
+#: Rounds after which tables of improvements are merged.
+MERGE = 8
 
 
 class Adjacency:
@@ -38,9 +42,14 @@ class Adjacency:
         self.to = np.searchsorted(self.vertex, arcs["d"].to_numpy())
         self.weight = arcs["w"].to_numpy(dtype=np.int64)
 
-    def search(self, seeds: list[tuple[int, int]], radius: int) -> dict[int, int]:
-        """Distances of all vertices within the radius, from seeds (vertex, distance)."""
-        heap, best = [], {}
+    def search(self, seeds: list[tuple[int, int]], radius: int, behind: list[int] = ()) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+        """Distances of all vertices within the radius, from seeds (vertex, distance), and the ways out: (from, to, distance there).
+
+        Vertices in ``behind`` are settled already and not entered.
+        """
+        heap, best, out = [], {}, []
+        place = {int(v): int(k) for v, k in zip(behind, np.searchsorted(self.vertex, np.asarray(behind, dtype=np.int64)))}
+        best.update((k, -1) for k in place.values())
         for vertex, distance in seeds:
             k = int(np.searchsorted(self.vertex, vertex))
             if k < len(self.vertex) and self.vertex[k] == vertex and distance <= radius and distance < best.get(k, FAR):
@@ -55,10 +64,15 @@ class Adjacency:
             a, b = start[k], start[k + 1]
             for n, w in zip(to[a:b].tolist(), weight[a:b].tolist()):
                 far = distance + w
-                if far <= radius and far < best.get(n, FAR):
+                if far > radius:
+                    if n not in best:
+                        out.append((k, n, far))
+                elif far < best.get(n, FAR):
                     best[n] = far
                     heapq.heappush(heap, (far, n))
-        return {int(self.vertex[k]): d for k, d in best.items()}
+        for k in place.values():
+            best.pop(k, None)
+        return {int(self.vertex[k]): d for k, d in best.items()}, [(int(self.vertex[k]), int(self.vertex[n]), far) for k, n, far in out if n not in best]
 
 
 class Roads:
@@ -93,23 +107,91 @@ def origins(seeds: DataFrame, arcs: DataFrame, method: str = "auto") -> DataFram
     return found.groupBy("query_id", "vid").agg(F.min(F.struct("dist", "origin")).alias("best")).select("query_id", "vid", "best.dist", "best.origin")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key to as many tasks as there are shuffle partitions, which adaptive execution leaves as they are: few rows may be much work."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+class Growing:
+    """Searches whose radius grows. Each vertex of a query is settled once, by the call of ``grow`` whose radius first reaches it.
+
+    ``ways`` (query_id, tail, vid, dist) leads out of what is settled: arcs cut by the radius, at first the seeds (without a tail). With positive weights,
+    roads in both directions and everything within the radius settled, a way back into it begins at a tail, so a search that does not enter tails
+    settles only what is new.
+    """
+
+    def __init__(self, seeds: DataFrame, roads: Roads, space: Workspace) -> None:
+        self.roads, self.space = roads, space
+        self.kind = seeds.schema["query_id"].dataType.simpleString()
+        tail = F.lit(None).cast("bigint").alias("tail")
+        self.ways = space.table(seeds.select("query_id", tail, F.col("vid").cast("bigint").alias("vid"), F.col("dist").cast("bigint").alias("dist")), "ways")
+        self.settled: DataFrame | None = None
+
+    def grow(self, radius: DataFrame) -> DataFrame:
+        """(query_id, vid, dist) that the searches of ``radius(query_id, radius)`` newly reach. Other searches stay where they are."""
+        asked = self.ways.join(radius.select("query_id", F.col("radius").cast("bigint").alias("radius")), "query_id")
+        others = self.ways.join(radius.select("query_id"), "query_id", "left_anti")
+        step = self._local(asked) if self.roads.method == "local" else self._joins(asked)
+        self.ways = self.space.table(step.where("out").select("query_id", "tail", "vid", "dist").unionByName(others), "ways")
+        return step.where("not out").select("query_id", "vid", "dist")
+
+    def open(self) -> DataFrame:
+        """(query_id) of searches that have not reached everything."""
+        return self.ways.select("query_id").distinct()
+
+    def _local(self, asked: DataFrame) -> DataFrame:
+        graph = self.roads.sent
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for query_id, ways, radius in batch[["query_id", "ways", "radius"]].itertuples(index=False):
+                    behind = sorted({w["tail"] for w in ways if w["tail"] is not None})
+                    field, out = graph.value.search([(w["vid"], w["dist"]) for w in ways], int(radius), behind)
+                    out += [(w["tail"], w["vid"], w["dist"]) for w in ways if w["dist"] > radius and w["vid"] not in field]
+                    n, m = len(field), len(out)
+                    tail, head, far = (np.fromiter(c, np.int64, m) for c in (zip(*((w[0] or 0, *w[1:]) for w in out)) if out else ((), (), ())))
+                    free = np.fromiter((w[0] is None for w in out), bool, m)
+                    yield pd.DataFrame({
+                        "query_id": query_id,
+                        "tail": pd.arrays.IntegerArray(np.append(np.zeros(n, np.int64), tail), np.append(np.ones(n, bool), free)),
+                        "vid": np.append(np.fromiter(field.keys(), np.int64, n), head),
+                        "dist": np.append(np.fromiter(field.values(), np.int64, n), far),
+                        "out": np.arange(n + m) >= n,
+                    })
+
+        grouped = spread(asked, "query_id").groupBy("query_id").agg(F.collect_list(F.struct("tail", "vid", "dist")).alias("ways"), F.max("radius").alias("radius"))
+        return self.space.table(grouped.mapInPandas(run, f"query_id {self.kind}, tail long, vid long, dist long, out boolean"), "grown")
+
+    def _joins(self, asked: DataFrame) -> DataFrame:
+        key = ["query_id", "vid"]
+        known = self.settled if self.settled is not None else asked.select("query_id", "vid", "dist").limit(0)
+        start = asked.where("dist <= radius").groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
+        fresh = _rounds(self.space, start, self.roads.arcs, known)
+        self.settled = self.space.table(known.unionByName(fresh), "settled")
+        reach = asked.select("query_id", "radius").distinct()
+        cut = fresh.join(reach, "query_id").join(self.roads.arcs, F.col("vid") == F.col("s"))
+        cut = cut.where("dist + w > radius").select("query_id", F.col("vid").alias("tail"), F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"))
+        out = cut.unionByName(asked.where("dist > radius").select("query_id", "tail", "vid", "dist")).join(self.settled, key, "left_anti")
+        new = fresh.select("query_id", F.lit(None).cast("bigint").alias("tail"), "vid", "dist", F.lit(False).alias("out"))
+        return self.space.table(new.unionByName(out.withColumn("out", F.lit(True))), "grown")
+
+
 def to_targets(seeds: DataFrame, arcs: DataFrame, targets: DataFrame, method: str = "auto") -> DataFrame:
     """(query_id, vid, dist) of ``targets(query_id, vid)`` alone: the radius doubles until a query's targets are settled or it reaches no more.
 
-    A distance within the radius is final; only queries with a target left go on.
+    A distance within the radius is final; only queries with a target left go on, from where they stopped.
     """
     space = Workspace(seeds.sparkSession, "targets")
-    bounds = arcs.agg(F.max("w").alias("longest"), F.sum("w").alias("whole")).first()
-    roads = Roads(arcs, method)
-    far = seeds.agg(F.max("dist")).first()[0] or 0
-    radius, out = 2 * (bounds.longest or 0) + far, None
+    longest = arcs.agg(F.max("w")).first()[0] or 1
+    grown = Growing(seeds, Roads(arcs, method), space)
+    radius, out = 2 * longest + (seeds.agg(F.max("dist")).first()[0] or 0), None
     left = space.table(targets.distinct(), "targets")
     while True:
-        now = seeds.drop("radius").withColumn("radius", F.lit(radius).cast("bigint")).join(left.select("query_id").distinct(), "query_id", "left_semi")
-        found = space.table(distances(now, roads).join(left, ["query_id", "vid"], "left_semi"), "found")
+        now = left.select("query_id").distinct().withColumn("radius", F.lit(radius).cast("bigint"))
+        found = space.table(grown.grow(now).join(left, ["query_id", "vid"], "left_semi"), "found")
         out = found if out is None else out.unionByName(found)
-        left = space.table(left.join(found, ["query_id", "vid"], "left_anti"), "left")
-        if radius > (bounds.whole or 0) + far or left.isEmpty():
+        left = space.table(left.join(found, ["query_id", "vid"], "left_anti").join(grown.open(), "query_id", "left_semi"), "left")
+        if left.isEmpty():
             return out
         radius *= 2
 
@@ -120,31 +202,49 @@ def _local(seeds: DataFrame, roads: Roads) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for query_id, starts, radius in batch[["query_id", "seeds", "radius"]].itertuples(index=False):
-                field = graph.value.search([(s["vid"], s["dist"]) for s in starts], int(radius))
+                field = graph.value.search([(s["vid"], s["dist"]) for s in starts], int(radius))[0]
                 yield pd.DataFrame({"query_id": query_id, "vid": np.fromiter(field.keys(), np.int64, len(field)), "dist": np.fromiter(field.values(), np.int64, len(field))})
 
-    grouped = seeds.groupBy("query_id").agg(F.collect_list(F.struct("vid", "dist")).alias("seeds"), F.max("radius").alias("radius"))
+    grouped = spread(seeds, "query_id").groupBy("query_id").agg(F.collect_list(F.struct("vid", "dist")).alias("seeds"), F.max("radius").alias("radius"))
     kind = seeds.schema["query_id"].dataType.simpleString()
     return grouped.mapInPandas(run, f"query_id {kind}, vid long, dist long")
 
 
 def _fixpoint(seeds: DataFrame, arcs: DataFrame, max_rounds: int | None) -> DataFrame:
     space = Workspace(seeds.sparkSession, "fixpoint")
+    start = seeds.where("dist <= radius").groupBy("query_id", "vid").agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
+    return _rounds(space, start, arcs, None, max_rounds)
+
+
+def _rounds(space: Workspace, start: DataFrame, arcs: DataFrame, settled: DataFrame | None, max_rounds: int | None = None) -> DataFrame:
+    """(query_id, vid, dist) of what ``start(query_id, vid, dist, radius)`` reaches within the radius outside ``settled``."""
     key = ["query_id", "vid"]
-    best = space.table(seeds.where("dist <= radius").groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius")), "best")
-    frontier, rounds = best, 0
+    frontier = space.table(start, "better")
+    better, rounds = [frontier], 0
+
+    def best(tables: list[DataFrame], of: DataFrame | None = None) -> DataFrame:
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t)
+        rows = rows if of is None else rows.join(of.select(*key), key, "left_semi")
+        return rows.groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
+
     while True:
         step = frontier.join(arcs, F.col("vid") == F.col("s")).select("query_id", F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), "radius")
         step = step.where("dist <= radius").groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-        known = best.select("query_id", "vid", F.col("dist").alias("known"))
-        better = space.table(step.join(known, key, "left").where("known is null or dist < known").drop("known"), "better")
-        if better.isEmpty():
-            return best.select("query_id", "vid", "dist")
-        merged = best.unionByName(better).groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-        old, best = best, space.table(merged, "best")
-        space.drop(old)
-        if frontier is not old:
-            space.drop(frontier)
-        frontier, rounds = better, rounds + 1
+        if settled is not None:
+            step = step.join(settled, key, "left_anti")
+        step = space.table(step, "step")
+        known = best(better, step).select(*key, F.col("dist").alias("known"))
+        new = space.table(step.join(known, key, "left").where("known is null or dist < known").drop("known"), "better")
+        space.drop(step)
+        if new.isEmpty():
+            return best(better).select("query_id", "vid", "dist")
+        frontier, rounds = new, rounds + 1
+        better.append(new)
+        if len(better) > MERGE:
+            merged = space.table(best(better), "best")
+            space.drop(*better[:-1])  # the last one is the frontier
+            better = [merged]
         if max_rounds is not None and rounds > max_rounds:
             raise ValueError(f"no fixpoint after {max_rounds} rounds: weights must be positive")

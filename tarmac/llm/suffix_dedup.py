@@ -13,15 +13,16 @@ a corpus would shuffle many times its size, so positions are sampled without los
 What is left has the same gram in different contexts. There prefix doubling runs on a grid of ``CELL`` bytes that the
 charged position anchors, so that equal windows meet the grid at the same places:
 
-* First ranks are of ``FIRST`` = 48 bytes at each place of the grid.
-* Round 1 sorts pairs of ranks at offset 48 and ranks them anew: strings of 96 bytes. Unique ones drop out.
-* Round 2 sorts pairs of those ranks at offset 96 and ranks them anew: strings of 192 bytes, which all windows of
-  one cell of the grid share. Unique ones drop out.
-* Past the threshold. A window of 200 bytes is a string of 192 with the 8 bytes around it, so the last round sorts the pair of
-  the rank and those bytes themselves. Cells whose bytes on both sides occur again as a whole are done at once.
+* First names are of ``FIRST`` = 48 bytes at each place of the grid. Those that occur again are sorted and take their places in that order as ranks.
+* Each round pairs a place's rank with that of the place one length further on, sorts the pairs by range over the cluster and ranks
+  them anew, for strings of twice the length: 96, then 192 bytes, which all windows of one cell of the grid share.
+  Unique pairs drop out, and so do those that only positions have which are done already.
+* Rounds stop when nothing is left that occurs again, or at the threshold. A window of 200 bytes is a string of 192 with the 8
+  bytes around it, so the last round ranks the pair of the rank and those bytes themselves. Cells whose bytes on both sides occur again as a
+  whole are done at once.
 
-A rank is the number of the first position with its pair. First ranks, grams and contexts are 64-bit hashes (a window counts as repeated by
-the gram and the context together, or by ranks whose every step is exact from the first ranks on); the last bytes are compared as they are.
+First names, grams and contexts are 64-bit hashes (a window counts as repeated by the gram and the context together, 128 bits, or by ranks whose
+every step is exact from the first names on); the last bytes are compared as they are.
 
 Spark does the ranking: names are counted with partial aggregates, and a name that very many positions
 share is one row a task. Joins back are on names, where skewed ones can be split. Texts are
@@ -39,9 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import numbered
 from .common import Bitmap, Workspace, among, free_names, text_of, through_python, tidied
 from .rolling import Base, Rolling
 
@@ -146,8 +148,8 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(tidied(run), "at long, place long, open boolean, bytes binary")
 
 
-def _first_ranks(contexts: DataFrame) -> DataFrame:
-    """(context, c, r1, r2): ranks of the first bytes at place c of the grid and one offset further on."""
+def _first_names(contexts: DataFrame) -> DataFrame:
+    """(context, c, open, name): names of the first bytes at each place c of the grid."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,37 +159,50 @@ def _first_ranks(contexts: DataFrame) -> DataFrame:
             sizes = batch["bytes"].map(len).to_numpy(dtype=np.int64)
             lo, hi, a = unpack(batch["place"].to_numpy(dtype=np.int64))
             at = np.cumsum(sizes) - sizes - lo + a
-            low, high = (a - hi) // CELL - 2 * HOP, (a - lo) // CELL
+            low, high = (a - hi) // CELL - 3 * HOP, (a - lo) // CELL
             n = high - low + 1
             row = np.repeat(np.arange(len(batch)), n)
             c = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
-            place, names = at[row] - c * CELL, Rolling(data, _SECOND)
-            first, next_ = (names.of(x, x + FIRST).view(np.int64) for x in (place, place + FIRST))
-            yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "r1": first, "r2": next_})
+            place = at[row] - c * CELL
+            name = Rolling(data, _SECOND).of(place, place + FIRST).view(np.int64)
+            yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "open": batch["open"].to_numpy()[row], "name": name})
 
-    return contexts.select("context", "place", "bytes").mapInPandas(tidied(run), "context long, c int, r1 long, r2 long")
+    return contexts.select("context", "place", "open", "bytes").mapInPandas(tidied(run), "context long, c int, open boolean, name long")
 
 
 def _cells(ranked: DataFrame) -> DataFrame:
-    """(context, at, place, open, c, r1, r2, low, high, left, right) of cells that have both ranks: windows low to high start so many bytes before the cell's core; 8 bytes on both sides of it."""
+    """(at, place, open, c, rank, low, high, left, right) of cells whose core has a rank: windows low to high start so many bytes before it; 8 bytes on both sides of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for context, at, place, open_, text, ranks in batch[["context", "at", "place", "open", "bytes", "ranks"]].itertuples(index=False):
+            for at, place, open_, text, ranks in batch[["at", "place", "open", "bytes", "ranks"]].itertuples(index=False):
                 lo, hi, a = (int(x) for x in unpack(place))
-                rank = {r["c"]: r["rank"] for r in ranks}
                 wide = bytes(CELL) + bytes(text) + bytes(CELL)
-                for c in range((a - hi) // CELL, (a - lo) // CELL + 1):
-                    one, two = rank.get(c), rank.get(c - 2 * HOP)
-                    if one is not None and two is not None:
+                for r in ranks:
+                    c = r["c"]
+                    if (a - hi) // CELL <= c <= (a - lo) // CELL:
                         core = a - c * CELL - lo + CELL
                         low, high = max(0, a - hi - c * CELL), min(CELL - 1, a - lo - c * CELL)
                         left, right = int.from_bytes(wide[core - CELL : core], "big", signed=True), int.from_bytes(wide[core + CORE : core + SPAN], "big", signed=True)
-                        out.append((context, at, place, open_, c, one, two, low, high, left, right))
-            yield pd.DataFrame(out, columns=["context", "at", "place", "open", "c", "r1", "r2", "low", "high", "left", "right"])
+                        out.append((at, place, open_, c, r["rank"], low, high, left, right))
+            yield pd.DataFrame(out, columns=["at", "place", "open", "c", "rank", "low", "high", "left", "right"])
 
-    return ranked.mapInPandas(tidied(run), "context long, at long, place long, open boolean, c int, r1 long, r2 long, low int, high int, left long, right long")
+    return ranked.mapInPandas(tidied(run), "at long, place long, open boolean, c int, rank long, low int, high int, left long, right long")
+
+
+def rerank(rows: DataFrame, by: list[str], space: Workspace) -> DataFrame:
+    """(context, c, open, rank): places in the order of ``by``, for what occurs again and somewhere in an open context."""
+    again = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select(*by)
+    ranks = numbered(space.table(again, "again"), [F.col(c) for c in by], "rank", space)
+    return space.table(rows.join(ranks, by).select("context", "c", "open", "rank"), "ranks")
+
+
+def doubled(ranks: DataFrame, length: int) -> DataFrame:
+    """(context, c, open, r1, r2): ranks of strings of a length with those one length further on."""
+    hop = length // CELL
+    onward = Window.partitionBy("context").orderBy("c").rangeBetween(-hop, -hop)
+    return ranks.select("context", "c", "open", F.col("rank").alias("r1"), F.max("rank").over(onward).alias("r2")).where("r2 is not null")
 
 
 def _left(n: Column) -> Column:
@@ -200,12 +215,6 @@ def _right(n: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.col("right"), (CELL - n) * 8)
 
 
-def rerank(rows: DataFrame, number: Column, most: Column | None = None) -> DataFrame:
-    """(r1, r2, rank) of the pairs that occur again: the least number of a position with the pair. ``most`` keeps pairs for which it holds somewhere."""
-    pairs = rows.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(number).alias("rank"), F.max(F.lit(True) if most is None else most).alias("any"))
-    return pairs.where("n > 1 and any").select("r1", "r2", "rank")
-
-
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint maximal runs of spans; runs that touch are one."""
     order = np.argsort(starts, kind="stable")
@@ -248,14 +257,14 @@ class RepeatedPassages:
         held = space.table(held.withColumn("context", F.monotonically_increasing_id()), "bytes")
 
         # Pairs at offset 48, then at offset 96.
-        number = F.col("context") * 32 + F.col("c") + 2 * HOP  # fewer than 32 places of the grid to a context
-        first = space.table(_first_ranks(held), "ranks-48")
-        rows = first.join(rerank(first, number), ["r1", "r2"]).select("context", "c", "rank")
-        ranks = rows.groupBy("context").agg(F.collect_list(F.struct("c", "rank")).alias("ranks"))
-        second = space.table(_cells(held.join(ranks, "context")), "ranks-96")
-        space.drop(first, held)
-        third = space.table(second.join(rerank(second, number, F.col("open")), ["r1", "r2"]).drop("r1", "r2"), "ranks-192")
-        space.drop(second)
+        length, ranks = FIRST, rerank(space.table(_first_names(held), "names"), ["name"], space)
+        while length < CORE and not ranks.isEmpty():
+            shorter, ranks = ranks, rerank(space.table(doubled(ranks, length), "pairs"), ["r1", "r2"], space)
+            space.drop(shorter)
+            length *= 2
+        listed = ranks.groupBy("context").agg(F.collect_list(F.struct("c", "rank")).alias("ranks"))  # fewer than 50 places of the grid to a context
+        third = space.table(_cells(held.join(listed, "context")), "cores")
+        space.drop(held)
 
         # Past the threshold: the bytes around, of a whole cell and then of its windows.
         around = ["rank", "low", "high", "before", "behind"]

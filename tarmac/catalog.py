@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import graph
-from .operators import partition, queries, reports
-from .operators.skeleton import Skeleton
+from .operators import partition, queries, reports, shortcuts, whatif
+from .operators.moving import MovingQueries
+from .operators.skeleton import Skeleton, hub_arcs, hubs
 from .plans.fixpoint import Growing, Roads, distances
-from .sources.network import Network, ctes
+from .sources.network import WIDTH, Network, ctes
 from .streaming import positions
 
 RADIUS, K, NEAR, PART, SIDE = 800, 10, 300, 10, 8
@@ -418,6 +419,107 @@ def cover_rules(n: Network) -> DataFrame:
     return s.classify(q, s.border_distances(q))
 
 
+def _variant(parts: tuple[str, ...], names: str, suffix: str, *changes: tuple[str, str]) -> tuple[str, ...]:
+    """The same definitions under other names, with some text changed."""
+    out = []
+    for part in parts:
+        for old, new in changes:
+            part = part.replace(old, new)
+        out.append(re.sub(rf"\b({names})\b", rf"\1{suffix}", part))
+    return tuple(out)
+
+
+#: The partition into runs three times as long.
+LONG = 3 * PART
+SG_COLUMNS = _variant(SG, "parts|cut|sg_edges|ends|sg_vertices", "_columns", (f"CAST(floor((vid - 1) / {PART}) AS BIGINT)", f"(vid - 1) % {WIDTH}"))
+SG_LONG = _variant(SG, "parts|cut|sg_edges|ends|sg_vertices", "_long", (f"/ {PART})", f"/ {LONG})"))
+
+
+ADMIT_K = 40
+
+
+@query(
+    _sql(
+        f"""SELECT s.query_id, s.sg_id, p.obj_id FROM spans s JOIN placed_ p ON p.sg_id = s.sg_id
+        WHERE s.high2 <= {2 * RADIUS} AND (SELECT sum(t.n) FROM spans t WHERE t.query_id = s.query_id AND t.low2 <= s.high2) <= {ADMIT_K}""",
+        *BOUNDS, *FIELD, "placed_ AS (SELECT o.obj_id, e.sg_id FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v)",
+        f"""spans AS (SELECT m.query_id, m.sg_id, min(m.low2) AS low2, min(m.high2) AS high2, max(w.n) AS n FROM (
+          SELECT f.query_id, b.sg_id, 2 * f.dist AS low2, 2 * f.dist + b.ib2 AS high2 FROM field f JOIN bounds b ON b.border = f.vid WHERE f.dist <= {RADIUS}
+          UNION ALL SELECT q.query_id, e.sg_id, 0, NULL FROM v_queries q JOIN sg_edges e ON e.u = q.u AND e.v = q.v) m
+        JOIN (SELECT sg_id, count(*) AS n FROM placed_ GROUP BY sg_id) w ON w.sg_id = m.sg_id GROUP BY ALL)""",
+    )
+)
+def knn_admission(n: Network) -> DataFrame:
+    """Objects that bounds of their subgraphs alone show to be among the nearest."""
+    return _skeleton(n).admitted(n.queries(RADIUS, ADMIT_K), n.objects)
+
+
+DEMOTED = 8
+
+
+@query(
+    _sql(
+        f"""SELECT c.sg_id, c.border, count(b.obj_id) AS results, count(b.obj_id) FILTER (s.dist IS NULL) AS lost, count(b.obj_id) FILTER (s.dist > b.dist) AS farther,
+          count(b.obj_id) FILTER (s.dist IS NULL OR s.dist > b.dist) = 0 AS exact
+        FROM scen c LEFT JOIN (SELECT * FROM found WHERE dist <= {RADIUS}) b ON true
+        LEFT JOIN (SELECT id, query_id, obj_id, min(dist) AS dist FROM scored GROUP BY ALL HAVING min(dist) <= {RADIUS}) s ON s.id = c.id AND s.query_id = b.query_id AND s.obj_id = b.obj_id
+        GROUP BY c.id, c.sg_id, c.border""",
+        *CLIQUE, *FIELD, FOUND,
+        f"""scen AS (SELECT row_number() OVER (ORDER BY touches DESC, sg_id, border) AS id, sg_id, border FROM (
+          SELECT x.sg_id, x.border, count(*) AS touches FROM field f JOIN brd x ON x.border = f.vid WHERE f.dist <= {RADIUS} GROUP BY ALL) ORDER BY touches DESC, sg_id, border LIMIT {DEMOTED})""",
+        """own_ AS (SELECT q.query_id, e.sg_id, d.b AS vid, min(d.d + CASE WHEN d.a = q.u THEN q.offset_ ELSE q.w - q.offset_ END) AS dist
+          FROM v_queries q JOIN sg_edges e ON e.u = q.u AND e.v = q.v JOIN sg_dist d ON d.sg_id = e.sg_id AND d.a IN (q.u, q.v) GROUP BY ALL)""",
+        "first_ AS (SELECT c.id * 1000 + o.query_id AS k, o.vid, o.dist FROM own_ o JOIN brd x ON x.sg_id = o.sg_id AND x.border = o.vid JOIN scen c ON NOT (o.sg_id = c.sg_id AND o.vid = c.border))",
+        _field("tried", "first_", "k", "scen c ON c.id = f.k // 1000 JOIN (SELECT sg_id, a AS s, b AS d, d AS w FROM clique) a ON f.vid = a.s AND NOT (a.sg_id = c.sg_id AND (a.s = c.border OR a.d = c.border))", f"AND f.dist + a.w <= {RADIUS}"),
+        f"""placed_ AS (SELECT o.*, e.sg_id FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v),
+        scored AS (
+          SELECT c.id, t.k % 1000 AS query_id, o.obj_id, t.dist + d.d + CASE WHEN d.b = o.u THEN o.offset_ ELSE o.w - o.offset_ END AS dist FROM tried t JOIN scen c ON c.id = t.k // 1000
+          JOIN brd x ON x.border = t.vid AND NOT (x.sg_id = c.sg_id AND x.border = c.border) JOIN placed_ o ON o.sg_id = x.sg_id JOIN sg_dist d ON d.sg_id = x.sg_id AND d.a = x.border AND d.b IN (o.u, o.v) WHERE t.dist <= {RADIUS}
+          UNION ALL SELECT c.id, w.query_id, o.obj_id, w.dist + CASE WHEN w.vid = o.u THEN o.offset_ ELSE o.w - o.offset_ END FROM own_ w JOIN placed_ o ON o.sg_id = w.sg_id AND w.vid IN (o.u, o.v) CROSS JOIN scen c)""",
+    )
+)
+def demotion_verdicts(n: Network) -> DataFrame:
+    """What the results of a batch would be without each of the borders that most queries reach (a top list)."""
+    s, q = _skeleton(n), n.queries(RADIUS)
+    return whatif.demotion_verdicts(s, q, n.objects, whatif.most_touched(s, q, DEMOTED))
+
+
+@query(_sql(f"SELECT f.query_id, f.vid AS border, f.dist AS d FROM field f WHERE f.dist <= {RADIUS} AND f.vid IN (SELECT vid FROM sg_vertices_long WHERE is_border)", *SG_LONG, *FIELD))
+def hub_search(n: Network) -> DataFrame:
+    """Distances of borders by a search through hubs."""
+    s = Skeleton(partition.own_edges(n.edges, n.parts(LONG))).persist()
+    to, _ = hubs(s, least_borders=6, ratio=1.0)
+    return s.border_distances(n.queries(RADIUS), arcs=hub_arcs(s, n.space.table(to, "ways")))
+
+
+STEPS, PER = 3, 2
+SHORTCUTS = (
+    *CLIQUE, ARCS,
+    """reps AS (SELECT n.sg_id, coalesce(r.a, n.first) AS rep FROM (SELECT sg_id, count(*) AS n, min(border) AS first FROM brd GROUP BY sg_id) n LEFT JOIN (
+      SELECT sg_id, a FROM (SELECT c.sg_id, c.a, sum(c.d) AS total, count(*) AS reached FROM clique c GROUP BY ALL) s
+      WHERE reached = (SELECT count(*) - 1 FROM brd x WHERE x.sg_id = s.sg_id) QUALIFY row_number() OVER (PARTITION BY sg_id ORDER BY total, a) = 1) r ON r.sg_id = n.sg_id)""",
+    "next_ AS (SELECT DISTINCT x.sg_id, y.sg_id AS other FROM brd x JOIN brd y ON x.border = y.border AND x.sg_id <> y.sg_id)",
+    f"steps(sg_id, other, n) AS (SELECT sg_id, sg_id, 0 FROM (SELECT DISTINCT sg_id FROM next_) UNION SELECT s.sg_id, x.other, s.n + 1 FROM steps s JOIN next_ x ON x.sg_id = s.other WHERE s.n < {STEPS})",
+    "rep_seeds AS (SELECT sg_id, rep AS vid, CAST(0 AS BIGINT) AS dist FROM reps)",
+    _field("rep_field", "rep_seeds", "sg_id", "arcs a ON f.vid = a.s"),
+    f"""cuts AS (SELECT p.sg_id AS sg_a, p.other AS sg_b, x.rep AS a, y.rep AS b, f.dist AS w FROM (SELECT sg_id, other FROM steps GROUP BY ALL HAVING min(n) = {STEPS}) p
+      JOIN reps x ON x.sg_id = p.sg_id JOIN reps y ON y.sg_id = p.other JOIN rep_field f ON f.sg_id = p.sg_id AND f.vid = y.rep WHERE x.rep <> y.rep
+      QUALIFY row_number() OVER (PARTITION BY p.sg_id ORDER BY f.dist, p.other) <= {PER})""",
+)
+
+
+@query(_sql("SELECT sg_a, sg_b, a, b, w FROM cuts", *SHORTCUTS))
+def shortcut_arcs(n: Network) -> DataFrame:
+    return shortcuts.shortcuts(_skeleton(n), STEPS, PER)
+
+
+@query(_sql(f"SELECT f.query_id, f.vid AS border, f.dist AS d FROM field f WHERE f.dist <= {RADIUS} AND f.vid IN (SELECT border FROM brd)", *SG_DIST, *FIELD))
+def shortcut_search(n: Network) -> DataFrame:
+    """Distances of borders over the skeleton with shortcuts: the same as without."""
+    s = _skeleton(n)
+    return s.border_distances(n.queries(RADIUS), arcs=shortcuts.with_shortcuts(s.roads().arcs, shortcuts.shortcuts(s, STEPS, PER)))
+
+
 COVERAGE = (*SG, *FIELD, FOUND, f"""cov AS (SELECT f.query_id, e.sg_id, count(*) AS n, max(t.n) AS total FROM found f JOIN v_objects o USING (obj_id) JOIN sg_edges e ON e.u = o.u AND e.v = o.v
    JOIN (SELECT sg_id, count(*) AS n FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v GROUP BY sg_id) t ON t.sg_id = e.sg_id WHERE f.dist <= {RADIUS} GROUP BY ALL)""")
 
@@ -429,14 +531,20 @@ def coverage_report(n: Network) -> DataFrame:
 
 @query(
     _sql(
-        """SELECT 'rows' AS method, CAST(sum(touched) AS BIGINT) AS touched, CAST(sum(f) AS BIGINT) AS "full", CAST(sum(ro) AS BIGINT) AS result_objects, CAST(sum(fo) AS BIGINT) AS full_objects, round(sum(fo) / sum(ro), 6) AS object_ratio FROM (
-        SELECT query_id, count(*) AS touched, count(*) FILTER (n = total) AS f, sum(n) AS ro, coalesce(sum(n) FILTER (n = total), 0) AS fo FROM cov GROUP BY query_id)""",
-        *COVERAGE,
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS method, CAST(sum(touched) AS BIGINT) AS touched, CAST(sum(f) AS BIGINT) AS "full", CAST(sum(ro) AS BIGINT) AS result_objects, CAST(sum(fo) AS BIGINT) AS full_objects, round(sum(fo) / sum(ro), 6) AS object_ratio FROM (
+            SELECT query_id, count(*) AS touched, count(*) FILTER (n = total) AS f, sum(n) AS ro, coalesce(sum(n) FILTER (n = total), 0) AS fo FROM {table} GROUP BY query_id)"""
+            for name, table in (("rows", "cov"), ("long rows", "cov_long"), ("columns", "cov_columns"))
+        ),
+        *COVERAGE, *SG_LONG, *SG_COLUMNS, *_variant(COVERAGE[-1:], "cov|sg_edges", "_long"), *_variant(COVERAGE[-1:], "cov|sg_edges", "_columns"),
     )
 )
 def coverage_compare(n: Network) -> DataFrame:
-    found = queries.exact_range(n.queries(RADIUS), n.objects, n.edges)
-    return reports.coverage_compare(found, n.objects, {"rows": _sg_edges(n)})
+    """Three partitions: short and long runs along rows of the network, and columns of it."""
+    found = n.space.table(queries.exact_range(n.queries(RADIUS), n.objects, n.edges), "found")
+    columns = graph.vertices(n.edges).select("vid", ((F.col("vid") - 1) % WIDTH).alias("part"))
+    owned = {"rows": _sg_edges(n), "long rows": partition.own_edges(n.edges, n.parts(LONG)), "columns": partition.own_edges(n.edges, columns)}
+    return reports.coverage_compare(found, n.objects, {name: n.space.table(df, "owned") for name, df in owned.items()})
 
 
 @query(
@@ -548,6 +656,42 @@ def anchor_buckets(n: Network) -> DataFrame:
     return positions.anchor_buckets(n.objects)
 
 
+TO_ZERO = "v_moved AS (SELECT query_id, u, v, w, CASE WHEN query_id % 2 = 0 THEN CAST(0 AS BIGINT) ELSE w - 1 END AS offset_ FROM v_queries)"
+MOVED_FIELD = (ARCS, TO_ZERO, PLACED.replace("v_queries", "v_moved"), _field("field", "seeds", "query_id", "arcs a ON f.vid = a.s", f"AND f.dist + a.w <= {RADIUS}"))
+
+
+def _moved(n: Network) -> MovingQueries:
+    """Queries after two moves: all to the middle of their edges, then each to one end or next to the other."""
+    q = n.queries(RADIUS)
+    moving = MovingQueries(q, n.space.table(graph.arcs(n.edges), "arcs"))
+    moving.move(q.select("query_id", F.expr("w div 2").alias("offset_")))
+    moving.move(q.select("query_id", F.when(F.col("query_id") % 2 == 0, 0).otherwise(F.col("w") - 1).alias("offset_")))
+    return moving
+
+
+@query(_sql(f"SELECT query_id, vid, dist FROM field WHERE dist <= {RADIUS}", *MOVED_FIELD))
+def moved_query_fields(n: Network) -> DataFrame:
+    """Fields of queries that moved twice, shifted and searched again only where they may change."""
+    return _moved(n).field.select("query_id", "vid", "dist")
+
+
+@query(_sql(f"SELECT query_id, obj_id, dist FROM found WHERE dist <= {RADIUS}", *MOVED_FIELD, FOUND))
+def moved_query_results(n: Network) -> DataFrame:
+    return _moved(n).results(n.objects)
+
+
+@query(ORACLE_SQL["standing_counts"])
+def streamed_counts(n: Network) -> DataFrame:
+    """Counts of standing queries kept by a stream that has late rows, and a seventh of all rows twice."""
+    q = n.queries(RADIUS)
+    index = n.space.table(positions.edge_index(positions.standing_fields(q, n.edges), n.edges, q), "index")
+    rows = n.positions.unionByName(n.positions.where("event_id % 7 = 0")).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "obj_id", "u", "v", "w", "offset_")
+    rows.repartition(6, F.col("event_id") % 6).write.parquet(log := n.space.path("log"))
+    job = positions.StandingCounts(n.spark, n.space.path("standing"), index, q)
+    job.run(n.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(log))
+    return job.counts()
+
+
 @query()
 def relocated_objects(n: Network) -> DataFrame:
     return positions.relocate(n.objects, n.edges, 3)

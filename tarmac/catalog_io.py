@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ARCS, CLIQUE, FIELD, FOUND, K, PART, RADIUS, SG, SG_DIST, XY, _field, _skeleton, _sg_edges, _sql, query
+from .catalog import ARCS, CLIQUE, FIELD, FOUND, K, LONG, PART, RADIUS, SG, SG_DIST, XY, _field, _sg_edges, _skeleton, _sql, _variant, query
 from .catalog import ORACLE_SQL as ORACLE_SQL
 from .catalog import QUERIES as REGISTERED
 from .functions import graph
@@ -18,6 +18,7 @@ from .plans.fixpoint import distances, origins, to_targets
 from .sources import files, generators
 from .sources.network import Network
 from .streaming import positions
+from .streaming.derived import DerivedRows
 
 EPOCHS, OBJECTS, THETA = 4, 500, 8
 
@@ -129,11 +130,17 @@ def moved_objects(n: Network) -> DataFrame:
     return _sound(n, {k: n.space.table(df, k) for k, df in made.items()}, tuple(made))
 
 
-@query(_sql("SELECT count(*) AS objects, CAST(0 AS BIGINT) AS apart FROM v_objects"))
+@query(
+    _sql(
+        """SELECT count(*) AS objects, CAST(0 AS BIGINT) AS apart, count(*) FILTER (EXISTS (
+          SELECT 1 FROM v_edges e WHERE (e.u IN (o.u, o.v) OR e.v IN (o.u, o.v)) AND NOT (e.u = o.u AND e.v = o.v))) AS on_another_edge FROM v_objects o"""
+    )
+)
 def local_moves_share_an_end(n: Network) -> DataFrame:
+    """Every object that has a neighbouring edge to go to is on one."""
     moved = positions.move_locally(n.objects, n.edges, 5).select("obj_id", F.array("u", "v").alias("new"))
     both = moved.join(n.objects.select("obj_id", F.array("u", "v").alias("old")), "obj_id")
-    return both.agg(F.count("*").alias("objects"), F.count_if(~F.arrays_overlap("new", "old")).alias("apart"))
+    return both.agg(F.count("*").alias("objects"), F.count_if(~F.arrays_overlap("new", "old")).alias("apart"), F.count_if(F.col("new") != F.col("old")).alias("on_another_edge"))
 
 
 # --- distances ------------------------------------------------------------------------------------
@@ -207,16 +214,20 @@ def hierarchy_groups(n: Network) -> DataFrame:
     return rows
 
 
-@query(_sql("SELECT CAST(0 AS BIGINT) AS shorter, CAST(0 AS BIGINT) AS longer"))
+CLIQUE_LONG = _variant(CLIQUE, "parts|cut|sg_edges|ends|sg_vertices|sg_seeds|sg_arcs|sg_field|sg_dist|brd|clique", "_long", (f"/ {PART})", f"/ {LONG})"))
+
+
+@query(_sql("SELECT sg_id, count(*) AS pairs, CAST(0 AS BIGINT) AS wrong FROM clique_long GROUP BY sg_id", *CLIQUE_LONG))
 def hub_ways_are_exact(n: Network) -> DataFrame:
-    """Border distances by way of hubs, where a subgraph keeps hubs, against the clique."""
-    s = Skeleton(partition.own_edges(n.edges, n.parts(3 * PART))).persist()
+    """Pairs of borders of each subgraph, and those whose distance is another or none by way of hubs, where a subgraph keeps hubs."""
+    s = Skeleton(partition.own_edges(n.edges, n.parts(LONG))).persist()
     to, back = hubs(s, least_borders=6, ratio=1.0)
     to = n.space.table(to, "hubs")
     back = to.select("sg_id", "hub", F.col("a").alias("b"), F.col("d").alias("e"))
     through = to.join(back, ["sg_id", "hub"]).where("a != b").groupBy("sg_id", "a", "b").agg(F.min(F.col("d") + F.col("e")).alias("way"))
-    both = s.clique().join(to.select("sg_id").distinct(), "sg_id", "left_semi").join(through, ["sg_id", "a", "b"], "left")
-    return both.agg(F.count_if(F.col("way") < F.col("d")).alias("shorter"), F.count_if(F.coalesce(F.col("way") > F.col("d"), F.lit(True))).alias("longer"))
+    kept = to.select("sg_id").distinct().withColumn("kept", F.lit(True))
+    both = s.clique().join(kept, "sg_id", "left").join(through, ["sg_id", "a", "b"], "left")
+    return both.groupBy("sg_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("kept") & ~F.col("way").eqNullSafe(F.col("d"))).alias("wrong"))
 
 
 # --- batches and epochs ---------------------------------------------------------------------------
@@ -282,6 +293,35 @@ def update_epochs(n: Network) -> DataFrame:
     return rows.groupBy("epoch").agg(F.count("*").alias("updates"), F.count_if(fresh).alias("applied"), F.count_distinct(F.when(fresh, F.col("obj_id"))).alias("moved_objects"))
 
 
+def _derived(n: Network, s: Skeleton) -> DerivedRows:
+    """Derived rows after all epochs: the first has all of its objects, each later one those that moved in it."""
+    moves = n.space.table(positions.effective(_epochs(n)), "moves")
+    rows = DerivedRows(n.spark, n.space.path("derived"), s)
+    for epoch in range(EPOCHS):
+        rows.apply(positions.latest(moves.where(F.col("epoch") == epoch)))
+    return rows
+
+
+_COSTS = """SELECT o.obj_id, e.sg_id, x.border, min(CASE WHEN d.b = o.u THEN d.d + o.offset_ ELSE d.d + o.w - o.offset_ END) AS cost
+        FROM v_objects o JOIN sg_edges e ON e.u = o.u AND e.v = o.v JOIN brd x ON x.sg_id = e.sg_id JOIN sg_dist d ON d.sg_id = e.sg_id AND d.a = x.border AND d.b IN (o.u, o.v) GROUP BY ALL"""
+
+
+@query(_sql(_COSTS, *SG_DIST))
+def maintained_border_costs(n: Network) -> DataFrame:
+    """Border costs kept up by the objects that moved; the SQL makes them anew."""
+    return _derived(n, _skeleton(n)).table("costs")
+
+
+@query(_sql(f"SELECT obj_id, sg_id, min(cost) AS suffix, arg_min(border, cost * 10000000 + border) AS border FROM ({_COSTS}) GROUP BY obj_id, sg_id", *SG_DIST))
+def maintained_suffixes(n: Network) -> DataFrame:
+    return _derived(n, _skeleton(n)).table("suffix")
+
+
+@query(ORACLE_SQL["anchor_buckets"])
+def maintained_buckets(n: Network) -> DataFrame:
+    return _derived(n, _skeleton(n)).table("buckets")
+
+
 # --- diagnostics ----------------------------------------------------------------------------------
 
 

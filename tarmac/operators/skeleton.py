@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import Growing, Roads, distances
+from ..plans.order import numbered
 from ..plans.work import Workspace
 from .partition import all_pairs, rb_ib, sg_vertices
 from .queries import first_k, objects_in
@@ -93,11 +94,12 @@ class Skeleton:
         ends = _ends(own, "query_id", "a")
         return ends.join(self.sg_dist, ["sg_id", "a"]).groupBy("query_id", "sg_id", F.col("b").alias("vid")).agg(F.min(F.col("d") + F.col("more")).cast("bigint").alias("dist"))
 
-    def border_distances(self, queries: DataFrame, method: str = "auto") -> DataFrame:
-        """(query_id, border, d) within ``queries.radius``: the search over the skeleton."""
+    def border_distances(self, queries: DataFrame, method: str = "auto", arcs: DataFrame | None = None) -> DataFrame:
+        """(query_id, border, d) within ``queries.radius``: the search over the skeleton, or over other ``arcs`` between its borders (other nodes are below 0)."""
         start = self.entry(queries).join(self.border_sg.select("sg_id", F.col("border").alias("vid")), ["sg_id", "vid"], "left_semi")
         start = start.join(queries.select("query_id", "radius"), "query_id").select("query_id", "vid", "dist", "radius")
-        return self.space.table(distances(start, self.roads(method)), "reached").select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
+        found = distances(start, self.roads(method) if arcs is None else Roads(arcs, method)).where("vid >= 0")
+        return self.space.table(found, "reached").select("query_id", F.col("vid").alias("border"), F.col("dist").alias("d"))
 
     def roads(self, method: str = "auto") -> Roads:
         """The skeleton as arcs, prepared once for all searches over it."""
@@ -234,6 +236,29 @@ class Skeleton:
         return first_k(found.join(left.select("query_id", "k"), "query_id"), F.col("k"))
 
 
+    def admitted(self, queries: DataFrame, objects: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+        """(query_id, sg_id, obj_id) of objects that are surely among the ``k`` nearest, by bounds of their subgraphs alone.
+
+        Objects of a subgraph are at least as far as the nearest border reached (or nothing, for the query's own) and at most as d + IB. Those
+        that could be as near as a subgraph's farthest point lie in subgraphs whose least distance is within that bound; if these hold no more than k
+        objects, all of the subgraph's are among the k nearest, however ties fall. Bounds beyond ``queries.radius`` are not used, since
+        subgraphs beyond it are not known.
+        """
+        reached = self.border_distances(queries) if reached is None else reached
+        placed = self.space.table(self.placed(objects), "placed")
+        weights = placed.groupBy("sg_id").agg(F.count("*").alias("n"))
+        asked = queries.select("query_id", "radius", "k")
+        own = queries.join(self.sg_edges.select("sg_id", "u", "v"), ["u", "v"]).select("query_id", "sg_id", F.lit(0).cast("bigint").alias("low2"), F.lit(None).cast("bigint").alias("high2"))
+        met = reached.join(self.bounds().select("sg_id", "border", "ib2"), "border").select("query_id", "sg_id", (2 * F.col("d")).alias("low2"), (2 * F.col("d") + F.col("ib2")).alias("high2"))
+        span = met.unionByName(own).groupBy("query_id", "sg_id").agg(F.min("low2").alias("low2"), F.min("high2").alias("high2")).join(weights, "sg_id").join(asked, "query_id")
+        # Weights by where subgraphs begin, summed up to where each ends.
+        ends = F.array(F.struct(F.col("low2").alias("at"), F.lit(0).alias("end"), F.col("n").alias("n")), F.struct(F.col("high2").alias("at"), F.lit(1).alias("end"), F.lit(0).cast("bigint").alias("n")))
+        steps = span.select("query_id", "sg_id", "radius", "k", F.explode(ends).alias("e")).select("query_id", "sg_id", "radius", "k", "e.at", "e.end", "e.n").where("at is not null and at <= 2 * radius")
+        so_far = Window.partitionBy("query_id").orderBy("at", "end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        sure = steps.withColumn("held", F.sum("n").over(so_far)).where("end = 1 and held <= k").select("query_id", "sg_id")
+        return sure.join(placed, "sg_id").select("query_id", "sg_id", "obj_id")
+
+
 def _ends(placed: DataFrame, key: str, name: str) -> DataFrame:
     """(key, sg_id, vertex, more): both ends of each position's edge with the way to them."""
     ends = F.array(F.struct(F.col("u").alias("x"), F.col("offset_").alias("more")), F.struct(F.col("v").alias("x"), (F.col("w") - F.col("offset_")).alias("more")))
@@ -247,6 +272,16 @@ def _threshold(bounds: DataFrame, queries: DataFrame) -> DataFrame:
     return held.where("held >= k").groupBy("query_id").agg(F.min("bound").alias("tau2"))
 
 
+def hub_arcs(skeleton: Skeleton, to: DataFrame) -> DataFrame:
+    """(s, d, w): ways border to hub to border where ``to(sg_id, a, hub, d)`` has hubs for a subgraph, and clique rows elsewhere. Hubs are numbered below 0."""
+    space = skeleton.space
+    clique = skeleton.clique().join(to.select("sg_id").distinct(), "sg_id", "left_anti").groupBy("a", "b").agg(F.min("d").alias("w")).select(F.col("a").alias("s"), F.col("b").alias("d"), "w")
+    nodes = numbered(space.table(to.select("sg_id", "hub").distinct(), "hubs"), [F.col("sg_id"), F.col("hub")], "number", space)
+    way = to.join(nodes, ["sg_id", "hub"]).select("a", (-1 - F.col("number")).alias("node"), F.col("d").alias("w"))
+    both = F.array(F.struct(F.col("a").alias("s"), F.col("node").alias("d")), F.struct(F.col("node").alias("s"), F.col("a").alias("d")))
+    return space.table(clique.unionByName(way.select("w", F.explode(both).alias("x")).select("x.s", "x.d", "w")), "hub-arcs")
+
+
 def group_subgraphs(adjacency: DataFrame, most: int) -> DataFrame:
     """(sg_id, parent): groups of up to ``most`` neighbouring subgraphs, breadth first from the smallest id.
 

@@ -16,7 +16,7 @@ within a radius is settled for good, the arcs that lead out of it are kept as a
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -166,7 +166,7 @@ class Growing:
         key = ["query_id", "vid"]
         known = self.settled if self.settled is not None else asked.select("query_id", "vid", "dist").limit(0)
         start = asked.where("dist <= radius").groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-        fresh = _rounds(self.space, start, self.roads.arcs, known)
+        fresh = rounds_of(self.space, start, self.roads.arcs, known)
         self.settled = self.space.table(known.unionByName(fresh), "settled")
         reach = asked.select("query_id", "radius").distinct()
         cut = fresh.join(reach, "query_id").join(self.roads.arcs, F.col("vid") == F.col("s"))
@@ -213,13 +213,26 @@ def _local(seeds: DataFrame, roads: Roads) -> DataFrame:
 def _fixpoint(seeds: DataFrame, arcs: DataFrame, max_rounds: int | None) -> DataFrame:
     space = Workspace(seeds.sparkSession, "fixpoint")
     start = seeds.where("dist <= radius").groupBy("query_id", "vid").agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-    return _rounds(space, start, arcs, None, max_rounds)
+    return rounds_of(space, start, arcs, None, max_rounds)
 
 
-def _rounds(space: Workspace, start: DataFrame, arcs: DataFrame, settled: DataFrame | None, max_rounds: int | None = None) -> DataFrame:
-    """(query_id, vid, dist) of what ``start(query_id, vid, dist, radius)`` reaches within the radius outside ``settled``."""
+def rounds_of(
+    space: Workspace, start: DataFrame, arcs: DataFrame, settled: DataFrame | None, max_rounds: int | None = None,
+    bounds: DataFrame | None = None, ways: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(query_id, vid, dist) of what ``start(query_id, vid, dist, radius)`` reaches within the radius outside ``settled``.
+
+    With ``bounds(query_id, vid, dist)`` only distances below these count, and with ``ways`` a frontier is joined with its arcs (as s, d, w) by that.
+    """
     key = ["query_id", "vid"]
-    frontier = space.table(start, "better")
+    limits = None if bounds is None else bounds.select(*key, F.col("dist").alias("limit"))
+
+    def allowed(step: DataFrame) -> DataFrame:
+        if settled is not None:
+            step = step.join(settled, key, "left_anti")
+        return step if limits is None else step.join(limits, key, "left").where("limit is null or dist < limit").drop("limit")
+
+    frontier = space.table(allowed(start), "better")
     better, rounds = [frontier], 0
 
     def best(tables: list[DataFrame], of: DataFrame | None = None) -> DataFrame:
@@ -230,11 +243,10 @@ def _rounds(space: Workspace, start: DataFrame, arcs: DataFrame, settled: DataFr
         return rows.groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
 
     while True:
-        step = frontier.join(arcs, F.col("vid") == F.col("s")).select("query_id", F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), "radius")
+        met = frontier.join(arcs, F.col("vid") == F.col("s")) if ways is None else ways(frontier)
+        step = met.select("query_id", F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), "radius")
         step = step.where("dist <= radius").groupBy(*key).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-        if settled is not None:
-            step = step.join(settled, key, "left_anti")
-        step = space.table(step, "step")
+        step = space.table(allowed(step), "step")
         known = best(better, step).select(*key, F.col("dist").alias("known"))
         new = space.table(step.join(known, key, "left").where("known is null or dist < known").drop("known"), "better")
         space.drop(step)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import numbered
+from ..plans.work import Workspace
 from ..streaming.positions import relocate
 
 
@@ -20,8 +22,14 @@ def distinct_objects(edges: DataFrame, n: int, seed: int = 7) -> DataFrame:
     if n > total:
         raise ValueError(f"{n} objects do not fit in {total} slots")
     slots = edges.where("w > 1").select("u", "v", "w", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("w") - 1)).alias("offset_"))
-    picked = slots.withColumn("h", F.xxhash64(F.lit(seed), "u", "v", "offset_")).orderBy("h", "u", "v", "offset_").limit(n)
-    return picked.select((F.row_number().over(Window.orderBy("h", "u", "v", "offset_")) - 1).cast("bigint").alias("obj_id"), "u", "v", "w", "offset_")
+    space = Workspace(edges.sparkSession, "distinct-objects")
+    # Hashes are even, so a share of them a little above what is needed has n slots or nearly; where it has fewer, all slots are ranked.
+    slots = slots.withColumn("h", F.xxhash64(F.lit(seed), "u", "v", "offset_"))
+    share = min(1.0, n / total + 8 * (n**0.5 + 1) / total)
+    some = space.table(slots.where(F.col("h").cast("double") <= (share - 0.5) * 2.0**64), "slots")
+    some = some if some.count() >= n else space.table(slots, "slots")
+    ranked = numbered(some, [F.col(c) for c in ("h", "u", "v", "offset_")], "obj_id", space)
+    return ranked.where(F.col("obj_id") < n).select(F.col("obj_id").cast("bigint").alias("obj_id"), "u", "v", "w", "offset_")
 
 
 def laid_out(sg_edges: DataFrame, n: int, layout: str, seed: int = 7) -> DataFrame:
@@ -37,8 +45,9 @@ def laid_out(sg_edges: DataFrame, n: int, layout: str, seed: int = 7) -> DataFra
         raise ValueError(f"no such layout: {layout}")
     if not count:
         raise ValueError("no subgraph has an edge with room")
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "sg_id"), "sg_id")
-    chosen = edge.select("sg_id", "e.u", "e.v", "e.w", (F.row_number().over(order) - 1).alias("turn")).where(F.col("turn") < count)
+    space = Workspace(sg_edges.sparkSession, "layout")
+    chosen = space.table(edge.select("sg_id", "e.u", "e.v", "e.w"), "edges")
+    chosen = numbered(chosen, [F.xxhash64(F.lit(seed), "sg_id"), F.col("sg_id")], "turn", space).where(F.col("turn") < count)
     ids = edges_range(sg_edges, n).withColumn("turn", F.pmod("obj_id", F.lit(count)))
     placed = ids.join(chosen, "turn")
     return placed.select("obj_id", "u", "v", "w", (1 + F.pmod(F.xxhash64(F.lit(seed + 1), "obj_id"), F.col("w") - 1)).alias("offset_"))

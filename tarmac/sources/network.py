@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 from ..plans.work import Workspace
 
 WIDTH = 40
+#: Edges are numbered in the order of their ends, block by block of so many vertices.
+BLOCK = 4096
 
 CTES = f"""
 v_raw AS (
   SELECT a.p_partkey + 1 AS u, b.p_partkey + 1 AS v, a.p_size + b.p_size + 10 AS w FROM {{part}} a JOIN {{part}} b ON b.p_partkey = a.p_partkey + 1 WHERE (a.p_partkey + 1) % {WIDTH} <> 0
   UNION ALL
   SELECT a.p_partkey + 1 AS u, b.p_partkey + 1 AS v, a.p_size + b.p_size + 10 AS w FROM {{part}} a JOIN {{part}} b ON b.p_partkey = a.p_partkey + {WIDTH}),
+v_blocks AS (
+  SELECT block, CAST(coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(n) OVER () AS BIGINT) AS n_edges
+  FROM (SELECT CAST(floor(u / {BLOCK}) AS BIGINT) AS block, count(*) AS n FROM v_raw GROUP BY CAST(floor(u / {BLOCK}) AS BIGINT)) c),
 v_edges AS (
-  SELECT CAST(row_number() OVER (ORDER BY u, v) - 1 AS BIGINT) AS edge_idx, count(*) OVER () AS n_edges, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, CAST(w AS BIGINT) AS w FROM v_raw),
+  SELECT CAST(b.before + row_number() OVER (PARTITION BY b.block ORDER BY r.u, r.v) - 1 AS BIGINT) AS edge_idx, b.n_edges, CAST(r.u AS BIGINT) AS u, CAST(r.v AS BIGINT) AS v, CAST(r.w AS BIGINT) AS w
+  FROM v_raw r JOIN v_blocks b ON b.block = CAST(floor(r.u / {BLOCK}) AS BIGINT)),
 v_positions AS (
   SELECT p.event_id, p.ts, p.user_id AS obj_id, e.u, e.v, e.w, CAST(1 + (p.event_id * 31) % (e.w - 1) AS BIGINT) AS offset_
   FROM (SELECT ev.event_id, ev.ts, ev.user_id, CAST((ev.event_id * 7919 + ev.user_id * 104729) % n.n AS BIGINT) AS ei FROM {{events}} ev CROSS JOIN (SELECT max(n_edges) AS n FROM v_edges) n) p

@@ -7,10 +7,12 @@ event_id) says. Late rows change nothing, and rows that arrive again change noth
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import graph
 from ..operators.queries import object_distances, seeds
@@ -18,6 +20,8 @@ from ..plans.fixpoint import distances
 from ..plans.work import delete
 
 PLACE = ["u", "v", "w", "offset_"]
+#: Batches whose changes are kept apart before they are merged.
+MERGE = 8
 
 
 def latest(positions: DataFrame) -> DataFrame:
@@ -201,3 +205,93 @@ class LatestPositions:
     def close(self) -> None:
         delete(self.spark, self.out)
         delete(self.spark, self.marks)
+
+
+class StandingCounts:
+    """Counts of standing queries over a stream of positions, from the changes alone.
+
+    State is keyed by object and holds its latest place. A micro-batch gives, for each object whose place changed, one retraction of the old
+    place and one addition of the new one, whatever the number of its rows in the batch; late and repeated rows give nothing. Joined with the edge index
+    these are sums of changes by query, written under the batch's number, so a batch that runs again writes the same. Sums of batches are
+    merged when a run ends.
+    """
+
+    SCHEMA = "obj_id long, u long, v long, w long, offset_ long, old_u long, old_v long, old_w long, old_offset_ long"
+    STATE = "ts timestamp, event_id long, u long, v long, w long, offset_ long"
+
+    def __init__(self, spark: SparkSession, path: str, index: DataFrame, queries: DataFrame) -> None:
+        self.spark, self.out, self.marks = spark, f"{path}/changes", f"{path}/checkpoint"
+        self.index, self.queries = index, queries
+        spark.conf.set(LatestPositions.STORE, LatestPositions.DISK_BACKED)  # of the session that the stream was made in; it stays set
+
+    def run(self, positions: DataFrame) -> None:
+        """Take in what is new in a streaming table of positions (``ts`` a timestamp)."""
+
+        def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            old = state.get if state.exists else None
+            last = old
+            for batch in batches:
+                for row in batch[["ts", "event_id", *PLACE]].itertuples(index=False, name=None):
+                    row = (row[0].to_pydatetime(), *map(int, row[1:]))
+                    if last is None or row[:2] > tuple(last[:2]):
+                        last = row
+            if last is not old:
+                state.update(tuple(last))
+                before = [None] * 4 if old is None else list(old[2:])
+                if before != list(last[2:]):
+                    out = pd.DataFrame([[key[0], *last[2:], *before]], columns=["obj_id", *PLACE, *[f"old_{c}" for c in PLACE]])
+                    yield out.astype("Int64")
+
+        moved = positions.select("obj_id", "ts", "event_id", *PLACE).groupBy("obj_id").applyInPandasWithState(update, self.SCHEMA, self.STATE, "update", GroupStateTimeout.NoTimeout)
+
+        def emit(batch: DataFrame, number: int) -> None:
+            moves = batch.withColumn("event_id", F.lit(number).cast("bigint"))
+            changes = _signed(self.index, moves, "event_id").groupBy("query_id").agg(F.sum("one").alias("delta")).where("delta != 0")
+            changes.write.mode("overwrite").parquet(f"{self.out}/batch={number}")
+
+        query = moved.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+        self._merge()
+
+    def _changes(self) -> DataFrame:
+        return self.spark.read.schema("query_id long, delta long, batch long").option("basePath", self.out).parquet(self.out)
+
+    def _batches(self) -> list[int]:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.out)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def _merge(self) -> None:
+        """Sums of all batches in the folder ``merged-N`` of the last one, N; what it covers is left out by readers even before it is removed."""
+        batches = self._batches()
+        if len(batches) > MERGE:
+            self.counts(zeros=False).write.mode("overwrite").parquet(f"{self.out}-merged/upto={batches[-1]}")
+            for number in batches:
+                delete(self.spark, f"{self.out}/batch={number}")
+
+    def _merged(self) -> int | None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.out}-merged")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        # A folder counts when its write has been committed.
+        done = [f.getPath() for f in files.listStatus(folder) if files.exists(f.getPath().suffix("/_SUCCESS"))] if files.exists(folder) else []
+        return max((int(p.getName().removeprefix("upto=")) for p in done), default=None)
+
+    def counts(self, zeros: bool = True) -> DataFrame:
+        """(query_id, result_count) after all batches."""
+        upto, rows = self._merged(), None
+        if any(upto is None or b > upto for b in self._batches()):
+            rows = self._changes().where(F.col("batch") > (-1 if upto is None else upto)).select("query_id", "delta")
+        if upto is not None:
+            base = self.spark.read.parquet(f"{self.out}-merged/upto={upto}").select("query_id", F.col("result_count").alias("delta"))
+            rows = base if rows is None else rows.unionByName(base)
+        if rows is None:
+            rows = self.queries.select("query_id", F.lit(0).cast("bigint").alias("delta"))
+        total = rows.groupBy("query_id").agg(F.sum("delta").alias("n"))
+        if not zeros:
+            return total.select("query_id", F.col("n").alias("result_count"))
+        return self.queries.select("query_id").join(total, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("result_count"))
+
+    def close(self) -> None:
+        for path in (self.out, f"{self.out}-merged", self.marks):
+            delete(self.spark, path)

@@ -11,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import origins, rounds_of
+from ..plans.fixpoint import Roads, origins, search_on
 from ..plans.work import Workspace
 from .queries import move_queries, object_distances, seeds
 
 KEY = ["query_id", "vid"]
 
 
-def sided_field(queries: DataFrame, arcs: DataFrame, method: str = "auto") -> DataFrame:
+def sided_field(queries: DataFrame, arcs: DataFrame | Roads, method: str = "auto") -> DataFrame:
     """(query_id, vid, dist, side) within each query's radius; of two equal ways the one by ``u``."""
     found = origins(seeds(queries), arcs, method).join(queries.select("query_id", "u"), "query_id")
     return found.select(*KEY, "dist", F.when(F.col("origin") == F.col("u"), "l").otherwise("r").alias("side"))
 
 
-def moved_field(field: DataFrame, queries: DataFrame, moves: DataFrame, arcs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+def moved_field(field: DataFrame, queries: DataFrame, moves: DataFrame, roads: Roads, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """The field after ``moves(query_id, offset_)``, and (query_id, vid, dist) of the vertices that were searched for it.
 
     Fields of queries that do not move stay as they are, as do those that move by nothing. Equal ways keep the side they had.
@@ -39,9 +39,9 @@ def moved_field(field: DataFrame, queries: DataFrame, moves: DataFrame, arcs: Da
     end = F.when(F.col("ahead") == "r", F.col("v")).otherwise(F.col("u"))
     to_end = F.when(F.col("ahead") == "r", F.col("w") - F.col("new")).otherwise(F.col("new"))
     direct = q.select("query_id", end.alias("vid"), to_end.cast("bigint").alias("dist"), "radius")
-    out = near.join(arcs, F.col("vid") == F.col("s")).select("query_id", F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), "radius")
+    out = near.join(roads.arcs, F.col("vid") == F.col("s")).select("query_id", F.col("d").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"), "radius")
     start = out.unionByName(direct).where("dist <= radius").groupBy(*KEY).agg(F.min("dist").alias("dist"), F.max("radius").alias("radius"))
-    searched = space.table(rounds_of(space, start, arcs, near.select(*KEY), bounds=far), "searched")
+    searched = space.table(search_on(space, start, roads, near.select(*KEY), far.select(*KEY, "dist")), "searched")
     fresh = searched.join(q.select("query_id", F.col("ahead").alias("side")), "query_id")
     still = field.join(q.select("query_id"), "query_id", "left_anti").select(*KEY, "dist", "side")
     after = near.select(*KEY, "dist", "side").unionByName(fresh.select(*KEY, "dist", "side")).unionByName(far.join(searched, KEY, "left_anti")).unionByName(still)
@@ -52,13 +52,13 @@ class MovingQueries:
     """Standing range queries that move: their fields, where they are, and their results after each round of moves."""
 
     def __init__(self, queries: DataFrame, arcs: DataFrame, method: str = "auto") -> None:
-        self.space, self.arcs = Workspace(queries.sparkSession, "moving"), arcs
+        self.space, self.roads = Workspace(queries.sparkSession, "moving"), Roads(arcs, method)
         self.queries = self.space.table(queries, "queries")
-        self.field = self.space.table(sided_field(queries, arcs, method), "field")
+        self.field = self.space.table(sided_field(queries, self.roads), "field")
 
     def move(self, moves: DataFrame) -> DataFrame:
         """Move, and give what was searched: (query_id, vid, dist)."""
-        self.field, searched = moved_field(self.field, self.queries, moves, self.arcs, self.space)
+        self.field, searched = moved_field(self.field, self.queries, moves, self.roads, self.space)
         self.queries = self.space.table(move_queries(self.queries, moves), "queries")
         return searched
 

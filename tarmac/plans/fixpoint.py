@@ -42,17 +42,22 @@ class Adjacency:
         self.to = np.searchsorted(self.vertex, arcs["d"].to_numpy())
         self.weight = arcs["w"].to_numpy(dtype=np.int64)
 
-    def search(self, seeds: list[tuple[int, int]], radius: int, behind: list[int] = ()) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
+    def search(self, seeds: list[tuple[int, int]], radius: int, behind: list[int] = (), limits: list[tuple[int, int]] = ()) -> tuple[dict[int, int], list[tuple[int, int, int]]]:
         """Distances of all vertices within the radius, from seeds (vertex, distance), and the ways out: (from, to, distance there).
 
-        Vertices in ``behind`` are settled already and not entered.
+        Vertices in ``behind`` are settled already and not entered; those in ``limits`` (vertex, distance) count only with less.
         """
-        heap, best, out = [], {}, []
-        place = {int(v): int(k) for v, k in zip(behind, np.searchsorted(self.vertex, np.asarray(behind, dtype=np.int64)))}
-        best.update((k, -1) for k in place.values())
+        heap, out = [], []
+        known = dict.fromkeys(np.searchsorted(self.vertex, np.asarray(behind, dtype=np.int64)).tolist(), -1)
+        if limits:
+            known.update(zip(np.searchsorted(self.vertex, np.array([v for v, _ in limits], dtype=np.int64)).tolist(), (d for _, d in limits)))
+        best, alone, kept = dict(known), {}, {*behind, *(v for v, _ in limits)}
         for vertex, distance in seeds:
             k = int(np.searchsorted(self.vertex, vertex))
-            if k < len(self.vertex) and self.vertex[k] == vertex and distance <= radius and distance < best.get(k, FAR):
+            if k == len(self.vertex) or self.vertex[k] != vertex:  # without arcs, so it leads nowhere
+                if distance <= radius and vertex not in kept:
+                    alone[vertex] = min(distance, alone.get(vertex, FAR))
+            elif distance <= radius and distance < best.get(k, FAR):
                 best[k] = distance
                 heap.append((distance, k))
         heapq.heapify(heap)
@@ -70,9 +75,10 @@ class Adjacency:
                 elif far < best.get(n, FAR):
                     best[n] = far
                     heapq.heappush(heap, (far, n))
-        for k in place.values():
-            best.pop(k, None)
-        return {int(self.vertex[k]): d for k, d in best.items()}, [(int(self.vertex[k]), int(self.vertex[n]), far) for k, n, far in out if n not in best]
+        for k, d in known.items():
+            if best[k] == d:
+                del best[k]
+        return alone | {int(self.vertex[k]): d for k, d in best.items()}, [(int(self.vertex[k]), int(self.vertex[n]), far) for k, n, far in out if n not in best]
 
 
 class Roads:
@@ -95,7 +101,7 @@ def distances(seeds: DataFrame, arcs: DataFrame | Roads, method: str = "auto", m
     return _local(seeds, roads) if roads.method == "local" else _fixpoint(seeds, roads.arcs, max_rounds)
 
 
-def origins(seeds: DataFrame, arcs: DataFrame, method: str = "auto") -> DataFrame:
+def origins(seeds: DataFrame, arcs: DataFrame | Roads, method: str = "auto") -> DataFrame:
     """(query_id, vid, dist, origin): as ``distances``, with the seed vertex that each vertex is reached from; of equal ways the smaller one."""
     # Each seed is a search of its own; the best of a vertex is an aggregate.
     kind = seeds.schema["query_id"].dataType
@@ -216,6 +222,29 @@ def _fixpoint(seeds: DataFrame, arcs: DataFrame, max_rounds: int | None) -> Data
     return rounds_of(space, start, arcs, None, max_rounds)
 
 
+def search_on(space: Workspace, start: DataFrame, roads: Roads, settled: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(query_id, vid, dist) of what ``start(query_id, vid, dist, radius)`` reaches within the radius outside ``settled(query_id, vid)`` and below ``bounds(query_id, vid, dist)``."""
+    if roads.method != "local":
+        return rounds_of(space, start, roads.arcs, settled, bounds=bounds)
+    graph, kind = roads.sent, start.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query_id, rows, radius in batch[["query_id", "rows", "radius"]].itertuples(index=False):
+                of: list[list[tuple[int, int]]] = [[], [], []]
+                for r in rows:
+                    of[r["part"]].append((r["vid"], r["dist"]))
+                field = graph.value.search(of[0], int(radius), [v for v, _ in of[1]], of[2])[0] if of[0] else {}
+                yield pd.DataFrame({"query_id": query_id, "vid": np.fromiter(field.keys(), np.int64, len(field)), "dist": np.fromiter(field.values(), np.int64, len(field))})
+
+    none = F.lit(None).cast("bigint")
+    parts = [start.select("query_id", F.lit(0).alias("part"), "vid", "dist", "radius"), settled.select("query_id", F.lit(1).alias("part"), "vid", F.lit(0).cast("bigint").alias("dist"), none.alias("radius"))]
+    parts.append(bounds.select("query_id", F.lit(2).alias("part"), "vid", "dist", none.alias("radius")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    grouped = spread(rows, "query_id").groupBy("query_id").agg(F.collect_list(F.struct("part", "vid", "dist")).alias("rows"), F.max("radius").alias("radius")).where("radius is not null")
+    return grouped.mapInPandas(run, f"query_id {kind}, vid long, dist long")
+
+
 def rounds_of(
     space: Workspace, start: DataFrame, arcs: DataFrame, settled: DataFrame | None, max_rounds: int | None = None,
     bounds: DataFrame | None = None, ways: Callable[[DataFrame], DataFrame] | None = None,

@@ -9,6 +9,8 @@ object's subgraph, so both cases are unioned and the result equals the whole-gra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ class Skeleton:
         self.sg_dist = all_pairs(sg_edges) if sg_dist is None else sg_dist
         self._derived = sg_dist is None
         self._roads: dict[str, Roads] = {}
+        self._tables: dict[str, DataFrame] | None = None
         self.members = sg_vertices(sg_edges)
         self.border_sg = self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id")
 
@@ -36,8 +39,21 @@ class Skeleton:
         self.sg_dist = self.space.table(all_pairs(self.sg_edges) if self._derived else self.sg_dist, "distances")
         self.members = self.space.table(sg_vertices(self.sg_edges), "members")
         self.border_sg = self.space.table(self.members.where("is_border").select(F.col("vid").alias("border"), "sg_id"), "borders")
+        self._tables = {}
         return self
 
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What operations share; written out at its first use once the skeleton is."""
+        if self._tables is None:
+            return make()
+        if name not in self._tables:
+            self._tables[name] = self.space.table(make(), name)
+        return self._tables[name]
+
+    def from_borders(self) -> DataFrame:
+        """(sg_id, a, b, d): distances inside subgraphs from their borders."""
+        return self._kept("from-borders", lambda: self.sg_dist.join(self.border_sg.select("sg_id", F.col("border").alias("a")), ["sg_id", "a"], "left_semi").select("sg_id", "a", "b", "d"))
+
     def save(self, path: str) -> None:
         for name in ("sg_edges", "sg_dist"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -48,9 +64,8 @@ class Skeleton:
 
     def clique(self) -> DataFrame:
         """(sg_id, a, b, d): distances between borders of a subgraph."""
-        a = self.border_sg.select("sg_id", F.col("border").alias("a"))
         b = self.border_sg.select("sg_id", F.col("border").alias("b"))
-        return self.sg_dist.where("a != b").join(a, ["sg_id", "a"], "left_semi").join(b, ["sg_id", "b"], "left_semi").select("sg_id", "a", "b", "d")
+        return self._kept("clique", lambda: self.from_borders().where("a != b").join(b, ["sg_id", "b"], "left_semi").select("sg_id", "a", "b", "d"))
 
     def skeleton(self) -> DataFrame:
         """(a, b, w) with a < b: the least over subgraphs."""
@@ -62,7 +77,7 @@ class Skeleton:
         return a.join(b, "border").where("sg_a < sg_b").groupBy("sg_a", "sg_b").agg(F.count("*").alias("shared"))
 
     def bounds(self) -> DataFrame:
-        return rb_ib(self.sg_edges, self.sg_dist, self.members)
+        return self._kept("bounds", lambda: rb_ib(self.sg_edges, self.from_borders(), self.members))
 
     def placed(self, objects: DataFrame) -> DataFrame:
         """Objects with their subgraph."""
@@ -70,8 +85,7 @@ class Skeleton:
 
     def border_costs(self, objects: DataFrame, only: DataFrame | None = None) -> DataFrame:
         """(obj_id, sg_id, border, cost): inside its subgraph, from each border; of the subgraphs in ``only(sg_id)`` if it is given."""
-        to = self.sg_dist.join(self.border_sg.select("sg_id", F.col("border").alias("a")), ["sg_id", "a"], "left_semi")
-        placed = self.placed(objects)
+        to, placed = self.from_borders(), self.placed(objects)
         if only is not None:
             to, placed = to.join(only, "sg_id", "left_semi"), placed.join(only, "sg_id", "left_semi")
         ends = _ends(placed, "obj_id", "b")
@@ -194,7 +208,7 @@ class Skeleton:
         left = space.table(left, "asked")
         entry, placed = space.table(self.entry(left), "entry"), space.table(self.placed(objects), "placed")
         weights = space.table(placed.groupBy("sg_id").agg(F.count("*").alias("n")), "weights")
-        ib = space.table(self.bounds().select("sg_id", "border", "ib2"), "ib")
+        ib = self.bounds().select("sg_id", "border", "ib2")
         grown, reached, going = self.growing(left, entry, method), None, left
         done: list[DataFrame] = []  # (query_id, tau2): doubled thresholds, null where everything is in reach and there is none
         while True:

@@ -13,9 +13,9 @@ a corpus would shuffle many times its size, so positions are sampled without los
 What is left has the same gram in different contexts. There prefix doubling runs on a grid of ``CELL`` bytes that the
 charged position anchors, so that equal windows meet the grid at the same places:
 
-* First names are of ``FIRST`` = 48 bytes at each place of the grid. Those that occur again are sorted and take their places in that order as ranks.
+* First ranks are names of the ``FIRST`` = 48 bytes at each place of the grid.
 * Each round pairs a place's rank with that of the place one length further on, sorts the pairs by range over the cluster and ranks
-  them anew, for strings of twice the length: 96, then 192 bytes, which all windows of one cell of the grid share.
+  them anew by their places in that order, for strings of twice the length: 96, then 192 bytes, which all windows of one cell of the grid share.
   Unique pairs drop out, and so do those that only positions have which are done already.
 * Rounds stop when nothing is left that occurs again, or at the threshold. A window of 200 bytes is a string of 192 with the 8
   bytes around it, so the last round ranks the pair of the rank and those bytes themselves. Cells whose bytes on both sides occur again as a
@@ -148,8 +148,8 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(tidied(run), "at long, place long, open boolean, bytes binary")
 
 
-def _first_names(contexts: DataFrame) -> DataFrame:
-    """(context, c, open, name): names of the first bytes at each place c of the grid."""
+def _first_pairs(contexts: DataFrame) -> DataFrame:
+    """(context, c, open, r1, r2): names of the first bytes at each place c of the grid and of those one length further on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,15 +159,15 @@ def _first_names(contexts: DataFrame) -> DataFrame:
             sizes = batch["bytes"].map(len).to_numpy(dtype=np.int64)
             lo, hi, a = unpack(batch["place"].to_numpy(dtype=np.int64))
             at = np.cumsum(sizes) - sizes - lo + a
-            low, high = (a - hi) // CELL - 3 * HOP, (a - lo) // CELL
+            low, high = (a - hi) // CELL - 2 * HOP, (a - lo) // CELL
             n = high - low + 1
             row = np.repeat(np.arange(len(batch)), n)
             c = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
-            place = at[row] - c * CELL
-            name = Rolling(data, _SECOND).of(place, place + FIRST).view(np.int64)
-            yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "open": batch["open"].to_numpy()[row], "name": name})
+            place, names = at[row] - c * CELL, Rolling(data, _SECOND)
+            first, onward = (names.of(x, x + FIRST).view(np.int64) for x in (place, place + FIRST))
+            yield pd.DataFrame({"context": batch["context"].to_numpy()[row], "c": c.astype(np.int32), "open": batch["open"].to_numpy()[row], "r1": first, "r2": onward})
 
-    return contexts.select("context", "place", "open", "bytes").mapInPandas(tidied(run), "context long, c int, open boolean, name long")
+    return contexts.select("context", "place", "open", "bytes").mapInPandas(tidied(run), "context long, c int, open boolean, r1 long, r2 long")
 
 
 def _cells(ranked: DataFrame) -> DataFrame:
@@ -191,8 +191,9 @@ def _cells(ranked: DataFrame) -> DataFrame:
     return ranked.mapInPandas(tidied(run), "at long, place long, open boolean, c int, rank long, low int, high int, left long, right long")
 
 
-def rerank(rows: DataFrame, by: list[str], space: Workspace) -> DataFrame:
-    """(context, c, open, rank): places in the order of ``by``, for what occurs again and somewhere in an open context."""
+def rerank(rows: DataFrame, space: Workspace) -> DataFrame:
+    """(context, c, open, rank): places of pairs of ranks in their order, for those that occur again and somewhere in an open context."""
+    by = ["r1", "r2"]
     again = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select(*by)
     ranks = numbered(space.table(again, "again"), [F.col(c) for c in by], "rank", space)
     return space.table(rows.join(ranks, by).select("context", "c", "open", "rank"), "ranks")
@@ -257,10 +258,13 @@ class RepeatedPassages:
         held = space.table(held.withColumn("context", F.monotonically_increasing_id()), "bytes")
 
         # Pairs at offset 48, then at offset 96.
-        length, ranks = FIRST, rerank(space.table(_first_names(held), "names"), ["name"], space)
-        while length < CORE and not ranks.isEmpty():
-            shorter, ranks = ranks, rerank(space.table(doubled(ranks, length), "pairs"), ["r1", "r2"], space)
-            space.drop(shorter)
+        length, pairs, ranks = 2 * FIRST, space.table(_first_pairs(held), "pairs"), None
+        while True:
+            ranks = rerank(pairs, space)
+            space.drop(pairs)
+            if length >= CORE or ranks.isEmpty():
+                break
+            pairs = space.table(doubled(ranks, length), "pairs")
             length *= 2
         listed = ranks.groupBy("context").agg(F.collect_list(F.struct("c", "rank")).alias("ranks"))  # fewer than 50 places of the grid to a context
         third = space.table(_cells(held.join(listed, "context")), "cores")
